@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontam, packing, simhash, tokencount
+from trellis.llm import decontam, linededup, packing, quality, simhash, tokencount
 from trellis.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
 
 
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontam.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return marked.select(
@@ -30,6 +34,10 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.cleaned(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,5 +64,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op4_prefix_token_counts, op6_winnowing_decontamination, op10_simhash_bktree)}
-ORACLE_SQL = {"op6_winnowing_decontamination": OP6_SQL}
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS w FROM documents),
+l AS (SELECT r, doc_id, unnest(w) AS line, unnest(range(0, len(w))) AS i FROM d WHERE text IS NOT NULL),
+t AS (SELECT r, doc_id, line, i, list_filter(regexp_split_to_array(line, '[ \t\x0b\f\r]+'), lambda x: x <> '') AS k FROM l),
+m AS (SELECT r, doc_id, line, i, len(k) AS n, array_to_string(list_transform(k, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS g FROM t),
+f AS (SELECT g FROM m WHERE n >= {linededup.MIN_TOKENS} GROUP BY g HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+h AS (SELECT m.*, f.g IS NOT NULL AS hit FROM m LEFT JOIN f ON m.g = f.g AND m.n >= {linededup.MIN_TOKENS}),
+s AS (
+  SELECT r, count(*) AS n_lines, sum(hit::INT) AS n_recurring, sum(CASE WHEN hit THEN n ELSE 0 END) <= {linededup.MOST} * sum(n) AND sum(hit::INT) > 0 AS cut,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS rest
+  FROM h GROUP BY r
+)
+SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring,
+  CASE WHEN cut THEN n_recurring ELSE 0 END::BIGINT AS n_dropped
+FROM d LEFT JOIN s USING (r)
+"""
+
+QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op9_line_templates, op10_simhash_bktree)}
+ORACLE_SQL = {"op6_winnowing_decontamination": OP6_SQL, "op9_line_templates": OP9_SQL}
