@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellis.llm import decontam, packing, simhash
+from trellis.llm import decontam, linededup, packing, quality, simhash
 from trellis.llm.common import discard, materialize, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and aren't outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of recurring templates."""
+    return linededup.drop_recurring_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, by training sequence."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("packing", packed),
 ]
 
-#: MCD estimates, fingerprints and token ids have no SQL form; tests hold the stages against brute force.
+#: Outlier estimates, fingerprints and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontam, linededup, packing, quality, simhash, tokencount
+from trellis.llm import chat, decontam, html, langid, linededup, packing, quality, sharding, simhash, tokencount
 from trellis.llm.common import table
 
 
+#: Added to the conversations: control strings of other templates inside the texts.
+EXTRA = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.windows(turns))
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.fit_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
@@ -34,6 +48,14 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op8_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.cleaned(table(spark, sf_dir, "documents"))
 
@@ -81,5 +103,15 @@ SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines,
 FROM d LEFT JOIN s USING (r)
 """
 
-QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op9_line_templates, op10_simhash_bktree)}
-ORACLE_SQL = {"op6_winnowing_decontamination": OP6_SQL, "op9_line_templates": OP9_SQL}
+OP7_SQL = f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT d, h >> (60 - d) AS p, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM r, (SELECT unnest(range(0, 41)) AS d) GROUP BY ALL),
+f AS (SELECT doc_id, r.n_bytes, h, min(d) AS depth FROM r, p WHERE p.p = h >> (60 - d) AND (b <= {sharding.LIMIT} OR n = 1) GROUP BY ALL)
+SELECT doc_id, right(lpad(bin(h), 60, '0'), 60)[1:depth] AS shard, depth::INT AS depth, n_bytes, b AS shard_bytes FROM f JOIN p ON p.d = f.depth AND p.p = h >> (60 - depth)
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_windows, op2_cost_balanced_packing, op3_family_svm, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op7_extendible_sharding, op8_block_rules, op9_line_templates, op10_simhash_bktree)
+}
+ORACLE_SQL = {"op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
