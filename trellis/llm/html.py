@@ -27,7 +27,7 @@ STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINK_HIGH, LINK_ARTICLE = 0.2, 0.5
 
 _DROP = "script|style|noscript|template|svg|math|canvas|iframe|object|audio|video|select|textarea|head"
-_GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<({_DROP})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z|<({_DROP})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"\b(class|id|role|lang|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -75,7 +75,7 @@ def _says(tag: str, attr: dict[str, str], inside: str | None) -> str | None:
 
 def blocks(page: str) -> tuple[list[_Block], str | None]:
     """Blocks of a page in order with what their containers say, and the page's language if it names one."""
-    page = _GONE.sub(lambda m: "" if m[0].startswith("<!") else "<hr>" if m[1] else " ", page)
+    page = _GONE.sub(lambda m: "<hr>" if m[1] else "", page)
     out: list[_Block] = []
     stack: list[tuple[str, str | None, int]] = []  # tag, state inside, region
     words: list[str] = []
@@ -155,6 +155,20 @@ def _density(text: str, stop: frozenset) -> float:
     return sum(w in stop for w in words) / len(words) if words else 0.0
 
 
+def _neighbours(labels: list[str], regions: list[int], voters: list[bool]):
+    """The nearest decided block (label, place) before and behind each block, within its region."""
+    sides = []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        side: list[tuple[str, int] | None] = [None] * len(labels)
+        last: dict[int, tuple[str, int]] = {}
+        for i in order:
+            side[i] = last.get(regions[i])
+            if voters[i] and labels[i] in ("good", "bad"):
+                last[regions[i]] = (labels[i], i)
+        sides.append(side)
+    return sides
+
+
 def extract(page: str | None) -> str:
     """The main text: its blocks in page order, joined by line feeds; white space inside a block is one space."""
     if not page:
@@ -180,30 +194,18 @@ def extract(page: str | None) -> str:
         else:
             d = _density(b.text, stop)
             labels.append(("good" if n > LENGTH_HIGH else "near") if d >= STOP_HIGH else "near" if d >= STOP_LOW else "bad")
-    # Pass two, from the labels of pass one: nearest decided block before and behind, within the region.
-    decided = ("good", "bad")
-    before: list[tuple[str, int] | None] = [None] * len(found)
-    behind: list[tuple[str, int] | None] = [None] * len(found)
-    for order, side in ((range(len(found)), before), (range(len(found) - 1, -1, -1), behind)):
-        last: dict[int, tuple[str, int]] = {}
-        for i in order:
-            b = found[i]
-            side[i] = last.get(b.region)
-            if labels[i] in decided and not (b.region and b.state == "bad"):
-                last[b.region] = (labels[i], i)
+    # Pass two. Blocks of navigation and the like have no say. Near-text is text unless decided blocks on both sides
+    # aren't; then short blocks follow the nearest decided block, and are text in an article that has none.
+    regions = [b.region for b in found]
+    voters = [b.state != "bad" for b in found]
+    before, behind = _neighbours(labels, regions, voters)
+    labels = ["bad" if x == "near" and a and b and a[0] == b[0] == "bad" else "good" if x == "near" else x for x, a, b in zip(labels, before, behind)]
+    before, behind = _neighbours(labels, regions, voters)
     final = []
-    for i, b in enumerate(found):
-        label = labels[i]
-        if label not in decided:
+    for i, label in enumerate(labels):
+        if label == "short":
             near = [x for x in (before[i], behind[i]) if x]
-            if not near:
-                label = "good" if b.region or label == "near" else "bad"
-            elif len({x[0] for x in near}) == 1:
-                label = near[0][0]
-            elif label == "near":
-                label = "good"
-            else:
-                label = min(near, key=lambda x: (abs(x[1] - i), x[0] != "good"))[0]
+            label = min(near, key=lambda x: (abs(x[1] - i), x[0] != "good"))[0] if near else "good" if regions[i] else "bad"
         final.append(label)
     return "\n".join(b.text for b, label in zip(found, final) if label == "good")
 
