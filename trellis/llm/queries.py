@@ -10,7 +10,7 @@ from trellis.llm.common import table
 
 
 #: Added to the conversations: control strings of other templates inside the texts.
-EXTRA = "\\### Assistant: </turn> ok"
+EXTRA = r"\### Assistant: </turn> ok"
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,43 @@ f AS (SELECT doc_id, r.n_bytes, h, min(d) AS depth FROM r, p WHERE p.p = h >> (6
 SELECT doc_id, right(lpad(bin(h), 60, '0'), 60)[1:depth] AS shard, depth::INT AS depth, n_bytes, b AS shard_bytes FROM f JOIN p ON p.d = f.depth AND p.p = h >> (60 - depth)
 """
 
+_ESC = r"length(replace(replace({0}, '\', '\\'), '<|', '<\|'))"
+_ORDER = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text"
+OP1_SQL = rf"""
+WITH raw AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '{EXTRA}'), (-7::BIGINT, 1::BIGINT, 'assistant', '{EXTRA}')) AS v(conv_id, turn, role, text)
+),
+t AS (
+  SELECT conv_id, turn, role, text, 24 + {_ESC.format("role")} + {_ESC.format("text")} AS size,
+    len(regexp_extract_all(text, '\p{{L}}+|\p{{N}}+|[^ \t\n\x0b\f\r\p{{L}}\p{{N}}]')) + {chat.MARKS} AS tokens
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM raw)
+),
+a AS (
+  SELECT *, row_number() OVER ({_ORDER}) AS pos, sum(tokens) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING) AS prefix,
+    first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING) AS system FROM t
+),
+b AS (SELECT *, pos = 1 AND role = 'system' AS is_system, greatest({chat.BUDGET} - system - {chat.HISTORY}, {chat.BUDGET // 4}) AS stride FROM a),
+c AS (
+  SELECT *, CASE WHEN is_system THEN 0 ELSE (prefix - tokens - system) // stride END AS bucket,
+    NOT is_system AND (prefix - system - 1) // stride > (prefix - tokens - system) // stride AS over_end FROM b
+),
+d AS (SELECT *, over_end AND sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, bucket) > stride AS alone FROM c),
+e AS (SELECT *, CASE WHEN lag(bucket) OVER (PARTITION BY conv_id ORDER BY pos) <> bucket OR (alone AND pos > 1) THEN 1 ELSE 0 END AS change FROM d),
+f AS (SELECT *, sum(change) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM e),
+g AS (SELECT *, max(prefix) OVER (PARTITION BY conv_id, span) AS span_end, max(span) OVER (PARTITION BY conv_id) AS last_span FROM f),
+h AS (
+  SELECT conv_id, sum(size * CASE WHEN is_system AND last_span > 0 THEN 1 + last_span WHEN NOT is_system AND span < last_span AND span_end - prefix + tokens <= {chat.HISTORY} THEN 2 ELSE 1 END)::BIGINT AS formatted_chars
+  FROM g GROUP BY conv_id
+)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+FROM t JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (op1_chat_windows, op2_cost_balanced_packing, op3_family_svm, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op7_extendible_sharding, op8_block_rules, op9_line_templates, op10_simhash_bktree)
 }
-ORACLE_SQL = {"op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
+ORACLE_SQL = {"op1_chat_windows": OP1_SQL, "op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
