@@ -10,7 +10,6 @@ or an edge of the network built so far (branch chamber). Distances are true dist
 from __future__ import annotations
 
 import heapq
-import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -382,6 +381,25 @@ class Builder:
         self.nodes[key] = Node(key, kind, place, *old, pipe)
         return key
 
+    # ---- polish
+
+    def polish(self) -> None:
+        """Leave out inner vertices where the straight line is legal and no dearer."""
+        for e in self.edges:
+            i = 1
+            while i < len(e.line) - 1:
+                a, b, c = e.line[i - 1 : i + 2]
+                turns = [(e.line[i - 2], a, c)] * (i > 1) + [(a, c, e.line[i + 2])] * (i + 2 < len(e.line))
+                self.dn, own = smallest(e.flow) or _DN[-1], self.edges
+                self.edges = [x for x in own if x is not e]
+                straight, first, second = self.crossed(a, c, frozenset()), self.crossed(a, b, frozenset()), self.crossed(b, c, frozenset())
+                self.edges = own
+                fits = straight is not None and first is not None and second is not None and all(angle(y - x, z - y) <= T.MAX_TURN for x, y, z in turns)
+                if fits and self.price(a, c, straight, e.flow) <= self.price(a, b, first, e.flow) + self.price(b, c, second, e.flow):
+                    del e.line[i]
+                else:
+                    i += 1
+
     # ---- sizes
 
     def size(self, rounds: int = 20) -> None:
@@ -434,10 +452,32 @@ def order(points: list, strategy: str, pipes: list) -> list:
     if strategy == "farthest":
         return sorted(points, key=lambda p: (-near[p[0]], p[0]))
     out = sorted(points, key=lambda p: p[0])
-    random.Random(strategy).shuffle(out)
+    generator = Lcg(1_000_003 * int(strategy.rpartition("-")[2] or 0) + 17)
+    for i in range(len(out) - 1, 0, -1):
+        j = generator.below(i + 1)
+        out[i], out[j] = out[j], out[i]
     return out
 
 
+class Lcg:
+    """The 48-bit linear congruential generator of java.util.Random, so that seeds give the same orders everywhere."""
+
+    def __init__(self, seed: int):
+        self.state = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1)
+
+    def bits(self, n: int) -> int:
+        self.state = (self.state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+        return self.state >> (48 - n)
+
+    def below(self, bound: int) -> int:
+        if bound & -bound == bound:
+            return (bound * self.bits(31)) >> 31
+        while True:
+            b = self.bits(31)
+            if b - b % bound + bound - 1 < 1 << 31:
+                return b % bound
+
+
 def profile(length: float, needs: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """(place, depth) breakpoints along an edge: default depth, ramps of the greatest slope to each stretch that asks for less."""
     if not needs:
@@ -506,6 +546,7 @@ def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D") -> list[dict]:
     b = Builder(district)
     for key, at, flow in order(district.points, strategy, district.pipes):
         b.connect(key, at, flow)
+    b.polish()
     b.size()
     out, n = [], 0
     for e in b.edges:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import crs
 from trellis.functions import tables as T
-from trellis.operators import routing, selection
+from trellis.operators import measures, routing, selection
 from trellis.sources import geojson
 
 STRATEGIES = ("flow", "nearest", "farthest", "shuffle-1", "shuffle-2")
@@ -95,14 +95,45 @@ def summaries(net: DataFrame) -> DataFrame:
     return s.withColumn("score", T.round_half_up(T.score("calculated", "length"), 4))
 
 
-def select(sums: DataFrame, most: int = 3) -> DataFrame:
-    """Up to ``most`` variants of each district, no two of one shape, ranked by score; pareto tells those none beats in cost and length."""
+def select(sums: DataFrame, most: int = 3, net: DataFrame | None = None, alike: float = 0.9) -> DataFrame:
+    """Up to ``most`` variants of each district, no two of one shape, ranked by score; pareto tells those none beats in cost and length.
+
+    With the network's rows, a variant whose route runs more than ``alike`` along a better one is left out too.
+    """
     shapes = selection.best_of(sums, [F.col("district").alias("_d"), F.concat_ws("|", F.array_join("places", ","), "n_pipes", "n_chambers").alias("_s")], ["score", "variant"])
+    if net is not None:
+        order = lambda n: shapes.select("district", F.col("variant").alias(n), F.struct("score", "variant").alias(f"_{n}"))
+        near = measures.overlaps(net).where(F.col("overlap") > alike).join(order("a"), ["district", "a"]).join(order("b"), ["district", "b"]).where("_b < _a")
+        shapes = shapes.join(near.select("district", F.col("a").alias("variant")).distinct(), ["district", "variant"], "left_anti")
     ranked = shapes.withColumn("rank", F.row_number().over(Window.partitionBy("district").orderBy("score", "variant"))).where(F.col("rank") <= most)
     beaten = ranked.alias("a").join(ranked.alias("b"), F.expr("a.district = b.district AND b.calculated <= a.calculated AND b.length <= a.length AND (b.calculated < a.calculated OR b.length < a.length)"), "left_semi").select("district", "variant", F.lit(False).alias("_p"))
     return ranked.join(beaten, ["district", "variant"], "left").withColumn("pareto", F.coalesce("_p", F.lit(True))).drop("_p")
 
 
+def crop(features: DataFrame, margin: float = 500.0) -> DataFrame:
+    """Features near their district's points: the points' box widened by half its side or the margin, if that is more.
+
+    Sources, points and broken rows stay. The box is one row for each district, joined back by district.
+    """
+    numbers = F.transform(F.filter(F.split(F.col("coords"), r"[\[\], ]+"), lambda t: t != ""), lambda t: t.cast("double"))
+    even = F.filter(F.col("_n"), lambda v, i: i % 2 == 0)
+    odd = F.filter(F.col("_n"), lambda v, i: i % 2 == 1)
+    boxed = features.withColumn("_n", numbers).withColumns({"_x1": F.array_min(even), "_x2": F.array_max(even), "_y1": F.array_min(odd), "_y2": F.array_max(odd)}).drop("_n")
+    points = boxed.where("object_type = 'oks_connection_point' AND message IS NULL")
+    half = F.least(F.max("_x2") - F.min("_x1"), F.max("_y2") - F.min("_y1")) / 2
+    area = points.groupBy("district").agg(*[f(c).alias(f"_a{c}") for f, c in ((F.min, "_x1"), (F.max, "_x2"), (F.min, "_y1"), (F.max, "_y2"))], F.greatest(half, F.lit(margin)).alias("_m"))
+    j = boxed.join(area, "district", "left")
+    inside = (F.col("_x2") >= F.col("_a_x1") - F.col("_m")) & (F.col("_x1") <= F.col("_a_x2") + F.col("_m")) & (F.col("_y2") >= F.col("_a_y1") - F.col("_m")) & (F.col("_y1") <= F.col("_a_y2") + F.col("_m"))
+    keep = F.col("message").isNotNull() | F.col("object_type").isin("source", "oks_connection_point") | F.coalesce(inside, F.lit(True))
+    return j.where(keep).select(*features.columns)
+
+
+def without(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """Features but for the restrictions whose ids(district, id_key) the user left out."""
+    gone = ids.select("district", "id_key").distinct().withColumn("_g", F.lit(True))
+    return features.join(gone, ["district", "id_key"], "left").where("_g IS NULL OR object_type <> 'restriction'").select(*features.columns)
+
+
 def cost_breakdown(net: DataFrame) -> DataFrame:
     """Pipe cost by diameter and by crossing, with what crossings add, in one pass of grouping sets."""
     p = net.where("kind = 'pipe'").withColumn("extra", F.col("cost") - F.col("cost") / F.col("k_special"))
