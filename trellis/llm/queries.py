@@ -145,8 +145,52 @@ SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
 FROM t JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
 """
 
+def _op5_sql() -> str:
+    """Base statistics and the estimates step by step: medians and spreads, STEPS concentration steps, distances."""
+    q, n = quality, len(quality.FLOORS)
+    names, key = list(q.FLOORS), "e_lang, e_source"
+    cells = [(i, j) for i in range(n) for j in range(i + 1)]
+    at = lambda i, j: f"p_{max(i, j)}_{min(i, j)}"
+    rank = lambda v, share: f"list_sort(list({v}))[ceil(count(*) * {share})::INT]"
+    factor = q.H / q.chi_square_cdf(q.chi_square_quantile(q.H, n), n + 2)
+    white = r"[ \t\n\x0b\f\r]"
+    ctes = [
+        rf"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS g_lang, coalesce(source, '') AS g_source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{white}+'), lambda x: x <> '') AS w FROM documents)",
+        "g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))",
+        "rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r)",
+        rf"ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \t\n\x0b\f\r]') GROUP BY r)",
+        rf"s AS (SELECT d.r, doc_id, g_lang, g_source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{white}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r))",
+        f"f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS nw, greatest(word_chars, 1)::DOUBLE AS nc FROM s)",
+        f"x AS (SELECT *, ln(nw) AS {names[0]}, ln(nc / nw) AS {names[1]}, sqrt(n_symbols / nc) AS {names[2]}, sqrt(n_dup_lines / nw) AS {names[3]}, sqrt(n_repeat_words / nw) AS {names[4]} FROM f)",
+        "sz AS (SELECT g_lang, g_source, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL)",
+        f"pool AS (SELECT g_lang, sum(n) AS pool FROM sz WHERE n < {q.MIN_GROUP} GROUP BY 1)",
+        f"asg AS (SELECT sz.g_lang, g_source, CASE WHEN n >= {q.MIN_GROUP} OR pool >= {q.MIN_GROUP} THEN sz.g_lang ELSE '*pool*' END AS e_lang, CASE WHEN n >= {q.MIN_GROUP} THEN g_source ELSE '*pool*' END AS e_source FROM sz LEFT JOIN pool USING (g_lang))",
+        "v AS (SELECT x.*, e_lang, e_source FROM x JOIN asg USING (g_lang, g_source) WHERE NOT base_failed)",
+        f"e0 AS (SELECT {key}, " + ", ".join(f"{rank(f'round({x} * 1024)', 0.5)} / 1024 AS m_{x}, greatest(({rank(f'round({x} * 1024)', 0.75)} - {rank(f'round({x} * 1024)', 0.25)}) / (1.349 * 1024), {q.FLOORS[x]}) AS s_{x}" for x in names) + " FROM v GROUP BY ALL)",
+    ]
+    exact = " + ".join(f"{1 if i == j else 2} * {at(i, j)} * ({names[i]} - m_{names[i]}) * ({names[j]} - m_{names[j]})" for i, j in cells)
+    for k in range(q.STEPS):
+        first = " + ".join(f"(({x} - m_{x}) / s_{x}) * (({x} - m_{x}) / s_{x})" for x in names)
+        ctes.append(f"d{k} AS (SELECT v.*, round(ln({first if k == 0 else exact} + 1e-6) * 256) AS b FROM v JOIN e{k} USING ({key}))")
+        ctes.append(f"c{k} AS (SELECT {key}, {rank('b', q.H)} AS cut FROM d{k} GROUP BY ALL)")
+        sums = ", ".join([f"sum({x}) / count(*) AS m_{x}" for x in names] + [f"sum({names[i]} * {names[j]}) / count(*) AS c_{i}_{j}" for i, j in cells])
+        ctes.append(f"t{k} AS (SELECT {key}, {sums} FROM d{k} JOIN c{k} USING ({key}) WHERE b <= cut GROUP BY ALL)")
+        means = ", ".join(f"m_{x}" for x in names)
+        ctes.append(f"a{k}_0 AS (SELECT {key}, {means}, " + ", ".join(f"(c_{i}_{j} - m_{names[i]} * m_{names[j]}) * {factor!r} + {q.FLOORS[names[i]] ** 2 if i == j else 0.0!r} AS {at(i, j)}" for i, j in cells) + f" FROM t{k})")
+        for p in range(n):
+            swept = ", ".join((f"-1 / {at(p, p)}" if i == j == p else f"{at(i, j)} / {at(p, p)}" if p in (i, j) else f"{at(i, j)} - {at(i, p)} * {at(j, p)} / {at(p, p)}") + f" AS {at(i, j)}" for i, j in cells)
+            ctes.append(f"a{k}_{p + 1} AS (SELECT {key}, {means}, {swept} FROM a{k}_{p})")
+        ctes.append(f"e{k + 1} AS (SELECT {key}, {means}, " + ", ".join(f"-{at(i, j)} AS {at(i, j)}" for i, j in cells) + f" FROM a{k}_{n})")
+    limit = q.chi_square_quantile(1 - q.TAIL, n)
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({exact} <= {limit!r}, true) AS kept
+FROM x LEFT JOIN asg USING (g_lang, g_source) LEFT JOIN e{q.STEPS} USING ({key})"""
+
+
+OP5_SQL = _op5_sql()
+
 QUERIES = {
     f.__name__: f
     for f in (op1_chat_windows, op2_cost_balanced_packing, op3_family_svm, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op7_extendible_sharding, op8_block_rules, op9_line_templates, op10_simhash_bktree)
 }
-ORACLE_SQL = {"op1_chat_windows": OP1_SQL, "op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
+ORACLE_SQL = {"op1_chat_windows": OP1_SQL, "op5_robust_outliers": OP5_SQL, "op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
