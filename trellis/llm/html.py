@@ -23,7 +23,7 @@ STOP_WORDS = {
 }
 _STOP = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LOW, STOP_HIGH = 0.08, 0.15
 LINK_HIGH, LINK_ARTICLE = 0.2, 0.5
 
 _DROP = "script|style|noscript|template|svg|math|canvas|iframe|object|audio|video|select|textarea|head"
@@ -193,19 +193,23 @@ def extract(page: str | None) -> str:
             labels.append("bad" if b.links else "short")
         else:
             d = _density(b.text, stop)
-            labels.append(("good" if n > LENGTH_HIGH else "near") if d >= STOP_HIGH else "near" if d >= STOP_LOW else "bad")
+            labels.append(("good" if n > LENGTH_HIGH else "near") if d >= STOP_HIGH else "near" if d >= STOP_LOW else "low")
     # Pass two. Blocks of navigation and the like have no say. Near-text is text unless decided blocks on both sides
-    # aren't; then short blocks follow the nearest decided block, and are text in an article that has none.
+    # aren't, text of few stop words only if those on both sides are; then short blocks follow the nearest decided block,
+    # and are text where there is none: in an article, or on a page without any decided text.
     regions = [b.region for b in found]
     voters = [b.state != "bad" for b in found]
     before, behind = _neighbours(labels, regions, voters)
-    labels = ["bad" if x == "near" and a and b and a[0] == b[0] == "bad" else "good" if x == "near" else x for x, a, b in zip(labels, before, behind)]
+    both = lambda a, b, label: bool(a and b and a[0] == b[0] == label)
+    labels = [("bad" if both(a, b, "bad") else "good") if x == "near" else x for x, a, b in zip(labels, before, behind)]
+    before, behind = _neighbours(labels, regions, voters)
+    labels = [("good" if both(a, b, "good") else "bad") if x == "low" else x for x, a, b in zip(labels, before, behind)]
     before, behind = _neighbours(labels, regions, voters)
     final = []
     for i, label in enumerate(labels):
         if label == "short":
             near = [x for x in (before[i], behind[i]) if x]
-            label = min(near, key=lambda x: (abs(x[1] - i), x[0] != "good"))[0] if near else "good" if regions[i] else "bad"
+            label = min(near, key=lambda x: (abs(x[1] - i), x[0] != "good"))[0] if near else "good" if regions[i] or "good" not in labels else "bad"
         final.append(label)
     return "\n".join(b.text for b, label in zip(found, final) if label == "good")
 
