@@ -193,5 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, s
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id names their group, one row for each group; columns as given."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    # One key for the join and for repeated rows, null ids included, so the texts are shuffled once.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_k")).distinct()
+    return docs.withColumn("_k", key("doc_id")).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
