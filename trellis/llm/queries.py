@@ -92,7 +92,9 @@ l AS (SELECT r, doc_id, unnest(w) AS line, unnest(range(0, len(w))) AS i FROM d
 t AS (SELECT r, doc_id, line, i, list_filter(regexp_split_to_array(line, '[ \t\x0b\f\r]+'), lambda x: x <> '') AS k FROM l),
 m AS (SELECT r, doc_id, line, i, len(k) AS n, array_to_string(list_transform(k, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS g FROM t),
 f AS (SELECT g FROM m WHERE n >= {linededup.MIN_TOKENS} GROUP BY g HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
-h AS (SELECT m.*, f.g IS NOT NULL AS hit FROM m LEFT JOIN f ON m.g = f.g AND m.n >= {linededup.MIN_TOKENS}),
+own AS (SELECT r FROM m LEFT JOIN f ON m.g = f.g AND m.n >= {linededup.MIN_TOKENS} GROUP BY r HAVING sum(CASE WHEN f.g IS NOT NULL THEN n ELSE 0 END) <= {linededup.MOST} * sum(n)),
+f2 AS (SELECT g FROM m JOIN f USING (g) JOIN own USING (r) WHERE n >= {linededup.MIN_TOKENS} GROUP BY g HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+h AS (SELECT m.*, f2.g IS NOT NULL AS hit FROM m LEFT JOIN f2 ON m.g = f2.g AND m.n >= {linededup.MIN_TOKENS}),
 s AS (
   SELECT r, count(*) AS n_lines, sum(hit::INT) AS n_recurring, sum(CASE WHEN hit THEN n ELSE 0 END) <= {linededup.MOST} * sum(n) AND sum(hit::INT) > 0 AS cut,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS rest
