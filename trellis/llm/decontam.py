@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN, K = 10, 5
 #: Benchmark text up to this size is broadcast; a larger one is joined through a shuffle.
@@ -136,7 +137,7 @@ class Index:
                         found.add(item)
 
 
-_OUT = "n_words bigint, n_hit bigint, item_ids array<string>"
+_OUT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType()))]
 
 
 def _batch(b: pa.RecordBatch, marks: list[tuple[int, int, list[str]]], head: int) -> pa.RecordBatch:
@@ -158,7 +159,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, br
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     rows = docs.select(F.struct("*").alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
+    schema = T.StructType([rows.schema["row"], *_OUT])
     size = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     if size <= broadcast_bytes:
         sent = spark.sparkContext.broadcast([(r[0], None if r[1] is None else r[1].encode()) for r in items.collect()])
@@ -168,7 +169,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, br
             for b in batches:
                 yield _batch(b, [_mark(word_hashes(t), index) for t in b.column(1).cast(pa.binary()).to_pylist()], 1)
 
-        return rows.mapInArrow(near, f"row {kind}, {_OUT}")
+        return rows.mapInArrow(near, schema)
 
     w = span - k + 1
     short = [r[0] for r in items.mapInArrow(_lengths(span), "m int").distinct().collect()]  # at most span - 1 numbers
@@ -211,7 +212,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, br
                 out.append(_mark(word_hashes(t), index))
             yield _batch(b, out, 1)
 
-    return keyed.join(candidates, "key", "left").select("row", "text", "items").mapInArrow(far, f"row {kind}, {_OUT}")
+    return keyed.join(candidates, "key", "left").select("row", "text", "items").mapInArrow(far, schema)
 
 
 def _lengths(span: int):
