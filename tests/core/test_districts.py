@@ -152,3 +152,10 @@ def test_output_round_trip(solved, tmp_path):
     assert solve.cost_breakdown(net).count() > 0
     stub = solve.stub_network(features).where("district = 'straight'").first()
     assert abs(stub.length - 100) < 1e-6 and stub.dn == 100 and abs(stub.cost - 8_974_800) < 1
+
+
+def test_profiles(spark):
+    files = spark.createDataFrame([("road", collection(MAIN + CASES["road"]))], "district string, text string")
+    features = geojson.scan_text(files)
+    factors = {p: {r.k_special for r in solve.network(features, strategies=("flow",), profile=p).where("laying = 'special'").collect()} for p in ("heat", "water", "cable")}
+    assert factors == {"heat": {1.6}, "water": {1.5}, "cable": {1.4}}

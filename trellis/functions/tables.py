@@ -53,8 +53,44 @@ RULES = {
         ("sewer", "special", 1.5, None, 2.0, 1.10, 0.60, 0.60, 3.5, 0.2, False),
         ("telecom", "special", 1.0, None, 2.0, 1.05, 0.20, 0.20, 1.0, 0.3, False),
     ],
+    "water": [
+        ("oks", "forbidden", 5.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("park", "forbidden", 1.5, None, 0.0, 1.0, None, None, None, None, False),
+        ("social_area", "forbidden", 1.5, None, 0.0, 1.0, None, None, None, None, False),
+        ("prohibited_site", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("water", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("railway", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("road", "special", 2.0, 45.0, 3.0, 1.50, None, None, None, 1.0, True),
+        ("tram_tracks", "special", 2.0, 45.0, 3.0, 1.60, None, None, None, 1.2, True),
+        ("gas_pipeline", "special", 1.0, None, 2.0, 1.20, 0.40, 0.40, 2.8, 0.2, False),
+        ("power_cable", "special", 0.5, None, 2.0, 1.10, 0.20, 0.20, 2.7, 0.5, False),
+        ("heat_network", "special", 1.5, None, 2.0, 1.10, None, None, 3.0, 0.5, False),
+        ("sewer", "special", 1.5, None, 2.0, 1.10, 0.60, 0.60, 3.5, 0.4, False),
+    ],
+    "cable": [
+        ("oks", "forbidden", 0.6, None, 0.0, 1.0, None, None, None, None, False),
+        ("park", "forbidden", 0.6, None, 0.0, 1.0, None, None, None, None, False),
+        ("social_area", "forbidden", 0.6, None, 0.0, 1.0, None, None, None, None, False),
+        ("prohibited_site", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("water", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("railway", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False),
+        ("road", "special", 1.0, 45.0, 2.0, 1.40, None, None, None, 1.0, True),
+        ("tram_tracks", "special", 1.0, 45.0, 2.0, 1.50, None, None, None, 1.0, True),
+        ("gas_pipeline", "special", 1.0, None, 1.0, 1.15, 0.40, 0.40, 2.8, 0.5, False),
+        ("power_cable", "special", 0.5, None, 1.0, 1.05, 0.20, 0.20, 2.7, 0.25, False),
+        ("heat_network", "special", 2.0, None, 2.0, 1.10, None, None, 3.0, 0.5, False),
+    ],
 }
 UNKNOWN_RULE = ("unknown", "forbidden", 1.0, None, 0.0, 1.0, None, None, None, None, False)
+#: Clearance of unknown types by profile.
+UNKNOWN_CLEARANCE = {"heat": 1.0, "water": 1.0, "cable": 0.6}
+
+
+def unknown_rule(profile: str = "heat") -> tuple:
+    """Rule of a type that the profile doesn't know: forbidden."""
+    return (*UNKNOWN_RULE[:2], UNKNOWN_CLEARANCE[profile], *UNKNOWN_RULE[3:])
+
+
 ALIASES = {
     "school": "social_area", "kindergarten": "social_area", "hospital": "social_area", "detsad": "social_area", "building": "oks", "river": "water",
     "pond": "water", "rail": "railway", "tram": "tram_tracks", "gas": "gas_pipeline", "cable": "power_cable",
@@ -118,12 +154,12 @@ def with_rule(df: DataFrame, kind: str, profile: str = "heat") -> DataFrame:
     """df with the columns of its type's rule (rule_type null where the type is unknown, with that rule's values)."""
     table = F.broadcast(rules(df.sparkSession, profile).select(*[F.col(c.split()[0]).alias(f"rule_{c.split()[0]}") for c in RULE_SCHEMA.split(", ")]))
     joined = df.join(table, canonical_type(kind) == F.col("rule_type"), "left")
-    default = dict(zip([c.split()[0] for c in RULE_SCHEMA.split(", ")], UNKNOWN_RULE))
+    default = dict(zip([c.split()[0] for c in RULE_SCHEMA.split(", ")], unknown_rule(profile)))
     return joined.withColumns({f"rule_{k}": F.when(F.col("rule_type").isNull(), F.lit(v)).otherwise(F.col(f"rule_{k}")) for k, v in default.items() if k != "type" and v is not None})
 
 
 def clearance(kind: Column | str, dn: Column | str, base: Column | str) -> Column:
-    """Clearance for a diameter: buildings ask 5 m below DN 500, 7 m up to DN 800, 9 m above; other types their own."""
+    """Clearance for a diameter: buildings ask 5 m below DN 500, 7 m up to DN 800, 9 m above, in every profile; other types their own."""
     dn = _col(dn)
     return F.when(canonical_type(kind) == "oks", F.when(dn < 500, 5.0).when(dn <= 800, 7.0).otherwise(9.0)).otherwise(_col(base))
 

@@ -20,7 +20,6 @@ from trellis.operators.geometry import Shape, angle, crossings, project, zone
 SLACK, MAX_APPROACHES, MAX_EXPANSIONS = 0.05, 12, 20_000
 _DN = [row[0] for row in T.DIAMETERS]
 _ROW = {row[0]: row for row in T.DIAMETERS}
-_RULES = {row[0]: row for row in T.RULES["heat"]}
 
 
 def smallest(flow: float, length: float = 0.0) -> int | None:
@@ -82,19 +81,20 @@ class District:
     obstacles: list[Obstacle]
 
     @staticmethod
-    def load(rows: list[dict]) -> District:
+    def load(rows: list[dict], profile: str = "heat") -> District:
         """From typed feature rows (object_type, id_key, coords as nested lists, and so on)."""
+        rules = {row[0]: row for row in T.RULES[profile]}
         of = lambda k: [r for r in rows if r["object_type"] == k]
         pipes = [(r["id_key"], np.array(r["coords"]), int(r["diameter"])) for r in of("heat_network")]
         obstacles = []
         for r in of("restriction"):
             kind = str(r["restriction_type"]).strip().lower()
             kind = T.ALIASES.get(kind, kind)
-            rule = _RULES.get(kind, T.UNKNOWN_RULE)
+            rule = rules.get(kind, T.unknown_rule(profile))
             g, c = r["geometry_type"], r["coords"]
             parts = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c, "LineString": lambda c: [[c]], "MultiLineString": lambda c: [[x] for x in c]}[g](c)
             obstacles.append(Obstacle(r["id_key"], kind, Shape([[np.array(x) for x in p] for p in parts], "Polygon" in g), rule[1] == "special", rule[2], rule[3], rule[4], rule[5], rule[8], rule[7] or 0.0, rule[9] or 0.0, rule[10]))
-        rule = _RULES["heat_network"]
+        rule = rules["heat_network"]
         for key, line, dn in pipes:
             obstacles.append(Obstacle(key, "heat_network", Shape([[line]], False), True, rule[2], None, rule[4], rule[5], rule[8], _ROW[dn][5], rule[9], False, True))
         chambers = [(r["id_key"], np.array(r["coords"])) for r in of("heat_chamber")]
@@ -538,9 +538,9 @@ def pieces(builder: Builder, edge: Edge, depths: bool) -> list[dict]:
     return out
 
 
-def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D") -> list[dict]:
+def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D", profile: str = "heat") -> list[dict]:
     """Network of one district by one strategy, as rows of pipes, chambers, technical nodes and missed points."""
-    district = District.load(rows)
+    district = District.load(rows, profile)
     if not district.pipes:
         return []
     b = Builder(district)

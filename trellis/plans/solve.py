@@ -26,7 +26,7 @@ NETWORK = (
 _COLUMNS = [c.split()[0] for c in NETWORK.replace("array<struct<x:double,y:double>>", "a").replace("array<struct<lon:double,lat:double>>", "a").split(", ")]
 
 
-def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, ...] = STRATEGIES, profile: str = "heat") -> DataFrame:
     """Rows of each district's network by each strategy: pipes, chambers, technical nodes, tie-ins and unconnected points."""
     ok = features.where("message IS NULL AND pos >= 0").select("district", "pos", "id_key", "object_type", "diameter", "flow", "restriction_type", "geometry_type", "coords")
     spread = ok.withColumn("variant", F.explode(F.array(*map(F.lit, strategies))))
@@ -35,7 +35,7 @@ def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, .
         rows = pdf.sort_values("pos").to_dict("records")
         for r in rows:
             r["coords"] = json.loads(r["coords"])
-        made = routing.solve(rows, pdf["variant"].iloc[0], mode)
+        made = routing.solve(rows, pdf["variant"].iloc[0], mode, profile)
         out = []
         for r in made:
             row = dict.fromkeys(_COLUMNS) | {k: v for k, v in r.items() if k in _COLUMNS} | {"district": pdf["district"].iloc[0], "variant": pdf["variant"].iloc[0]}

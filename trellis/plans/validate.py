@@ -135,14 +135,14 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     return reduce(DataFrame.unionByName, out)
 
 
-def spatial_checks(features: DataFrame, net: DataFrame) -> DataFrame:
+def spatial_checks(features: DataFrame, net: DataFrame, profile: str = "heat") -> DataFrame:
     """Checks of crossings between new pipes and of clearances to forbidden obstacles, one group for each variant of a district."""
     obstacles = features.where("message IS NULL AND object_type = 'restriction'").select("district", F.to_json(F.struct("id_key", "restriction_type", "geometry_type", "coords")).alias("o")).groupBy("district").agg(F.collect_list("o").alias("obstacles"))
     rows = net.where("kind = 'pipe'").select(*KEY, "key", "start", "end", F.col("line").cast("array<struct<x:double,y:double>>").alias("line"), "diameter").join(obstacles, "district", "left")
     points = features.where("message IS NULL AND object_type = 'oks_connection_point'").groupBy("district").agg(F.collect_list(F.struct("id_key", "coords")).alias("points"))
     rows = rows.join(points, "district", "left")
     width = {r[0]: r[4] for r in T.DIAMETERS}
-    rules = {r[0]: r for r in T.RULES["heat"]}
+    rules = {r[0]: r for r in T.RULES[profile]}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         areas = []
@@ -150,7 +150,7 @@ def spatial_checks(features: DataFrame, net: DataFrame) -> DataFrame:
         for o in map(json.loads, first["obstacles"] if first["obstacles"] is not None else []):
             kind = o["restriction_type"].strip().lower()
             kind = T.ALIASES.get(kind, kind)
-            rule = rules.get(kind, T.UNKNOWN_RULE)
+            rule = rules.get(kind, T.unknown_rule(profile))
             if rule[1] == "forbidden":
                 c, g = json.loads(o["coords"]), o["geometry_type"]
                 parts = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c, "LineString": lambda c: [[c]], "MultiLineString": lambda c: [[x] for x in c]}[g](c)
