@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
+_written: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._trellis_path = path
+    _written.append(out)
+    return out
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Materialize the result of an operator and delete the tables that were written for it since the last settling."""
+    mine, _written[:] = list(_written), []
+    out = materialize(df, name)
+    _written.clear()
+    for done in mine:
+        discard(done)
     return out
 
 
