@@ -76,3 +76,12 @@ def test_shards_meet_and_forest_finds_every_link(spark):
         rows = met.groupby(["block", "value", "sub", "part"])["fp"].apply(set)
         seen = {(a, b) for g in rows for a in g for b in g}
         assert all((int(arr.view(np.int64)[i]), int(arr.view(np.int64)[j])) in seen for i, j in pairs)
+
+
+def test_null_and_repeated_ids_of_unlike_text_survive(spark):
+    text = lambda c: " ".join(f"{c}{chr(97 + i)}" for i in range(20))
+    rows = [(None, text("p")), (None, text("q")), (None, text("q")), (5, text("r")), (5, text("s")), (6, text("r")), (2, text("s")), (None, text("s")), (None, None), (None, "")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    named = [tuple(r) for r in kept if r.text]
+    assert sorted(named, key=str) == sorted([(None, text("p")), (None, text("q")), (5, text("r")), (2, text("s"))], key=str)
+    assert len(kept) == 5

@@ -45,14 +45,19 @@ def fingerprint(text: bytes | None, width: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, fp) for every row; null and empty texts get fingerprint 0."""
+    return _marked(docs, width).select("doc_id", "fp")
+
+
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, fp) for every row."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=["doc_id", "fp"])
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 class BKForest:
@@ -173,6 +178,16 @@ def shards(distinct_fp: DataFrame, radius: int = RADIUS, split_over: int = 4096)
     return dealt.select("block", "value", F.col("s.sub").alias("sub"), F.col("s.part").alias("part"), "fp")
 
 
+def _rooted(marked: DataFrame, radius: int, split_over: int) -> DataFrame:
+    """(fp, root) for every fingerprint: root is the same for all that links of at most ``radius`` bits connect."""
+    nodes = marked.select("fp").distinct()
+    dealt = shards(nodes, radius, split_over)
+    dealt = dealt.select(F.xxhash64("block", "value", "sub", "part").alias("shard"), "fp")
+    links = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_links(radius, 200_000), "a bigint, b bigint")
+    roots = components(links)
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, split_over: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable by links of at most ``radius`` bits.
 
@@ -180,20 +195,19 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, s
     doc_id takes part; a group of null ids alone gets a null component_id. An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, width), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    dealt = shards(nodes.select("fp"), radius, split_over)
-    dealt = dealt.select(F.xxhash64("block", "value", "sub", "part").alias("shard"), "fp")
-    links = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_links(radius, 200_000), "a bigint, b bigint")
-    roots = components(links)
-    grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    grouped = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(_rooted(marked, radius, split_over), "fp")
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = grouped.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names their group, one row for each group; columns as given."""
-    # One key for the join and for repeated rows, null ids included, so the texts are shuffled once.
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_k")).distinct()
-    return docs.withColumn("_k", key("doc_id")).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, split_over: int = 4096) -> DataFrame:
+    """One row of docs for each group of near copies, of its smallest doc_id (null only if it has no other); columns as given."""
+    marked = materialize(_marked(docs, width), "fingerprints")
+    # One key for the join and for repeated rows, null ids included, so the texts are shuffled once. Rows equal in both are one document.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+    kept = marked.join(_rooted(marked, radius, split_over), "fp").groupBy("root").agg(F.min(row).alias("r"))
+    key = [F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("r.no_id").alias("_n"), F.col("r.text_hash").alias("_h")]
+    own = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64("text")})
+    names = ["_k", "_n", "_h"]
+    return own.join(kept.select(*key), names, "left_semi").dropDuplicates(names).select(*docs.columns)
