@@ -65,3 +65,12 @@ def test_estimates_equal_brute_force(spark):
 def test_chi_square():
     assert abs(quality.chi_square_cdf(11.0705, 5) - 0.95) < 1e-5
     assert abs(quality.chi_square_quantile(0.75, 5) - 6.6257) < 1e-3
+
+
+def test_labelled_junk_goes_and_clean_rows_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [r for r in quality.judged(spark.read.parquet(f"{sf}/documents.parquet")).collect() if not r.base_failed]
+    kept = {q: [r.kept for r in passed if quality_of.get(r.doc_id) == q] for q in (0, 1)}
+    assert kept[0] and not any(kept[0])
+    assert kept[1] and all(kept[1])

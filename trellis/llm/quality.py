@@ -19,7 +19,7 @@ from trellis.llm.common import materialize
 #: Base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a group's rows behind its estimates, concentration steps, and the tail probability beyond which a row goes.
-H, STEPS, TAIL = 0.75, 3, 1e-9
+H, STEPS, TAIL = 0.75, 3, 1e-3
 #: Sources with fewer rows in a language are estimated together, and languages that are still smaller than this together.
 MIN_GROUP, POOL = 50, "\0"
 #: Smallest spread taken for each transformed statistic.
