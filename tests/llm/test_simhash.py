@@ -85,3 +85,32 @@ def test_null_and_repeated_ids_of_unlike_text_survive(spark):
     named = [tuple(r) for r in kept if r.text]
     assert sorted(named, key=str) == sorted([(None, text("p")), (None, text("q")), (5, text("r")), (2, text("s"))], key=str)
     assert len(kept) == 5
+
+
+def test_copies_of_jaccard_similarity_are_found(spark):
+    """Kept documents are exactly one of each component of pairs with exact 5-word Jaccard >= 0.8 or 4 bits."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for n in (2, 3, 4, 5, 8, 30):
+            other = list(base)
+            for at in rng.sample(range(200), n):
+                other[at] = word()
+            texts.append(other)
+    texts += [["a", "b"], ["a", "b"], []]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, min(len(t), 1)))}
+    sets = [shingles(t) for t in texts]
+    fps = [simhash.fingerprint(" ".join(t).encode()) & (2**64 - 1) for t in texts]
+    label, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and bool(sets[i])
+            far += alike and (fps[i] ^ fps[j]).bit_count() > 4
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 4:
+                label = [label[j] if x == label[i] else x for x in label]
+    want = sorted(min(i for i, x in enumerate(label) if x == c) for c in set(label))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    assert far and sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == want

@@ -6,6 +6,11 @@ So fingerprints are first dealt into shards by the pigeonhole rule (of 5 bit blo
 in at most 4 bits share one whole block), each shard gets its own BK-tree, and the trees travel with the shuffle
 instead of a broadcast. Shards above ``split_over`` members are dealt once more by the remaining bits, again
 without losing a pair.
+
+Copy groups (the pipeline's) add links of Jaccard similarity: 4 bits only reach copies that are nearly equal. Texts that
+share one of BANDS bands of ROWS minimum hashes of their 5-word shingles are candidates (a pair at similarity 0.8 is
+missed with probability (1 - 0.8^ROWS)^BANDS, 3e-6), and a candidate pair is linked if the exact similarity of its shingle
+sets is 0.8 or more. Pairs that other links already connect needn't be looked at, which keeps large groups from being squared.
 """
 
 from __future__ import annotations
@@ -21,21 +26,29 @@ from pyspark.sql import functions as F
 from trellis.llm.common import components, materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
+#: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, bands and minimum hashes of each.
+COPY_WORDS, ALIKE, BANDS, ROWS = 5, 8, 24, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = WORDS) -> int:
-    """Signed 64-bit SimHash of the text's shingles of ``width`` words; fewer words: the whole sequence; none: 0."""
+def _shingles(text: bytes | None, width: int) -> list[int]:
+    """Hashes of the text's shingles of ``width`` words; fewer words: of the whole sequence."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < width:
-        hashes = [h(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        hashes = [h(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[width - 1 :])]
+        return [h(joined, SEED)]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return [h(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[width - 1 :])]
+
+
+def fingerprint(text: bytes | None, width: int = WORDS) -> int:
+    """Signed 64-bit SimHash of the text's shingles of ``width`` words; fewer words: the whole sequence; none: 0."""
+    hashes = _shingles(text, width)
+    if not hashes:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _STEP):
         part = np.array(hashes[i : i + _STEP], dtype="<u8")
@@ -60,6 +73,22 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
+_TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: list[int]) -> list[int]:
+    """One signed key for each band of minimum hashes; none for a text without words."""
+    if not hashes:
+        return []
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        x = np.array(hashes[i : i + 4096], np.uint64)
+        x ^= x >> np.uint64(31)
+        np.minimum(low, (x[None, :] * _TURNS[0][:, None] + _TURNS[1][:, None]).min(axis=1), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), j) - (1 << 63) for j, r in enumerate(rows)]
+
+
 class BKForest:
     """BK-trees of many shards side by side: children are keyed by their integer Hamming distance to the parent.
 
@@ -201,12 +230,77 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, s
     return marked.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _copy_marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, bands) for every row."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            fps = pa.array([fingerprint(t) for t in texts], pa.int64())
+            keys = pa.array([bands(_shingles(t, COPY_WORDS)) for t in texts], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), fps, keys], names=["doc_id", "text_hash", "fp", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bands array<bigint>")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, fa, fb) of text hashes whose texts have an exact Jaccard similarity of ALIKE tenths or more, as links (fa, fb)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(_shingles(t, COPY_WORDS), np.uint64)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["h", "s"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(named, "h", "left_semi")
+    sets = materialize(texts.mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"]), "shingles")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    return both.where(10 * inter >= ALIKE * (F.size("sa") + F.size("sb") - inter)).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) after more links between fingerprints."""
+    linked = components(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(links))
+    return materialize(roots.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, root): roots are equal where op10's links or links of Jaccard similarity connect."""
+    marked = materialize(_copy_marks(docs), "fingerprints")
+    roots = materialize(_rooted(marked, RADIUS, 4096), "roots")
+    placed = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("h", "fp")).alias("first")).where("n > 1").select("band", "first")
+    placed = materialize(placed.join(shared, "band"), "bands")
+    # First every text with its band's first, which gathers most groups; then all pairs that are still apart.
+    of = lambda name: roots.select(F.col("fp").alias(f"f{name}"), F.col("root").alias(f"r{name}"))
+    star = placed.select(F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("first.h").alias("b"), F.col("first.fp").alias("fb")).where("a <> b").distinct()
+    star = materialize(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), "pairs")
+    roots = _joined(roots, _alike(docs, star))
+    tried = placed.join(roots, "fp")
+    mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    tried = materialize(tried.join(mixed, "band", "left_semi").select("band", "h", "fp", "root"), "bands")
+    x, y = (tried.select("band", F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    rest = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b", "fa", "fb").distinct()
+    return marked.drop("bands"), _joined(roots, _alike(docs, materialize(rest, "pairs")))
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of copy_groups, of its smallest doc_id; columns as given."""
+    return _one_each(docs, *copy_groups(docs))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, split_over: int = 4096) -> DataFrame:
     """One row of docs for each group of near copies, of its smallest doc_id (null only if it has no other); columns as given."""
     marked = materialize(_marked(docs, width), "fingerprints")
+    return _one_each(docs, marked, _rooted(marked, radius, split_over))
+
+
+def _one_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
     # One key for the join and for repeated rows, null ids included, so the texts are shuffled once. Rows equal in both are one document.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    kept = marked.join(_rooted(marked, radius, split_over), "fp").groupBy("root").agg(F.min(row).alias("r"))
+    kept = marked.join(roots, "fp").groupBy("root").agg(F.min(row).alias("r"))
     key = [F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("r.no_id").alias("_n"), F.col("r.text_hash").alias("_h")]
     own = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64("text")})
     names = ["_k", "_n", "_h"]
