@@ -260,7 +260,7 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(10 * inter >= ALIKE * (F.size("sa") + F.size("sb") - inter)).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, root) after more links between fingerprints."""
     linked = components(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(links))
     return materialize(roots.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
@@ -277,13 +277,13 @@ def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = lambda name: roots.select(F.col("fp").alias(f"f{name}"), F.col("root").alias(f"r{name}"))
     star = placed.select(F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("first.h").alias("b"), F.col("first.fp").alias("fb")).where("a <> b").distinct()
     star = materialize(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), "pairs")
-    roots = _joined(roots, _alike(docs, star))
+    roots = linked(roots, _alike(docs, star))
     tried = placed.join(roots, "fp")
     mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     tried = materialize(tried.join(mixed, "band", "left_semi").select("band", "h", "fp", "root"), "bands")
     x, y = (tried.select("band", F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
     rest = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b", "fa", "fb").distinct()
-    return marked.drop("bands"), _joined(roots, _alike(docs, materialize(rest, "pairs")))
+    return marked.drop("bands"), linked(roots, _alike(docs, materialize(rest, "pairs")))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
