@@ -60,3 +60,25 @@ def test_pack_balances_and_fills():
         filled[s] += n
     assert sorted(filled.values())[1:] == [1024] * (count - 1)
     assert packing.pack([]) == ([], 0)
+
+
+def test_only_what_fits_nowhere_is_cut():
+    """Brute force over every sequence: each tail goes to the cheapest with room, and is cut only if none has."""
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.integers(1, 3000, 1500)]
+    pieces, count = packing.pack(sizes)
+    full = sum(n // 1024 for n in sizes)
+    room = {s: 1024 for s in range(full, count)}
+    room[count - 1] = sum(sizes) - (count - 1) * 1024
+    load, cut = dict.fromkeys(room, 0.0), set()
+    whole = {(d, start): (n, s) for d, start, n, s, _ in pieces}
+    for n, d in sorted(((n % 1024, d) for d, n in enumerate(sizes) if n % 1024), key=lambda x: (-x[0], x[1])):
+        fits = [(load[s], s) for s in room if room[s] >= n]
+        if not fits:
+            cut.add(d)
+            continue
+        s = min(fits)[1]
+        assert whole[d, sizes[d] // 1024 * 1024] == (n, s)
+        room[s] -= n
+        load[s] += packing.cost(n)
+    assert cut == {d for d, n in enumerate(sizes) if n % 1024 and whole[d, n // 1024 * 1024][0] < n % 1024}

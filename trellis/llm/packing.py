@@ -49,8 +49,6 @@ def pack(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR, qua
     room = {s: capacity for s in range(full, count)}
     if count > full:
         room[count - 1] = last
-    queue = [(0.0, s) for s in room]
-    heapq.heapify(queue)
     load = dict.fromkeys(room, 0.0)
     placed: dict[int, int] = dict.fromkeys(room, 0)
     limit = {s: room[s] for s in room}
@@ -62,25 +60,48 @@ def pack(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR, qua
         placed[s] += n
         load[s] += cost(n, linear, quadratic)
 
+    # Sequences by the room that is left, cheapest first; over the rooms a tree of minima, which finds the cheapest with enough.
+    size = 1 << capacity.bit_length()
+    none = (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(size)]
+    best = [none] * (2 * size)
+
+    def renew(r):
+        at = size + r
+        best[at] = heaps[r][0] if heaps[r] else none
+        while at > 1:
+            at //= 2
+            best[at] = min(best[2 * at], best[2 * at + 1])
+
+    for s, r in room.items():
+        heaps[r].append((0.0, s))
+    for r in set(room.values()):
+        heapq.heapify(heaps[r])
+        renew(r)
     for n, d, start in tails:
-        aside = []
-        while queue:
-            c, s = heapq.heappop(queue)
-            if limit[s] - placed[s] >= n:
-                put(d, start, n, s)
-                if placed[s] < limit[s]:
-                    heapq.heappush(queue, (load[s], s))
-                break
-            aside.append((c, s))
-            if len(aside) == 64:  # the cheapest have no room; the rest is cut below
-                break
-        else:
-            pass
-        done = pieces and pieces[-1][0] == d and pieces[-1][1] == start and pieces[-1][2] == n
-        for x in aside:
-            heapq.heappush(queue, x)
-        if not done:
+        low, high, found = size + n, 2 * size, none
+        while low < high:
+            if low & 1:
+                found = min(found, best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = min(found, best[high])
+            low //= 2
+            high //= 2
+        s = found[1]
+        if s < 0:
             waiting.append((n, d, start))
+            continue
+        r = limit[s] - placed[s]
+        heapq.heappop(heaps[r])
+        renew(r)
+        put(d, start, n, s)
+        if r > n:
+            heapq.heappush(heaps[r - n], (load[s], s))
+            renew(r - n)
+    queue = [x for h in heaps for x in h]
+    heapq.heapify(queue)
     for n, d, start in waiting:
         while n:
             _, s = heapq.heappop(queue)
