@@ -389,7 +389,8 @@ class Builder:
             i = 1
             while i < len(e.line) - 1:
                 a, b, c = e.line[i - 1 : i + 2]
-                turns = [(e.line[i - 2], a, c)] * (i > 1) + [(a, c, e.line[i + 2])] * (i + 2 < len(e.line))
+                turns = [(e.line[i - 2], a, c)] if i > 1 else []
+                turns += [(a, c, e.line[i + 2])] if i + 2 < len(e.line) else []
                 self.dn, own = smallest(e.flow) or _DN[-1], self.edges
                 self.edges = [x for x in own if x is not e]
                 straight, first, second = self.crossed(a, c, frozenset()), self.crossed(a, b, frozenset()), self.crossed(b, c, frozenset())
