@@ -100,6 +100,8 @@ def test_copies_of_jaccard_similarity_are_found(spark):
             for at in rng.sample(range(200), n):
                 other[at] = word()
             texts.append(other)
+    passage = [word() for _ in range(160)]
+    texts += [[*passage[: 100 + i], *(word() for _ in range(60 - i))] for i in range(0, 60, 2)]  # share much, some of them enough
     texts += [["a", "b"], ["a", "b"], []]
     shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, min(len(t), 1)))}
     sets = [shingles(t) for t in texts]
@@ -113,4 +115,12 @@ def test_copies_of_jaccard_similarity_are_found(spark):
                 label = [label[j] if x == label[i] else x for x in label]
     want = sorted(min(i for i, x in enumerate(label) if x == c) for c in set(label))
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
-    assert far and sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == want
+    for options in ({}, {"levels": ((2, 32), (6, 48)), "crowd": 3}):  # the second sends most bands to the next level
+        assert far and sorted(r.doc_id for r in simhash.drop_copies(docs, **options).collect()) == want
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["doc_id", "text", "_k", "_n", "_h", "row", "fp", "root"]
+    docs = spark.createDataFrame([(1, "some words of a text here", "x", 7, 8, "y", 9, 1), (2, "other words in another text there", "z", 5, 4, "w", 3, 2)], names)
+    for kept in (simhash.drop_copies(docs), simhash.drop_near_duplicates(docs)):
+        assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))

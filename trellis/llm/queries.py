@@ -86,23 +86,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
+_ENOUGH9 = f"CASE WHEN n >= {linededup.LONG} THEN {min(linededup.LONG_DOCS, linededup.MIN_DOCS)} ELSE {linededup.MIN_DOCS} END"
+_WEIGHT9 = "coalesce(list_sum(list_transform({0}, lambda x: floor(16 * pow(2.0, x.s / 2.0)))), 0)"
 OP9_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS w FROM documents),
-l AS (SELECT r, doc_id, unnest(w) AS line, unnest(range(0, len(w))) AS i FROM d WHERE text IS NOT NULL),
-t AS (SELECT r, doc_id, line, i, list_filter(regexp_split_to_array(line, '[ \t\x0b\f\r]+'), lambda x: x <> '') AS k FROM l),
-m AS (SELECT r, doc_id, line, i, len(k) AS n, array_to_string(list_transform(k, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS g FROM t),
-f AS (SELECT g FROM m WHERE n >= {linededup.MIN_TOKENS} GROUP BY g HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
-own AS (SELECT r FROM m LEFT JOIN f ON m.g = f.g AND m.n >= {linededup.MIN_TOKENS} GROUP BY r HAVING sum(CASE WHEN f.g IS NOT NULL THEN n ELSE 0 END) <= {linededup.MOST} * sum(n)),
-f2 AS (SELECT g FROM m JOIN f USING (g) JOIN own USING (r) WHERE n >= {linededup.MIN_TOKENS} GROUP BY g HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
-h AS (SELECT m.*, f2.g IS NOT NULL AS hit FROM m LEFT JOIN f2 ON m.g = f2.g AND m.n >= {linededup.MIN_TOKENS}),
-s AS (
-  SELECT r, count(*) AS n_lines, sum(hit::INT) AS n_recurring, sum(CASE WHEN hit THEN n ELSE 0 END) <= {linededup.MOST} * sum(n) AND sum(hit::INT) > 0 AS cut,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS rest
-  FROM h GROUP BY r
-)
-SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring,
-  CASE WHEN cut THEN n_recurring ELSE 0 END::BIGINT AS n_dropped
-FROM d LEFT JOIN s USING (r)
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT r, text, t, unnest(w) AS line, unnest(range(0, len(w))) AS i FROM d),
+k AS (SELECT r, text, t, line, i, list_transform(list_filter(regexp_split_to_array(line, '[ \t\x0b\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS k FROM l),
+m AS (SELECT r, text, t, line, i, k, len(k) AS n, array_to_string(k[1:{linededup.LEADING}], ' ') AS lead, array_to_string(k, ' ') AS g FROM k),
+c AS (SELECT n, lead, g, any_value(k) AS k, count(*) AS c FROM (SELECT DISTINCT r, n, lead, g, k FROM m WHERE n >= {linededup.MIN_TOKENS}) GROUP BY ALL),
+v AS (SELECT n, lead FROM c WHERE n > {linededup.LEADING} AND n < {linededup.LONG} GROUP BY ALL HAVING sum(c) >= {linededup.MIN_DOCS} AND count(*) > 1),
+p AS (SELECT n, lead, g, c, k, unnest(k[{linededup.LEADING + 1}:]) AS token, unnest(range(0, n - {linededup.LEADING})) AS pos FROM c JOIN v USING (n, lead)),
+s AS (SELECT n, lead, pos, token FROM p GROUP BY ALL HAVING sum(c) >= {linededup.MIN_DOCS}),
+f AS (SELECT n, lead, g, any_value(c) AS c, string_agg(CASE WHEN s.pos IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS template, {linededup.LEADING} + count(s.pos) AS held FROM p LEFT JOIN s USING (n, lead, pos, token) GROUP BY n, lead, g),
+fields AS (SELECT n, lead, g, c, 'f ' || template AS template FROM f WHERE held < n AND 2 * held > n AND held >= 3),
+nodes AS (
+  SELECT n, lead, g, 'g ' || g AS template FROM c ANTI JOIN fields USING (n, lead, g) WHERE c >= {_ENOUGH9}
+  UNION ALL SELECT n, lead, g, template FROM fields JOIN (SELECT n, lead, template FROM fields GROUP BY ALL HAVING sum(c) >= {linededup.MIN_DOCS}) USING (n, lead, template)
+),
+found AS (SELECT m.*, template FROM m JOIN nodes USING (n, lead, g)),
+held AS (SELECT DISTINCT text, n, lead, template FROM found JOIN (SELECT n, lead, template FROM found GROUP BY ALL HAVING count(DISTINCT text) >= {_ENOUGH9}) USING (n, lead, template)),
+ends AS (
+  SELECT text, list(e) AS e FROM (
+    SELECT DISTINCT text, unnest([{{'k': 'first ' || lead, 's': round(2 * log2(n))}}, {{'k': 'last ' || array_to_string(k[greatest(n - {linededup.LEADING - 1}, 1):], ' '), 's': round(2 * log2(n))}}]) AS e
+    FROM m SEMI JOIN held USING (text) WHERE n > 0
+  ) GROUP BY text
+),
+pairs AS (SELECT DISTINCT a.text AS a, b.text AS b FROM held a JOIN held b USING (n, lead, template) WHERE a.text <> b.text),
+sums AS (SELECT a, b, {_WEIGHT9.format('x.e')} + {_WEIGHT9.format('y.e')} AS t, {_WEIGHT9.format('list_filter(x.e, lambda z: list_contains(y.e, z))')} AS s FROM pairs JOIN ends x ON x.text = a JOIN ends y ON y.text = b),
+links AS (SELECT a, b FROM sums WHERE 4 * s >= 3 * (t - s)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+roots AS (SELECT a AS text, least(a, min(b)) AS root FROM reach GROUP BY a),
+hot AS (SELECT n, lead, template FROM held LEFT JOIN roots USING (text) GROUP BY ALL HAVING count(DISTINCT coalesce(root, text)) >= {_ENOUGH9}),
+h AS (SELECT m.r, m.line, m.i, nodes.g IS NOT NULL AS recurring, hot.n IS NOT NULL AS hit FROM m LEFT JOIN nodes USING (n, lead, g) LEFT JOIN hot ON hot.n = m.n AND hot.lead = m.lead AND hot.template = nodes.template),
+o AS (SELECT r, count(*) AS n_lines, sum(recurring::INT) AS n_recurring, sum(hit::INT) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS rest FROM h GROUP BY r)
+SELECT doc_id, CASE WHEN n_dropped > 0 THEN rest ELSE text END AS text, CASE WHEN text IS NULL THEN 0 ELSE n_lines END::BIGINT AS n_lines, n_recurring::BIGINT AS n_recurring, n_dropped::BIGINT AS n_dropped
+FROM d JOIN o USING (r)
 """
 
 OP7_SQL = f"""

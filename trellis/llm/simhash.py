@@ -8,9 +8,11 @@ instead of a broadcast. Shards above ``split_over`` members are dealt once more
 without losing a pair.
 
 Copy groups (the pipeline's) add links of Jaccard similarity: 4 bits only reach copies that are nearly equal. Texts that
-share one of BANDS bands of ROWS minimum hashes of their 5-word shingles are candidates (a pair at similarity 0.8 is
-missed with probability (1 - 0.8^ROWS)^BANDS, 3e-6), and a candidate pair is linked if the exact similarity of its shingle
-sets is 0.8 or more. Pairs that other links already connect needn't be looked at, which keeps large groups from being squared.
+share one of 32 bands of 6 minimum hashes of their 5-word shingles are candidates (a pair at similarity 0.8 is missed with
+probability (1 - 0.8^6)^32, 6e-5), and a candidate pair is linked if the exact similarity of its shingle sets is 0.8 or more.
+First each text is compared with the first of each of its bands, which gathers most groups; pairs that links already
+connect needn't be looked at. What is left apart in one band is compared in pairs, unless it is more than CROWD texts, as
+where many texts share a passage and little else: those get longer bands (LEVELS), which tell them apart with the same care.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.common import components, materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, bands and minimum hashes of each.
-COPY_WORDS, ALIKE, BANDS, ROWS = 5, 8, 24, 4
+#: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, and minimum hashes and number of bands by level.
+COPY_WORDS, ALIKE, LEVELS = 5, 8, ((6, 32), (12, 128), (18, 512))
+#: Texts of one band that are compared in pairs; more go to the next level, except from the last.
+CROWD = 128
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 16
 
@@ -46,7 +50,10 @@ def _shingles(text: bytes | None, width: int) -> list[int]:
 
 def fingerprint(text: bytes | None, width: int = WORDS) -> int:
     """Signed 64-bit SimHash of the text's shingles of ``width`` words; fewer words: the whole sequence; none: 0."""
-    hashes = _shingles(text, width)
+    return _simhash(_shingles(text, width))
+
+
+def _simhash(hashes: list[int]) -> int:
     if not hashes:
         return 0
     counts = np.zeros(64, dtype=np.int64)
@@ -73,20 +80,37 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
-_TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+def copy_shingles(text: bytes | None, four: list[int] | None = None) -> np.ndarray:
+    """Distinct hashes of the text's 5-word shingles; fewer words: of the whole sequence; none: none.
 
+    A 5-word shingle is two consecutive 4-word shingles (four, if at hand), so its hash is made of theirs.
+    """
+    h = np.array(_shingles(text, WORDS) if four is None else four, np.uint64)
+    if len(h) > 1:
+        h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+        h ^= h >> np.uint64(31)
+    return np.unique(h)
 
-def bands(hashes: list[int]) -> list[int]:
-    """One signed key for each band of minimum hashes; none for a text without words."""
-    if not hashes:
+
+def _turns(rows: int, count: int) -> np.ndarray:
+    return np.random.default_rng([SEED, rows]).integers(1, 1 << 63, (2, rows * count, 1), dtype=np.uint64) | np.uint64(1)
+
+
+_turned: dict[tuple[int, int], np.ndarray] = {}
+
+
+def bands(hashes: np.ndarray, rows: int, count: int) -> list[int]:
+    """One signed key for each of ``count`` bands of ``rows`` minimum hashes; none for a text without words."""
+    if not len(hashes):
         return []
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        x = np.array(hashes[i : i + 4096], np.uint64)
-        x ^= x >> np.uint64(31)
-        np.minimum(low, (x[None, :] * _TURNS[0][:, None] + _TURNS[1][:, None]).min(axis=1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), j) - (1 << 63) for j, r in enumerate(rows)]
+    if (rows, count) not in _turned:
+        _turned[rows, count] = _turns(rows, count)
+    mul, add = _turned[rows, count]
+    low = np.full(rows * count, (1 << 64) - 1, np.uint64)
+    step = max(64, (1 << 17) // (rows * count))
+    for i in range(0, len(hashes), step):
+        np.minimum(low, (hashes[None, i : i + step] * mul + add).min(axis=1), out=low)
+    return [xxhash.xxh64_intdigest(r.tobytes(), j) - (1 << 63) for j, r in enumerate(low.reshape(count, rows))]
 
 
 class BKForest:
@@ -235,26 +259,32 @@ def _copy_marks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            keys = pa.array([bands(_shingles(t, COPY_WORDS)) for t in texts], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), fps, keys], names=["doc_id", "text_hash", "fp", "bands"])
+            fps, keys = [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                four = _shingles(t, WORDS)
+                fps.append(_simhash(four))
+                keys.append(bands(copy_shingles(t, four), *LEVELS[0]))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bands array<bigint>")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, fa, fb) of text hashes whose texts have an exact Jaccard similarity of ALIKE tenths or more, as links (fa, fb)."""
+def _of_texts(docs: DataFrame, hashes: DataFrame, make) -> DataFrame:
+    """(h, s) for each text hash (column h): what make gives for its text."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.array(_shingles(t, COPY_WORDS), np.uint64)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["h", "s"])
+            yield pa.record_batch([b.column(0), pa.array([make(t) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], names=["h", "s"])
+
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(hashes, "h", "left_semi")
+    return texts.mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"])
+
 
+def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, fa, fb) of text hashes whose texts have an exact Jaccard similarity of ALIKE tenths or more, as links (fa, fb)."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(named, "h", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"]), "shingles")
+    sets = materialize(_of_texts(docs, named, lambda t: copy_shingles(t).view(np.int64)), "shingles")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(10 * inter >= ALIKE * (F.size("sa") + F.size("sb") - inter)).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
@@ -266,29 +296,49 @@ def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(roots.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
-def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def copy_groups(docs: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp) of every row, and (fp, root): roots are equal where op10's links or links of Jaccard similarity connect."""
     marked = materialize(_copy_marks(docs), "fingerprints")
     roots = materialize(_rooted(marked, RADIUS, 4096), "roots")
-    placed = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("h", "fp")).alias("first")).where("n > 1").select("band", "first")
-    placed = materialize(placed.join(shared, "band"), "bands")
-    # First every text with its band's first, which gathers most groups; then all pairs that are still apart.
+    texts = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.col("bands").alias("s"))
+    for level in range(len(levels)):
+        roots, texts = _compared(docs, roots, texts.select("h", "fp", F.explode("s").alias("band")), crowd if level + 1 < len(levels) else None)
+        if texts is None or level + 1 == len(levels):
+            break
+        rows, count = levels[level + 1]
+        texts = texts.join(_of_texts(docs, texts.select("h"), lambda t, rows=rows, count=count: bands(copy_shingles(t), rows, count)), "h")
+    return marked.drop("bands"), roots
+
+
+def _compared(docs: DataFrame, roots: DataFrame, placed: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Roots after the links within bands, and the texts (h, fp) of bands too crowded for that."""
+    w = Window.partitionBy("band")
+    first = placed.withColumn("first", F.min(F.struct("h", "fp")).over(w)).withColumn("n", F.count("*").over(w)).where("n > 1")
+    placed = materialize(first.select("band", "h", "fp", "first"), "bands")
     of = lambda name: roots.select(F.col("fp").alias(f"f{name}"), F.col("root").alias(f"r{name}"))
     star = placed.select(F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("first.h").alias("b"), F.col("first.fp").alias("fb")).where("a <> b").distinct()
     star = materialize(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), "pairs")
     roots = linked(roots, _alike(docs, star))
     tried = placed.join(roots, "fp")
-    mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    tried = materialize(tried.join(mixed, "band", "left_semi").select("band", "h", "fp", "root"), "bands")
-    x, y = (tried.select("band", F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
+    tried = materialize(tried.join(mixed, "band").select("band", "h", "fp", "root", "n"), "bands")
+    few = tried if crowd is None else tried.where(F.col("n") <= crowd)
+    x, y = (few.select("band", F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    # Pairs that were compared with their band's first aren't compared again.
     rest = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b", "fa", "fb").distinct()
-    return marked.drop("bands"), linked(roots, _alike(docs, materialize(rest, "pairs")))
+    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    roots = linked(roots, _alike(docs, materialize(rest, "pairs")))
+    if crowd is None or not tried.where(F.col("n") > crowd).limit(1).count():
+        return roots, None
+    return roots, materialize(tried.where(F.col("n") > crowd).select("h", "fp").distinct(), "crowded")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of copy_groups, of its smallest doc_id; columns as given."""
-    return _one_each(docs, *copy_groups(docs))
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs for each group of copy_groups, of its smallest doc_id (null only if it has no other); columns as given.
+
+    Null and wordless texts are one group, as their fingerprints link. Of equal rows one stays; an empty table gives no rows.
+    """
+    return _one_each(docs, *copy_groups(docs, **options))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, split_over: int = 4096) -> DataFrame:
@@ -302,6 +352,6 @@ def _one_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     kept = marked.join(roots, "fp").groupBy("root").agg(F.min(row).alias("r"))
     key = [F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("r.no_id").alias("_n"), F.col("r.text_hash").alias("_h")]
-    own = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64("text")})
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("doc_id").isNull().alias("_n"), F.xxhash64("text").alias("_h"))
     names = ["_k", "_n", "_h"]
-    return own.join(kept.select(*key), names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return own.join(kept.select(*key), names, "left_semi").dropDuplicates(names).select("row.*")
