@@ -1,10 +1,12 @@
 """Quality rules: base statistics of every text, then multivariate outliers by regularised minimum-covariance-determinant
 estimates per language and source. DataFrame and SQL functions only.
 
-Each estimate starts from coordinate medians and quartile ranges and takes concentration steps: keep the share H of
-rows with the smallest distances, re-estimate centre and covariance from them. Quantiles are read from histograms of
-counts per group, so groups are never gathered: every pass is a partial aggregation. A fixed ridge (the squared FLOOR of
-each statistic) keeps small or constant groups invertible and ordinary variation inside the ellipse.
+Each group takes several deterministic starts (STARTS, norms of the coordinates scaled by median and quartile range). A
+concentration step keeps the share H of rows with the smallest distances and re-estimates centre and covariance from
+them, which never raises the determinant. After two steps from each start, the one of the smallest determinant goes on until
+no group's determinant changes, or for STEPS steps. Quantiles are read from histograms of counts per group, so groups are never gathered:
+every pass is a partial aggregation. A fixed ridge (the squared FLOOR of each statistic) belongs to every covariance whose determinant
+is compared; it keeps small or constant groups invertible and ordinary variation inside the ellipse.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ from trellis.llm.common import materialize
 
 #: Base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group's rows behind its estimates, concentration steps, and the tail probability beyond which a row goes.
-H, STEPS, TAIL = 0.75, 3, 1e-3
+#: Share of a group's rows behind its estimates, most steps after the choice of a start, and the tail probability beyond which a row goes.
+H, STEPS, TAIL = 0.75, 8, 1e-3
+#: First distances: sum of squares, largest and sum of the scaled coordinates.
+STARTS = ("squares", "largest", "sum")
 #: Sources with fewer rows in a language are estimated together, and languages that are still smaller than this together.
 MIN_GROUP, POOL = 50, "\0"
 #: Smallest spread taken for each transformed statistic.
 FLOORS = {"log_words": 1.0, "log_word_chars": 0.25, "root_symbols": 0.05, "root_dup_lines": 0.15, "root_repeats": 0.15}
 _WHITE = "\t\n\x0b\x0c\r"
+#: Integers of a histogram that are cumulated together.
+RANGE = 64
 _GROUP, _KEY = ["g_lang", "g_source"], ["e_lang", "e_source"]
 _X = list(FLOORS)
 
@@ -51,17 +57,15 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
         *keep,
         F.size("_w").cast("bigint").alias("n_words"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.expr("CASE WHEN size(_w) > 3 THEN sort_array(transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS g, i AS p))) END").alias("_g"),
+        F.expr("CASE WHEN size(_w) > 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END").alias("_h"),
     )
+    # Most texts repeat no window; only those that do are sorted by it.
+    keep += ["n_words", "n_dup_lines"]
+    grams = grams.select(*keep, F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> struct(h AS g, i AS p))) END").alias("_g"))
     # Positions of windows found twice or more, in order; each adds the words that the one before doesn't cover.
-    found = grams.select(
-        *keep,
-        "n_words",
-        "n_dup_lines",
-        F.expr("sort_array(transform(filter(_g, (x, i) -> (i > 0 AND _g[i - 1].g = x.g) OR (i < size(_g) - 1 AND _g[i + 1].g = x.g)), x -> x.p))").alias("_p"),
-    )
+    found = grams.select(*keep, F.expr("sort_array(transform(filter(_g, (x, i) -> (i > 0 AND _g[i - 1].g = x.g) OR (i < size(_g) - 1 AND _g[i + 1].g = x.g)), x -> x.p))").alias("_p"))
     repeats = F.expr("coalesce(aggregate(_p, named_struct('last', -3, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n), 0L)")
-    done = found.select(*keep, "n_words", "n_dup_lines", repeats.alias("n_repeat_words"))
+    done = found.select(*keep, repeats.alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return done.withColumn("base_failed", failed)
 
@@ -99,40 +103,56 @@ def chi_square_quantile(p: float, k: int) -> float:
 
 
 def _quantiles(df: DataFrame, key: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Smallest integer of column value at or above each share of its group's rows, from counts per integer."""
-    counts = df.groupBy(*key, value).agg(F.count("*").alias("n"))
+    """Smallest integer of column value at or above each share of its group's rows, from counts per integer.
+
+    Counts are cumulated over ranges of RANGE integers first, then within the one range that holds the share's row.
+    """
+    counts = df.groupBy(*key, value).agg(F.count("*").alias("n")).withColumn("_r", F.floor(F.col(value) / RANGE))
     on = ", ".join(key)
-    run = counts.select(*key, value, F.expr(f"sum(n) OVER (PARTITION BY {on} ORDER BY {value})").alias("_c"), F.expr(f"sum(n) OVER (PARTITION BY {on})").alias("_n"))
-    return run.groupBy(*key).agg(*[F.min(F.when(F.col("_c") >= F.ceil(F.col("_n") * s), F.col(value))).alias(name) for name, s in shares.items()])
+    run = counts.groupBy(*key, "_r").agg(F.sum("n").alias("_m")).select(*key, "_r", "_m", F.expr(f"sum(_m) OVER (PARTITION BY {on} ORDER BY _r)").alias("_c"), F.expr(f"sum(_m) OVER (PARTITION BY {on})").alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("share"), F.ceil(F.col("_n") * s).alias("row")) for name, s in shares.items()])
+    ranges = run.select(*key, "_r", (F.col("_c") - F.col("_m")).alias("_before"), "_c", F.explode(wanted).alias("w")).where("w.row > _before AND w.row <= _c").select(*key, "_r", "_before", "w.share", "w.row")
+    near = counts.join(ranges, [*key, "_r"]).select(*key, "share", "row", value, (F.col("_before") + F.expr(f"sum(n) OVER (PARTITION BY {on}, share ORDER BY {value})")).alias("_c"))
+    return near.where("_c >= row").groupBy(*key).agg(*[F.min(F.when(F.col("share") == name, F.col(value))).alias(name) for name in shares])
 
 
-def _distance(estimate: bool) -> Column:
+def _distance() -> Column:
+    """Squared Mahalanobis distance from the estimate beside the row."""
     z = [f"({x} - m_{x})" for x in _X]
-    if not estimate:
-        return F.expr(" + ".join(f"({d} / s_{x}) * ({d} / s_{x})" for d, x in zip(z, _X)))
     return F.expr(" + ".join(f"{1 if i == j else 2} * p_{i}_{j} * {z[i]} * {z[j]}" for i in range(len(_X)) for j in range(i + 1)))
 
 
-def _start(v: DataFrame) -> DataFrame:
-    """Medians and spreads per group."""
+def _first_distance() -> Column:
+    """The distance of the row's start from medians scaled by spreads."""
+    z = [f"abs(({x} - m_{x}) / s_{x})" for x in _X]
+    forms = {"squares": " + ".join(f"{d} * {d}" for d in z), "largest": f"greatest({', '.join(z)})", "sum": " + ".join(z)}
+    return F.expr("CASE start " + " ".join(f"WHEN {i} THEN {forms[name]}" for i, name in enumerate(STARTS)) + " END")
+
+
+def _medians(v: DataFrame) -> DataFrame:
+    """Medians and spreads per group, with one row for each start."""
     grid = 1024
     long = v.select(*_KEY, F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.round(F.col(x) * grid).cast("int").alias("b")) for x in _X])).alias("e")).select(*_KEY, "e.x", "e.b")
     q = _quantiles(long, [*_KEY, "x"], "b", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
     cells = [F.max(F.when(F.col("x") == x, F.col("mid") / grid)).alias(f"m_{x}") for x in _X]
     cells += [F.max(F.when(F.col("x") == x, F.greatest((F.col("hi") - F.col("lo")) / (1.349 * grid), F.lit(FLOORS[x])))).alias(f"s_{x}") for x in _X]
-    return q.groupBy(*_KEY).agg(*cells)
+    return q.groupBy(*_KEY).agg(*cells).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))).alias("start"))
 
 
-def _estimate(v: DataFrame, current: DataFrame, first: bool) -> DataFrame:
-    """One concentration step: centre and inverse covariance of the H nearest rows of each group."""
-    d = v.join(current, _KEY).select(*_KEY, *_X, F.round(F.log(_distance(not first) + 1e-6) * 256).cast("int").alias("_b"))
+def _step(v: DataFrame, current: DataFrame, first: bool = False) -> DataFrame:
+    """One concentration step of each group and start: centre, inverse covariance, determinant and the one before (null at first)."""
+    key = [*_KEY, "start"]
+    before = F.lit(None).cast("double") if first else F.col("det")
+    distance = _first_distance() if first else _distance()
+    d = v.join(current, _KEY).select(*key, *_X, before.alias("_det"), F.round(F.log(distance + 1e-6) * 256).cast("int").alias("_b"))
     # Written first, so that its size is known: while the groups are few, rows aren't shuffled by group at all.
-    cut = materialize(_quantiles(d, _KEY, "_b", {"_cut": H}), "cuts")
-    near = d.join(cut, _KEY).where("_b <= _cut")
+    cut = materialize(_quantiles(d, key, "_b", {"_cut": H}), "cuts")
+    near = d.join(cut, key).where("_b <= _cut")
     k = len(_X)
     cells = [(i, j) for i in range(k) for j in range(i + 1)]
-    sums = near.groupBy(*_KEY).agg(
+    sums = near.groupBy(*key).agg(
         F.count("*").alias("n"),
+        F.first("_det").alias("before"),
         *[F.expr(f"sum({x}) AS s{i}") for i, x in enumerate(_X)],
         *[F.expr(f"sum({_X[i]} * {_X[j]}) AS c_{i}_{j}") for i, j in cells],
     )
@@ -140,14 +160,28 @@ def _estimate(v: DataFrame, current: DataFrame, first: bool) -> DataFrame:
     factor = H / chi_square_cdf(chi_square_quantile(H, k), k + 2)
     c = lambda i, j: f"p_{max(i, j)}_{min(i, j)}"
     a = sums.selectExpr(
-        *_KEY,
+        *key,
+        "before",
+        "1D AS det",
         *[f"s{i} / n AS m_{x}" for i, x in enumerate(_X)],
         *[f"(c_{i}_{j} / n - s{i} / n * s{j} / n) * {factor!r}D + {FLOORS[_X[i]] ** 2 if i == j else 0.0!r}D AS p_{i}_{j}" for i, j in cells],
     )
     means = [f"m_{x}" for x in _X]
-    for p in range(k):  # the sweep of every pivot turns the matrix into its negative inverse
-        a = a.selectExpr(*_KEY, *means, *[(f"-1 / {c(p, p)}" if i == j == p else f"{c(i, j)} / {c(p, p)}" if p in (i, j) else f"{c(i, j)} - {c(i, p)} * {c(j, p)} / {c(p, p)}") + f" AS p_{i}_{j}" for i, j in cells])
-    return a.selectExpr(*_KEY, *means, *[f"-p_{i}_{j} AS p_{i}_{j}" for i, j in cells])
+    for p in range(k):  # the sweep of every pivot turns the matrix into its negative inverse; the pivots' product is the determinant
+        a = a.selectExpr(*key, "before", f"det * {c(p, p)} AS det", *means, *[(f"-1 / {c(p, p)}" if i == j == p else f"{c(i, j)} / {c(p, p)}" if p in (i, j) else f"{c(i, j)} - {c(i, p)} * {c(j, p)} / {c(p, p)}") + f" AS p_{i}_{j}" for i, j in cells])
+    return materialize(a.selectExpr(*key, "before", "det", *means, *[f"-p_{i}_{j} AS p_{i}_{j}" for i, j in cells]), "estimates")
+
+
+def _estimates(v: DataFrame) -> DataFrame:
+    """The estimate of each group that reached the smallest determinant."""
+    tried = _step(v, _step(v, materialize(_medians(v), "medians"), first=True))
+    best = tried.groupBy(*_KEY).agg(F.min(F.struct("det", "start")).alias("low")).select(*_KEY, F.col("low.start").alias("start"))
+    current = materialize(tried.join(best, [*_KEY, "start"]), "estimates")
+    for _ in range(STEPS):
+        current = _step(v, current)
+        if not current.where("abs(det - before) > 1e-12 * before").limit(1).count():
+            break
+    return current
 
 
 def _assigned(v: DataFrame) -> DataFrame:
@@ -174,11 +208,9 @@ def judged(docs: DataFrame, carry: bool = False, tail: float = TAIL) -> DataFram
     passed = stats.where("NOT base_failed").select(*_GROUP, *transformed(stats))
     assigned = materialize(_assigned(passed), "groups")
     v = materialize(passed.join(assigned, _GROUP).select(*_KEY, *_X), "vectors")
-    estimate = materialize(_start(v), "estimates")
-    for step in range(STEPS):
-        estimate = materialize(_estimate(v, estimate, step == 0), "estimates")
+    estimate = _estimates(v).drop("start", "before", "det")
     limit = chi_square_quantile(1 - tail, len(_X))
-    joined = stats.select("*", *transformed(stats)).join(assigned.join(estimate, _KEY).drop(*_KEY), _GROUP, "left").withColumn("distance", _distance(True))
+    joined = stats.select("*", *transformed(stats)).join(assigned.join(estimate, _KEY).drop(*_KEY), _GROUP, "left").withColumn("distance", _distance())
     return joined.select(*stats.columns, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 
 

@@ -166,7 +166,7 @@ FROM t JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
 """
 
 def _op5_sql() -> str:
-    """Base statistics and the estimates step by step: medians and spreads, STEPS concentration steps, distances."""
+    """Base statistics and the estimates step by step: medians and spreads, two steps from each start, STEPS more from the best, distances."""
     q, n = quality, len(quality.FLOORS)
     names, key = list(q.FLOORS), "e_lang, e_source"
     cells = [(i, j) for i in range(n) for j in range(i + 1)]
@@ -189,22 +189,27 @@ def _op5_sql() -> str:
         f"e0 AS (SELECT {key}, " + ", ".join(f"{rank(f'round({x} * 1024)', 0.5)} / 1024 AS m_{x}, greatest(({rank(f'round({x} * 1024)', 0.75)} - {rank(f'round({x} * 1024)', 0.25)}) / (1.349 * 1024), {q.FLOORS[x]}) AS s_{x}" for x in names) + " FROM v GROUP BY ALL)",
     ]
     exact = " + ".join(f"{1 if i == j else 2} * {at(i, j)} * ({names[i]} - m_{names[i]}) * ({names[j]} - m_{names[j]})" for i, j in cells)
-    for k in range(q.STEPS):
-        first = " + ".join(f"(({x} - m_{x}) / s_{x}) * (({x} - m_{x}) / s_{x})" for x in names)
-        ctes.append(f"d{k} AS (SELECT v.*, round(ln({first if k == 0 else exact} + 1e-6) * 256) AS b FROM v JOIN e{k} USING ({key}))")
-        ctes.append(f"c{k} AS (SELECT {key}, {rank('b', q.H)} AS cut FROM d{k} GROUP BY ALL)")
+    z = [f"abs(({x} - m_{x}) / s_{x})" for x in names]
+    forms = {"squares": " + ".join(f"{d} * {d}" for d in z), "largest": f"greatest({', '.join(z)})", "sum": " + ".join(z)}
+    first = "CASE start " + " ".join(f"WHEN {i} THEN {forms[name]}" for i, name in enumerate(q.STARTS)) + " END"
+    ctes.append(f"es0 AS (SELECT *, unnest(range({len(q.STARTS)})) AS start FROM e0)")
+    group, means, now = f"{key}, start", ", ".join(f"m_{x}" for x in names), "es0"
+    for k in range(q.STEPS + 2):
+        ctes.append(f"d{k} AS MATERIALIZED (SELECT v.*, start, round(ln({first if k == 0 else exact} + 1e-6) * 256) AS b FROM v JOIN {now} USING ({key}))")
+        ctes.append(f"c{k} AS (SELECT {group}, {rank('b', q.H)} AS cut FROM d{k} GROUP BY ALL)")
         sums = ", ".join([f"sum({x}) / count(*) AS m_{x}" for x in names] + [f"sum({names[i]} * {names[j]}) / count(*) AS c_{i}_{j}" for i, j in cells])
-        ctes.append(f"t{k} AS (SELECT {key}, {sums} FROM d{k} JOIN c{k} USING ({key}) WHERE b <= cut GROUP BY ALL)")
-        means = ", ".join(f"m_{x}" for x in names)
-        ctes.append(f"a{k}_0 AS (SELECT {key}, {means}, " + ", ".join(f"(c_{i}_{j} - m_{names[i]} * m_{names[j]}) * {factor!r} + {q.FLOORS[names[i]] ** 2 if i == j else 0.0!r} AS {at(i, j)}" for i, j in cells) + f" FROM t{k})")
+        ctes.append(f"t{k} AS (SELECT {group}, {sums} FROM d{k} JOIN c{k} USING ({group}) WHERE b <= cut GROUP BY ALL)")
+        ctes.append(f"a{k}_0 AS (SELECT {group}, 1.0::DOUBLE AS det, {means}, " + ", ".join(f"(c_{i}_{j} - m_{names[i]} * m_{names[j]}) * {factor!r} + {q.FLOORS[names[i]] ** 2 if i == j else 0.0!r} AS {at(i, j)}" for i, j in cells) + f" FROM t{k})")
         for p in range(n):
             swept = ", ".join((f"-1 / {at(p, p)}" if i == j == p else f"{at(i, j)} / {at(p, p)}" if p in (i, j) else f"{at(i, j)} - {at(i, p)} * {at(j, p)} / {at(p, p)}") + f" AS {at(i, j)}" for i, j in cells)
-            ctes.append(f"a{k}_{p + 1} AS (SELECT {key}, {means}, {swept} FROM a{k}_{p})")
-        ctes.append(f"e{k + 1} AS (SELECT {key}, {means}, " + ", ".join(f"-{at(i, j)} AS {at(i, j)}" for i, j in cells) + f" FROM a{k}_{n})")
+            ctes.append(f"a{k}_{p + 1} AS (SELECT {group}, det * {at(p, p)} AS det, {means}, {swept} FROM a{k}_{p})")
+        pick = f" QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY det, start) = 1" if k == 1 else ""
+        now = f"e{k + 1}"
+        ctes.append(f"{now} AS MATERIALIZED (SELECT {group}, {means}, det, " + ", ".join(f"-{at(i, j)} AS {at(i, j)}" for i, j in cells) + f" FROM a{k}_{n}{pick})")
     limit = q.chi_square_quantile(1 - q.TAIL, n)
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({exact} <= {limit!r}, true) AS kept
-FROM x LEFT JOIN asg USING (g_lang, g_source) LEFT JOIN e{q.STEPS} USING ({key})"""
+FROM x LEFT JOIN asg USING (g_lang, g_source) LEFT JOIN {now} USING ({key})"""
 
 
 OP5_SQL = _op5_sql()
