@@ -10,9 +10,11 @@ without losing a pair.
 Copy groups (the pipeline's) add links of Jaccard similarity: 4 bits only reach copies that are nearly equal. Texts that
 share one of 32 bands of 6 minimum hashes of their 5-word shingles are candidates (a pair at similarity 0.8 is missed with
 probability (1 - 0.8^6)^32, 6e-5), and a candidate pair is linked if the exact similarity of its shingle sets is 0.8 or more.
-First each text is compared with the first of each of its bands, which gathers most groups; pairs that links already
-connect needn't be looked at. What is left apart in one band is compared in pairs, unless it is more than CROWD texts, as
-where many texts share a passage and little else: those get longer bands (LEVELS), which tell them apart with the same care.
+First each text is compared with the most connected text of each of its bands (of copies of one text, that text), which
+gathers most groups; pairs that links already connect needn't be looked at. What is left apart in a band of CROWD texts or
+fewer is compared in pairs. In a larger one, every text is set against one pivot p of the band's main group: a text x that
+has less than 0.8 of its shingles in p can be alike only to texts with which it shares a shingle that p lacks, so
+an equi-join of these few finds its partners; an x within p that isn't alike to p is compared with its whole band.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from trellis.llm.common import components, materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, and minimum hashes and number of bands by level.
-COPY_WORDS, ALIKE, LEVELS = 5, 8, ((6, 32), (12, 128), (18, 512))
-#: Texts of one band that are compared in pairs; more go to the next level, except from the last.
-CROWD = 128
+#: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, minimum hashes of a band and bands.
+COPY_WORDS, ALIKE, ROWS, BANDS = 5, 8, 6, 32
+#: Texts of one band that are compared in pairs.
+CROWD = 24
+#: Text hashes up to this number are broadcast to find their texts (8 bytes each); more are joined through a shuffle.
+BROADCAST_HASHES = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 16
 
@@ -92,19 +96,15 @@ def copy_shingles(text: bytes | None, four: list[int] | None = None) -> np.ndarr
     return np.unique(h)
 
 
-def _turns(rows: int, count: int) -> np.ndarray:
-    return np.random.default_rng([SEED, rows]).integers(1, 1 << 63, (2, rows * count, 1), dtype=np.uint64) | np.uint64(1)
-
-
 _turned: dict[tuple[int, int], np.ndarray] = {}
 
 
-def bands(hashes: np.ndarray, rows: int, count: int) -> list[int]:
+def bands(hashes: np.ndarray, rows: int = ROWS, count: int = BANDS) -> list[int]:
     """One signed key for each of ``count`` bands of ``rows`` minimum hashes; none for a text without words."""
     if not len(hashes):
         return []
     if (rows, count) not in _turned:
-        _turned[rows, count] = _turns(rows, count)
+        _turned[rows, count] = np.random.default_rng([SEED, rows]).integers(1, 1 << 63, (2, rows * count, 1), dtype=np.uint64) | np.uint64(1)
     mul, add = _turned[rows, count]
     low = np.full(rows * count, (1 << 64) - 1, np.uint64)
     step = max(64, (1 << 17) // (rows * count))
@@ -175,7 +175,7 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tupl
     return fp[moved], fp[label[moved]]
 
 
-def _links(radius: int, flush: int):
+def _searched(radius: int, flush: int):
     names = ["a", "b"]
 
     def out(shard, fp):
@@ -236,7 +236,7 @@ def _rooted(marked: DataFrame, radius: int, split_over: int) -> DataFrame:
     nodes = marked.select("fp").distinct()
     dealt = shards(nodes, radius, split_over)
     dealt = dealt.select(F.xxhash64("block", "value", "sub", "part").alias("shard"), "fp")
-    links = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_links(radius, 200_000), "a bigint, b bigint")
+    links = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_searched(radius, 200_000), "a bigint, b bigint")
     roots = components(links)
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -263,31 +263,34 @@ def _copy_marks(docs: DataFrame) -> DataFrame:
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 four = _shingles(t, WORDS)
                 fps.append(_simhash(four))
-                keys.append(bands(copy_shingles(t, four), *LEVELS[0]))
+                keys.append(bands(copy_shingles(t, four)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bands array<bigint>")
 
 
-def _of_texts(docs: DataFrame, hashes: DataFrame, make) -> DataFrame:
-    """(h, s) for each text hash (column h): what make gives for its text."""
+def _shingle_sets(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(h, s) for each text hash (column h): the shingle set of its text."""
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([make(t) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], names=["h", "s"])
+            yield pa.record_batch([b.column(0), pa.array([copy_shingles(t).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], names=["h", "s"])
 
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(hashes, "h", "left_semi")
+    few = hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
     return texts.mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"])
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, fa, fb) of text hashes whose texts have an exact Jaccard similarity of ALIKE tenths or more, as links (fa, fb)."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = materialize(_of_texts(docs, named, lambda t: copy_shingles(t).view(np.int64)), "shingles")
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, fa, fb), each once, with alike: whether the exact Jaccard similarity of their texts is ALIKE tenths or more."""
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(10 * inter >= ALIKE * (F.size("sa") + F.size("sb") - inter)).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return materialize(both.select("a", "b", "fa", "fb", (10 * inter >= ALIKE * (F.size("sa") + F.size("sb") - inter)).alias("alike")), "compared")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("alike").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
 def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,41 +299,60 @@ def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(roots.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
-def copy_groups(docs: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def copy_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp) of every row, and (fp, root): roots are equal where op10's links or links of Jaccard similarity connect."""
     marked = materialize(_copy_marks(docs), "fingerprints")
     roots = materialize(_rooted(marked, RADIUS, 4096), "roots")
-    texts = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.col("bands").alias("s"))
-    for level in range(len(levels)):
-        roots, texts = _compared(docs, roots, texts.select("h", "fp", F.explode("s").alias("band")), crowd if level + 1 < len(levels) else None)
-        if texts is None or level + 1 == len(levels):
-            break
-        rows, count = levels[level + 1]
-        texts = texts.join(_of_texts(docs, texts.select("h"), lambda t, rows=rows, count=count: bands(copy_shingles(t), rows, count)), "h")
-    return marked.drop("bands"), roots
-
-
-def _compared(docs: DataFrame, roots: DataFrame, placed: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Roots after the links within bands, and the texts (h, fp) of bands too crowded for that."""
     w = Window.partitionBy("band")
-    first = placed.withColumn("first", F.min(F.struct("h", "fp")).over(w)).withColumn("n", F.count("*").over(w)).where("n > 1")
-    placed = materialize(first.select("band", "h", "fp", "first"), "bands")
+    placed = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.explode("bands").alias("band"))
+    placed = materialize(placed.withColumn("n", F.count("*").over(w)).where("n > 1"), "bands")
+    score = placed.groupBy("h").agg(F.sum("n").alias("score"))
+    placed = materialize(placed.join(score, "h").withColumn("first", F.max(F.struct("score", "h", "fp")).over(w)), "bands")
+    sets = materialize(_shingle_sets(docs, placed.select("h").distinct()), "shingles")
     of = lambda name: roots.select(F.col("fp").alias(f"f{name}"), F.col("root").alias(f"r{name}"))
     star = placed.select(F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("first.h").alias("b"), F.col("first.fp").alias("fb")).where("a <> b").distinct()
-    star = materialize(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), "pairs")
-    roots = linked(roots, _alike(docs, star))
+    star = _compared(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), sets)
+    roots = linked(roots, _links(star))
     tried = placed.join(roots, "fp")
-    mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
-    tried = materialize(tried.join(mixed, "band").select("band", "h", "fp", "root", "n"), "bands")
-    few = tried if crowd is None else tried.where(F.col("n") <= crowd)
-    x, y = (few.select("band", F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    # Pairs that were compared with their band's first aren't compared again.
-    rest = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b", "fa", "fb").distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = linked(roots, _alike(docs, materialize(rest, "pairs")))
-    if crowd is None or not tried.where(F.col("n") > crowd).limit(1).count():
-        return roots, None
-    return roots, materialize(tried.where(F.col("n") > crowd).select("h", "fp").distinct(), "crowded")
+    mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    tried = materialize(tried.join(mixed, "band"), "mixed")
+    rest = _within(tried.where(F.col("n") <= crowd), ["band"]).unionByName(_beyond_pivot(tried.where(F.col("n") > crowd), sets)).distinct()
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return marked.drop("bands"), linked(roots, _links(_compared(rest.join(done, ["a", "b"], "left_anti"), sets)))
+
+
+def _sides(texts: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    return tuple(texts.select(*key, F.col("h").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+
+
+def _within(texts: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (a, b, fa, fb) of texts (h, fp, root) of one key and different roots."""
+    x, y = _sides(texts, key)
+    return x.join(y, key).where("a < b AND ra <> rb").select("a", "b", "fa", "fb")
+
+
+def _beyond_pivot(tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of crowded bands that may be alike: texts of other roots than their band's main one, and what they share beyond its pivot."""
+    main = tried.where("h = first.h").select("band", F.col("root").alias("main"))
+    tried = materialize(tried.join(main, "band"), "crowded")
+    pivots = tried.where("root = main").groupBy("main").agg(F.max(F.struct("score", "h")).alias("p")).select("main", F.col("p.h").alias("p"))
+    own = tried.select("main", "h", "fp", "root").distinct().join(pivots, "main")
+    own = own.join(sets, "h").join(sets.select(F.col("h").alias("p"), F.col("s").alias("sp")), "p")
+    own = own.select("main", "p", "h", "fp", "root", F.size("s").alias("size"), F.size("sp").alias("size_p"), F.array_except("s", "sp").alias("beyond"))
+    own = materialize(own, "beyond-pivot")
+    keys = own.select("main", "h", "fp", "root", F.explode("beyond").alias("k"))
+    shared = keys.groupBy("main", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main", "k")
+    pairs = _within(materialize(keys.join(shared, ["main", "k"]), "beyond-pivot"), ["main", "k"])
+    # Texts within the pivot: alike to it, or to be compared with the whole band.
+    held = F.col("size") - F.size("beyond")
+    inside = own.where("root <> main AND h <> p").where(10 * held >= ALIKE * F.col("size"))
+    alike = 10 * held >= ALIKE * (F.col("size") + F.col("size_p") - held)
+    fp_of = own.select(F.col("h").alias("p"), F.col("fp").alias("fp_p")).distinct()
+    near = inside.where(alike).join(fp_of, "p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"), F.when(F.col("h") < F.col("p"), F.col("fp")).otherwise(F.col("fp_p")).alias("fa"), F.when(F.col("h") < F.col("p"), F.col("fp_p")).otherwise(F.col("fp")).alias("fb"))
+    x, y = _sides(tried, ["band"])
+    whole = x.join(inside.where(~alike).select(F.col("h").alias("a")).distinct(), "a", "left_semi").join(y, "band").where("ra <> rb")
+    whole = whole.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.when(F.col("a") < F.col("b"), F.col("fa")).otherwise(F.col("fb")).alias("fl"), F.when(F.col("a") < F.col("b"), F.col("fb")).otherwise(F.col("fa")).alias("fh")).toDF("a", "b", "fa", "fb")
+    return pairs.unionByName(near).unionByName(whole)
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
