@@ -12,9 +12,10 @@ share one of 32 bands of 6 minimum hashes of their 5-word shingles are candidate
 probability (1 - 0.8^6)^32, 6e-5), and a candidate pair is linked if the exact similarity of its shingle sets is 0.8 or more.
 First each text is compared with the most connected text of each of its bands (of copies of one text, that text), which
 gathers most groups; pairs that links already connect needn't be looked at. What is left apart in a band of CROWD texts or
-fewer is compared in pairs. In a larger one, every text is set against one pivot p of the band's main group: a text x that
-has less than 0.8 of its shingles in p can be alike only to texts with which it shares a shingle that p lacks, so
-an equi-join of these few finds its partners; an x within p that isn't alike to p is compared with its whole band.
+fewer is compared in pairs. In larger bands a main group has a common set: the shingles of one pivot text and all that more
+than CROWD of the bands' texts hold. Of a text x, 0.8 must be shared by whatever is alike to it. What the common set can't give
+must come from other shingles, so partners share one at least of all but that many (less one), rarest first: an equi-join of
+keys that CROWD texts or fewer hold. If the common set gives 0.8 of x, it also suffices for texts that are small enough, and x is compared with those.
 """
 
 from __future__ import annotations
@@ -316,7 +317,7 @@ def copy_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFra
     tried = placed.join(roots, "fp")
     mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     tried = materialize(tried.join(mixed, "band"), "mixed")
-    rest = _within(tried.where(F.col("n") <= crowd), ["band"]).unionByName(_beyond_pivot(tried.where(F.col("n") > crowd), sets)).distinct()
+    rest = _within(tried.where(F.col("n") <= crowd), ["band"]).unionByName(_beyond_common(tried.where(F.col("n") > crowd), sets, crowd)).distinct()
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return marked.drop("bands"), linked(roots, _links(_compared(rest.join(done, ["a", "b"], "left_anti"), sets)))
 
@@ -331,28 +332,34 @@ def _within(texts: DataFrame, key: list[str]) -> DataFrame:
     return x.join(y, key).where("a < b AND ra <> rb").select("a", "b", "fa", "fb")
 
 
-def _beyond_pivot(tried: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of crowded bands that may be alike: texts of other roots than their band's main one, and what they share beyond its pivot."""
+def _beyond_common(tried: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
+    """Pairs of crowded bands that may be alike, by what they share beyond the common set of their band's main group."""
     main = tried.where("h = first.h").select("band", F.col("root").alias("main"))
     tried = materialize(tried.join(main, "band"), "crowded")
-    pivots = tried.where("root = main").groupBy("main").agg(F.max(F.struct("score", "h")).alias("p")).select("main", F.col("p.h").alias("p"))
-    own = tried.select("main", "h", "fp", "root").distinct().join(pivots, "main")
+    pivots = tried.where("root = main").groupBy("main").agg(F.max(F.struct("score", "h", "fp")).alias("p")).select("main", F.col("p.h").alias("p"), F.col("p.fp").alias("fp_p"))
+    own = tried.select("main", "h", "fp", "root").distinct().join(pivots.select("main", "p"), "main")
     own = own.join(sets, "h").join(sets.select(F.col("h").alias("p"), F.col("s").alias("sp")), "p")
-    own = own.select("main", "p", "h", "fp", "root", F.size("s").alias("size"), F.size("sp").alias("size_p"), F.array_except("s", "sp").alias("beyond"))
+    held = F.size("s") - F.size(F.array_except("s", "sp"))
+    alike = 10 * held >= ALIKE * (F.size("s") + F.size("sp") - held)
+    own = own.select("main", "p", "h", "fp", "root", F.size("s").alias("size"), F.array_except("s", "sp").alias("beyond"), alike.alias("alike"))
     own = materialize(own, "beyond-pivot")
-    keys = own.select("main", "h", "fp", "root", F.explode("beyond").alias("k"))
+    keys = own.select("main", "h", "fp", "root", "size", "alike", F.explode_outer("beyond").alias("k"))
+    often = keys.where("k IS NOT NULL").groupBy("main", "k").agg(F.count("*").alias("n"))
+    rare = F.when(F.col("n") <= crowd, F.struct("n", "k"))
+    own = materialize(keys.join(often, ["main", "k"], "left").groupBy("main", "h", "fp", "root", "size", "alike").agg(F.array_sort(F.collect_list(rare)).alias("rare")), "rare")
+    held = F.col("size") - F.size("rare")
+    missing = F.greatest(F.lit(1), F.ceil(F.col("size") * ALIKE / 10).cast("int") - held)
+    keys = own.where(missing <= F.size("rare")).select("main", "h", "fp", "root", F.explode(F.slice("rare", F.lit(1), F.size("rare") - missing + 1)).alias("k")).select("main", "h", "fp", "root", "k.k")
     shared = keys.groupBy("main", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("main", "k")
     pairs = _within(materialize(keys.join(shared, ["main", "k"]), "beyond-pivot"), ["main", "k"])
-    # Texts within the pivot: alike to it, or to be compared with the whole band.
-    held = F.col("size") - F.size("beyond")
-    inside = own.where("root <> main AND h <> p").where(10 * held >= ALIKE * F.col("size"))
-    alike = 10 * held >= ALIKE * (F.col("size") + F.col("size_p") - held)
-    fp_of = own.select(F.col("h").alias("p"), F.col("fp").alias("fp_p")).distinct()
-    near = inside.where(alike).join(fp_of, "p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"), F.when(F.col("h") < F.col("p"), F.col("fp")).otherwise(F.col("fp_p")).alias("fa"), F.when(F.col("h") < F.col("p"), F.col("fp_p")).otherwise(F.col("fp")).alias("fb"))
-    x, y = _sides(tried, ["band"])
-    whole = x.join(inside.where(~alike).select(F.col("h").alias("a")).distinct(), "a", "left_semi").join(y, "band").where("ra <> rb")
-    whole = whole.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.when(F.col("a") < F.col("b"), F.col("fa")).otherwise(F.col("fb")).alias("fl"), F.when(F.col("a") < F.col("b"), F.col("fb")).otherwise(F.col("fa")).alias("fh")).toDF("a", "b", "fa", "fb")
-    return pairs.unionByName(near).unionByName(whole)
+    other = own.where("root <> main")
+    near = other.where("alike").join(pivots, "main").where("h <> p").select("h", "fp", F.col("p").alias("h2"), F.col("fp_p").alias("fp2"))
+    x = other.withColumn("held", held).where(10 * F.col("held") >= ALIKE * F.col("size")).where("NOT alike").select("main", "h", "fp", "root", "size", "held")
+    y = own.select("main", F.col("h").alias("h2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.col("size").alias("size2"))
+    small = x.join(y, "main").where(f"root <> root2 AND 10 * size2 >= {ALIKE} * size AND {ALIKE} * (size + size2) <= {10 + ALIKE} * held").select("h", "fp", "h2", "fp2")
+    either = lambda a, b: F.when(F.col("h") < F.col("h2"), F.col(a)).otherwise(F.col(b))
+    near, small = (df.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), either("fp", "fp2").alias("fa"), either("fp2", "fp").alias("fb")) for df in (near, small))
+    return pairs.unionByName(near).unionByName(small)
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
