@@ -125,3 +125,17 @@ def test_columns_of_any_name_survive(spark):
     docs = spark.createDataFrame([(1, "some words of a text here", "x", 7, 8, "y", 9, 1), (2, "other words in another text there", "z", 5, 4, "w", 3, 2)], names)
     for kept in (simhash.drop_copies(docs), simhash.drop_near_duplicates(docs)):
         assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_components(spark):
+    from trellis.llm.common import components
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (1, 0), (1, 0)]
+    label = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = {x: low if v == high else v for x, v in label.items()}
+    want = sorted((x, v) for x, v in label.items() if x != v)
+    assert sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()) == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

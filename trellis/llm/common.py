@@ -79,6 +79,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written() -> int:
+    """How many tables have been materialized and not settled so far, for tidy()."""
+    return len(_written)
+
+
+def tidy(since: int, *keep: DataFrame) -> None:
+    """Delete the tables materialized since written() gave that number, except those that are still read."""
+    mine, _written[since:] = _written[since:], list(keep)
+    for done in mine:
+        if not any(done is k for k in keep):
+            discard(done)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a materialized table that nothing reads any more."""
     path = getattr(df, "_trellis_path", None)
@@ -91,7 +104,7 @@ def discard(df: DataFrame | None) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b) over longs: (node, root), root the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edge set no longer changes; each step is a
+    Alternates the large-star and small-star steps until every edge leads to a root; each step is a
     minimum per node and a join on the node, so a hub is a skewed join key (which AQE splits), never one
     collected group. Nodes without an edge to another node do not appear. Empty edges give no rows.
     """
@@ -99,22 +112,19 @@ def components(edges: DataFrame) -> DataFrame:
     def directed(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether every node has one edge at most as the larger one, and no root has any."""
+        ends = df.select("a", F.lit(1).alias("up")).unionByName(df.select(F.col("b").alias("a"), F.lit(0).alias("up")))
+        return not ends.groupBy("a").agg(F.sum("up").alias("n"), F.min("up").alias("root")).where("n > 1 OR (n > 0 AND root = 0)").limit(1).count()
 
     current = materialize(directed(edges), "edges")
-    before = signature(current)
-    while before[0]:
+    while not stars(current):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after_df = materialize(directed(small), "edges")
-        after = signature(after_df)
+        after = materialize(directed(small), "edges")
         discard(current)
-        current = after_df
-        if after == before:
-            break
-        before = after
+        current = after
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))

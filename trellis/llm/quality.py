@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import materialize
+from trellis.llm.common import materialize, tidy, written
 
 #: Base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -29,8 +29,6 @@ MIN_GROUP, POOL = 50, "\0"
 #: Smallest spread taken for each transformed statistic.
 FLOORS = {"log_words": 1.0, "log_word_chars": 0.25, "root_symbols": 0.05, "root_dup_lines": 0.15, "root_repeats": 0.15}
 _WHITE = "\t\n\x0b\x0c\r"
-#: Integers of a histogram that are cumulated together.
-RANGE = 64
 _GROUP, _KEY = ["g_lang", "g_source"], ["e_lang", "e_source"]
 _X = list(FLOORS)
 
@@ -103,17 +101,11 @@ def chi_square_quantile(p: float, k: int) -> float:
 
 
 def _quantiles(df: DataFrame, key: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Smallest integer of column value at or above each share of its group's rows, from counts per integer.
-
-    Counts are cumulated over ranges of RANGE integers first, then within the one range that holds the share's row.
-    """
-    counts = df.groupBy(*key, value).agg(F.count("*").alias("n")).withColumn("_r", F.floor(F.col(value) / RANGE))
+    """Smallest integer of column value at or above each share of its group's rows, from counts per integer."""
+    counts = df.groupBy(*key, value).agg(F.count("*").alias("n"))
     on = ", ".join(key)
-    run = counts.groupBy(*key, "_r").agg(F.sum("n").alias("_m")).select(*key, "_r", "_m", F.expr(f"sum(_m) OVER (PARTITION BY {on} ORDER BY _r)").alias("_c"), F.expr(f"sum(_m) OVER (PARTITION BY {on})").alias("_n"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("share"), F.ceil(F.col("_n") * s).alias("row")) for name, s in shares.items()])
-    ranges = run.select(*key, "_r", (F.col("_c") - F.col("_m")).alias("_before"), "_c", F.explode(wanted).alias("w")).where("w.row > _before AND w.row <= _c").select(*key, "_r", "_before", "w.share", "w.row")
-    near = counts.join(ranges, [*key, "_r"]).select(*key, "share", "row", value, (F.col("_before") + F.expr(f"sum(n) OVER (PARTITION BY {on}, share ORDER BY {value})")).alias("_c"))
-    return near.where("_c >= row").groupBy(*key).agg(*[F.min(F.when(F.col("share") == name, F.col(value))).alias(name) for name in shares])
+    run = counts.select(*key, value, F.expr(f"sum(n) OVER (PARTITION BY {on} ORDER BY {value})").alias("_c"), F.expr(f"sum(n) OVER (PARTITION BY {on})").alias("_n"))
+    return run.groupBy(*key).agg(*[F.min(F.when(F.col("_c") >= F.ceil(F.col("_n") * s), F.col(value))).alias(name) for name, s in shares.items()])
 
 
 def _distance() -> Column:
@@ -204,11 +196,14 @@ def judged(docs: DataFrame, carry: bool = False, tail: float = TAIL) -> DataFram
     rows, or none that differ, the ridge alone decides. Rows with null language or source form groups of their own.
     Repeated rows each come back; an empty table gives no rows.
     """
+    since = written()
     stats = materialize(statistics(docs, carry), "statistics")
     passed = stats.where("NOT base_failed").select(*_GROUP, *transformed(stats))
     assigned = materialize(_assigned(passed), "groups")
     v = materialize(passed.join(assigned, _GROUP).select(*_KEY, *_X), "vectors")
-    estimate = _estimates(v).drop("start", "before", "det")
+    estimate = _estimates(v)
+    tidy(since, stats, assigned, estimate)
+    estimate = estimate.drop("start", "before", "det")
     limit = chi_square_quantile(1 - tail, len(_X))
     joined = stats.select("*", *transformed(stats)).join(assigned.join(estimate, _KEY).drop(*_KEY), _GROUP, "left").withColumn("distance", _distance())
     return joined.select(*stats.columns, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))

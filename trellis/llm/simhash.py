@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import components, materialize
+from trellis.llm.common import components, materialize, tidy, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Copy groups: words of a shingle, smallest Jaccard similarity in tenths, minimum hashes of a band and bands.
@@ -232,13 +232,13 @@ def shards(distinct_fp: DataFrame, radius: int = RADIUS, split_over: int = 4096)
     return dealt.select("block", "value", F.col("s.sub").alias("sub"), F.col("s.part").alias("part"), "fp")
 
 
-def _rooted(marked: DataFrame, radius: int, split_over: int) -> DataFrame:
-    """(fp, root) for every fingerprint: root is the same for all that links of at most ``radius`` bits connect."""
+def _rooted(marked: DataFrame, radius: int, split_over: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for every fingerprint: root is the same for all that links of at most ``radius`` bits, or more links (a, b), connect."""
     nodes = marked.select("fp").distinct()
     dealt = shards(nodes, radius, split_over)
     dealt = dealt.select(F.xxhash64("block", "value", "sub", "part").alias("shard"), "fp")
     links = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_searched(radius, 200_000), "a bigint, b bigint")
-    roots = components(links)
+    roots = components(links if more is None else links.unionByName(more))
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -302,24 +302,25 @@ def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def copy_groups(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp) of every row, and (fp, root): roots are equal where op10's links or links of Jaccard similarity connect."""
+    since = written()
     marked = materialize(_copy_marks(docs), "fingerprints")
-    roots = materialize(_rooted(marked, RADIUS, 4096), "roots")
     w = Window.partitionBy("band")
     placed = marked.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("h"), "fp", F.explode("bands").alias("band"))
     placed = materialize(placed.withColumn("n", F.count("*").over(w)).where("n > 1"), "bands")
     score = placed.groupBy("h").agg(F.sum("n").alias("score"))
     placed = materialize(placed.join(score, "h").withColumn("first", F.max(F.struct("score", "h", "fp")).over(w)), "bands")
     sets = materialize(_shingle_sets(docs, placed.select("h").distinct()), "shingles")
-    of = lambda name: roots.select(F.col("fp").alias(f"f{name}"), F.col("root").alias(f"r{name}"))
     star = placed.select(F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("first.h").alias("b"), F.col("first.fp").alias("fb")).where("a <> b").distinct()
-    star = _compared(star.join(of("a"), "fa").join(of("b"), "fb").where("ra <> rb").select("a", "b", "fa", "fb"), sets)
-    roots = linked(roots, _links(star))
+    star = _compared(star, sets)
+    roots = materialize(_rooted(marked, RADIUS, 4096, _links(star)), "roots")
     tried = placed.join(roots, "fp")
     mixed = tried.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     tried = materialize(tried.join(mixed, "band"), "mixed")
     rest = _within(tried.where(F.col("n") <= crowd), ["band"]).unionByName(_beyond_common(tried.where(F.col("n") > crowd), sets, crowd)).distinct()
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return marked.drop("bands"), linked(roots, _links(_compared(rest.join(done, ["a", "b"], "left_anti"), sets)))
+    roots = linked(roots, _links(_compared(rest.join(done, ["a", "b"], "left_anti"), sets)))
+    tidy(since, marked, roots)
+    return marked.drop("bands"), roots
 
 
 def _sides(texts: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
