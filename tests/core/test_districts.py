@@ -159,3 +159,9 @@ def test_profiles(spark):
     features = geojson.scan_text(files)
     factors = {p: {r.k_special for r in solve.network(features, strategies=("flow",), profile=p).where("laying = 'special'").collect()} for p in ("heat", "water", "cable")}
     assert factors == {"heat": {1.6}, "water": {1.5}, "cable": {1.4}}
+
+
+def test_ids_keep_their_type(spark):
+    keys = spark.createDataFrame([("n:12", ["s:a", "n:1.5"]), ("s:12", [])], "key string, more array<string>")
+    made = keys.select(F.to_json(F.struct(solve.own_id(F.col("key")).alias("id"), F.transform("more", solve.own_id).alias("more")))).collect()
+    assert [r[0] for r in made] == ['{"id":12,"more":["a",1.5]}', '{"id":"12","more":[]}']

@@ -10,7 +10,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import crs
@@ -140,16 +140,22 @@ def cost_breakdown(net: DataFrame) -> DataFrame:
     return p.groupingSets([["district", "variant", "diameter"], ["district", "variant", "crossed"]], "district", "variant", "diameter", "crossed").agg(F.sum("length").alias("length"), F.sum("cost").alias("cost"), F.sum("extra").alias("extra"))
 
 
+def own_id(key: Column) -> Column:
+    """The id behind a key, a number or a text as it was read."""
+    rest = F.substring(key, 3, 10**6)
+    return F.when(key.startswith("n:"), F.try_parse_json(rest)).otherwise(rest.cast("variant"))
+
+
 def result_features(net: DataFrame, chosen: DataFrame, district: str) -> DataFrame:
     """Output features (seq, json) of one district: pipes, chambers, nodes and summary of each variant by rank."""
     one = net.where(F.col("district") == district).join(chosen.where(F.col("district") == district).select("variant", "rank"), "variant")
-    strip = lambda c: F.expr(f"substring({c}, 3)")
+    strip = lambda c: own_id(F.col(c))
     own = F.when(F.col("kind") == "pipe", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_network").alias("object_type"), F.col("variant").alias("variant_id"), strip("start").alias("start_node_id"), strip("end").alias("end_node_id"), F.col("flow").alias("flow_tph"), "diameter", T.round_half_up("length", 2).alias("length"), F.col("laying").alias("laying_method"), "depth_start", "depth_end", T.round_half_up("cost", 2).alias("cost"), "k_special", "k_depth", "crossed"), {"ignoreNullFields": "false"}))
     own = own.when(F.col("kind") == "chamber", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_chamber").alias("object_type"), F.col("variant").alias("variant_id"), "diameter", "cost", strip("tie_in_pipe").alias("tie_in_pipe_id")), {"ignoreNullFields": "false"}))
     own = own.when(F.col("kind") == "technical_node", F.to_json(F.struct(strip("key").alias("id"), F.lit("technical_node").alias("object_type"), F.col("variant").alias("variant_id"), F.lit("change of laying").alias("reason"))))
     place = F.create_map(*[F.lit(x) for k in enumerate(("pipe", "chamber", "technical_node")) for x in reversed(k)])
     parts = one.where(F.col("kind").isin("pipe", "chamber", "technical_node")).select(F.format_string("%03d-%d-%s", "rank", place[F.col("kind")], "key").alias("seq"), geojson.feature_json(F.when(F.col("kind") == "pipe", "LineString").otherwise("Point"), F.col("lonlat"), own).alias("json"))
     s = chosen.where(F.col("district") == district)
-    props = F.to_json(F.struct(F.concat(F.lit("summary_"), "variant").alias("id"), F.lit("variant_summary").alias("object_type"), F.col("variant").alias("variant_id"), "rank", T.round_half_up("construction", 2).alias("construction_cost"), F.col("chamber_cost").alias("chamber_construction_cost"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), F.col("tie_in_cost").alias("existing_chamber_tie_in_cost"), F.col("penalty").alias("unconnected_penalty"), T.round_half_up("calculated", 2).alias("calculated_cost"), T.round_half_up("length", 2).alias("new_network_length"), "score", F.transform("unconnected", lambda k: F.substring(k, 3, 10**6)).alias("unconnected_oks_ids"), F.col("pareto").alias("pareto_optimal")))
+    props = F.to_json(F.struct(F.concat(F.lit("summary_"), "variant").alias("id"), F.lit("variant_summary").alias("object_type"), F.col("variant").alias("variant_id"), "rank", T.round_half_up("construction", 2).alias("construction_cost"), F.col("chamber_cost").alias("chamber_construction_cost"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), F.col("tie_in_cost").alias("existing_chamber_tie_in_cost"), F.col("penalty").alias("unconnected_penalty"), T.round_half_up("calculated", 2).alias("calculated_cost"), T.round_half_up("length", 2).alias("new_network_length"), "score", F.transform("unconnected", own_id).alias("unconnected_oks_ids"), F.col("pareto").alias("pareto_optimal")))
     empty = F.lit(None).cast("array<struct<lon:double,lat:double>>")
     return parts.unionByName(s.select(F.format_string("%03d-9", "rank").alias("seq"), geojson.feature_json(F.lit(None).cast("string"), empty, props).alias("json")))
