@@ -2,7 +2,7 @@
 between the languages of that family.
 
 Features are hashed character trigrams of the whole text as shares of all its trigrams. The machines are fitted on
-a sample of labelled rows, at most MAX_SAMPLE, drawn evenly over the languages by a hash of id and text.
+a sample of labelled rows, about MAX_SAMPLE and twice that at most, drawn evenly over the languages by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample (rows), and of the rows of one language.
+#: Aim of the training sample (rows; twice that is collected at most), and of the rows of one language.
 MAX_SAMPLE, PER_LANGUAGE = 2000, 500
 DIM = 1 << 13
 UNKNOWN = "und"
