@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import crs
 from trellis.plans import solve, validate
-from trellis.sources import geojson
+from trellis.sources import geojson, results
 
 MAIN = [("src", "source", [180, 0], {}), ("net_1", "heat_network", [[-150, 0], [0, 0]], {"diameter": 300}), ("net_2", "heat_network", [[0, 0], [180, 0]], {"diameter": 300}), ("ch_1", "heat_chamber", [0, 0], {})]
 
@@ -165,3 +165,80 @@ def test_ids_keep_their_type(spark):
     keys = spark.createDataFrame([("n:12", ["s:a", "n:1.5"]), ("s:12", [])], "key string, more array<string>")
     made = keys.select(F.to_json(F.struct(solve.own_id(F.col("key")).alias("id"), F.transform("more", solve.own_id).alias("more")))).collect()
     assert [r[0] for r in made] == ['{"id":12,"more":["a",1.5]}', '{"id":"12","more":[]}']
+
+
+FILE_CHANGES = {
+    "flow": ("heat_network", lambda p: p.update(flow_tph=p["flow_tph"] + 1)),
+    "length": ("heat_network", lambda p: p.update(length=p["length"] + 1)),
+    "cost": ("heat_network", lambda p: p.update(cost=p["cost"] + 1000)),
+    "diameter": ("heat_network", lambda p: p.update(diameter=50)),
+    "end": ("heat_network", lambda p: p.update(end_node_id="elsewhere")),
+    "factor": ("heat_network", lambda p: p.update(k_special=p["k_special"] + 0.1)),
+    "depth in a plan": ("heat_network", lambda p: p.update(depth_start=3.0, depth_end=3.0)),
+    "laying": ("heat_network", lambda p: p.update(laying_method="other")),
+    "no depth": ("heat_network", lambda p: p.pop("depth_start")),
+    "input id": ("heat_network", lambda p: p.update(id="ch_1")),
+    "text for number": ("heat_network", lambda p: p.update(cost=str(p["cost"]))),
+    "chamber price": ("heat_chamber", lambda p: p.update(cost=p["cost"] - 1)),
+    "chamber diameter": ("heat_chamber", lambda p: p.update(diameter=50)),
+    "type": ("heat_chamber", lambda p: p.update(object_type="heat_tower")),
+    "rank": ("variant_summary", lambda p: p.update(rank=7)),
+    "listed": ("variant_summary", lambda p: p.update(unconnected_oks_ids=["a"])),
+    "unknown listed": ("variant_summary", lambda p: p.update(unconnected_oks_ids=["nobody"])),
+    "not a list": ("variant_summary", lambda p: p.update(unconnected_oks_ids=None)),
+    "other variant": ("variant_summary", lambda p: p.update(variant_id="another")),
+    **{c: ("variant_summary", lambda p, c=c: p.update({c: p[c] + 1})) for c in [*results.SUMS, "existing_chamber_tie_in_count"]},
+}
+
+
+def test_result_file_is_read_and_checked(solved, spark, tmp_path):
+    """The written file passes as it is; every change of one of its properties is found; broken files are refused whole."""
+    features, net, _, chosen = solved["PLAN_2D"]
+    path = str(tmp_path / "trunk.geojson")
+    geojson.publish(solve.result_features(net, chosen, "trunk"), path)
+    text = open(path).read()
+    files = [("none", text), ("not json", text[:-1]), ("empty", '{"type":"FeatureCollection","features":[]}'), ("null", None)]
+    for name, (kind, change) in FILE_CHANGES.items():
+        root = json.loads(text)
+        change(next(f["properties"] for f in root["features"] if f["properties"]["object_type"] == kind))
+        files.append((name, json.dumps(root)))
+    root = json.loads(text)
+    files.append(("twice", json.dumps(root | {"features": [*root["features"], root["features"][0]]})))
+    root["features"][-1]["geometry"] = {"type": "Point", "coordinates": [37, 55]}
+    files.append(("summary with a place", json.dumps(root)))
+    names = [f[0] for f in files]
+    own = features.where("district = 'trunk'").drop("district").withColumn("district", F.explode(F.array(*map(F.lit, names)))).select(*features.columns)
+    read = results.scan_text(spark.createDataFrame(files, "district string, text string")).cache()
+    refused = {r.district for r in results.faults(read).collect()}
+    assert refused == {"not json", "empty", "null", "laying", "no depth", "text for number", "type", "not a list", "other variant", "twice", "summary with a place"}
+    found = validate.result_checks(own.cache(), read, "PLAN_2D").cache()
+    errors = {r.district: r.errors for r in validate.report(found).collect()}
+    assert {n for n in names if not errors[n]} == {"none"}
+    assert all(errors[n] == 1 for n in refused)
+
+
+def test_depths_read_back(solved, spark, tmp_path):
+    features, net, _, chosen = solved["DEPTH_3D"]
+    path = str(tmp_path / "gas.geojson")
+    geojson.publish(solve.result_features(net, chosen, "gas"), path)
+    found = validate.result_checks(features.where("district = 'gas'"), results.scan(spark, path, "gas"), "DEPTH_3D")
+    assert found.where("failed").collect() == [] and found.where("rule = '§5'").count() > 10
+    root = json.loads(open(path).read())
+    next(f["properties"] for f in root["features"] if f["properties"].get("k_special", 1) > 1)["depth_start"] += 0.01
+    text = spark.createDataFrame([("gas", json.dumps(root))], "district string, text string")
+    assert "depth changes at a node" in {r.message for r in validate.result_checks(features.where("district = 'gas'"), results.scan_text(text), "DEPTH_3D").where("failed").collect()}
+
+
+def test_command_line_reads_the_result(spark, tmp_path):
+    from trellis.__main__ import main
+
+    source, out = str(tmp_path / "in.geojson"), str(tmp_path / "out.geojson")
+    open(source, "w").write(collection(MAIN + CASES["straight"]))
+    assert main(["solve", source, out]) == 0 and main(["validate", source, out]) == 0
+    report = json.load(open(out + ".validation.json"))
+    assert report["valid"] and report["errorCount"] == 0 and report["ruleSummary"]["§6"]["checks"] > 0
+    text = open(out).read()
+    open(out, "w").write(text.replace('"flow_tph":20.0', '"flow_tph":21.0'))
+    assert main(["validate", source, out]) == 2 and not json.load(open(out + ".validation.json"))["valid"]
+    open(out, "w").write(text[:50])
+    assert main(["validate", source, out]) == 2 and json.load(open(out + ".validation.json"))["errorCount"] == 1

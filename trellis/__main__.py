@@ -1,4 +1,8 @@
-"""python -m trellis parse|solve|validate FILE [OUT] [--mode PLAN_2D|DEPTH_3D] [--engine core|stub]."""
+"""python -m trellis parse|solve|validate FILE [OUT] [--mode PLAN_2D|DEPTH_3D] [--engine core|stub] [--profile heat|water|cable].
+
+solve writes OUT and checks what it wrote; validate reads OUT and checks it against FILE. Both leave OUT.validation.json and
+end with 2 if a check fails, 3 if FILE itself can't be read.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,21 @@ import json
 import sys
 import time
 
+MAX_DIAGNOSTICS = 1000
+LIMITATIONS = [
+    "that no permitted route exists can't be shown from one result",
+    "whether variants differ in substance needs an expert",
+    "the nearest wall, extents of special zones and vertical clearances aren't checked",
+]
+
 
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from trellis.functions import tables as T
     from trellis.plans import solve, validate
-    from trellis.sources import geojson
+    from trellis.sources import geojson, results
 
     p = argparse.ArgumentParser(prog="trellis")
     p.add_argument("command", choices=["parse", "solve", "validate"])
@@ -21,7 +33,10 @@ def main(args: list[str]) -> int:
     p.add_argument("out", nargs="?")
     p.add_argument("--mode", default="PLAN_2D", choices=["PLAN_2D", "DEPTH_3D"])
     p.add_argument("--engine", default="core", choices=["core", "stub"])
+    p.add_argument("--profile", default="heat", choices=list(T.RULES))
     o = p.parse_args(args)
+    if o.command == "validate" and not o.out:
+        p.error("validate needs OUT")
     spark = SparkSession.builder.getOrCreate()
     began = time.time()
     features = geojson.scan(spark, o.file).cache()
@@ -36,20 +51,35 @@ def main(args: list[str]) -> int:
     if o.engine == "stub":
         solve.stub_network(features).show(truncate=False)
         return 0
-    net = solve.network(features, o.mode).cache()
-    sums = solve.summaries(net).cache()
-    chosen = solve.select(sums, net=net).cache()
+    district = features.select("district").first()[0]
+    if o.command == "validate":
+        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile), o.out)
+    net = solve.network(features, o.mode, profile=o.profile).cache()
+    chosen = solve.select(solve.summaries(net), net=net).cache()
     kept = net.join(chosen.select("district", "variant"), ["district", "variant"], "left_semi")
-    own = sums.join(chosen.select("district", "variant"), ["district", "variant"], "left_semi")
-    found = validate.graph_checks(features, kept, own).unionByName(validate.spatial_checks(features, kept)).unionByName(validate.rank_checks(chosen)).cache()
-    report = {"rules": {r["rule"]: [r["checks"], r["errors"], r["warnings"]] for r in validate.rule_summary(found).collect()}, "failed": [r.asDict() for r in found.where("failed").limit(1000).collect()]}
-    if o.command == "solve" and o.out:
-        district = features.select("district").first()[0]
+    print(json.dumps([r.asDict() for r in chosen.select("rank", "variant", "score", "calculated", "length", F.size("unconnected").alias("unconnected")).orderBy("rank").collect()]))  # three at most
+    if o.out:
         geojson.publish(solve.result_features(kept, chosen, district), o.out)
-        with open(f"{o.out}.validation.json", "w", encoding="utf-8") as f:
-            json.dump(report, f, ensure_ascii=False)
-    print(json.dumps([r.asDict() for r in chosen.select("rank", "variant", "score", "calculated", "length", F.size("unconnected").alias("unconnected")).orderBy("rank").collect()]))
-    return 2 if report["failed"] else 0
+        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile), o.out)
+    own = validate.graph_checks(features, kept, chosen, o.mode).unionByName(validate.spatial_checks(features, kept, o.profile)).unionByName(validate.rank_checks(chosen))
+    return _report(own, None)
+
+
+def _report(found, out: str | None) -> int:
+    """Count the checks, leave the report beside the result, and give the exit code."""
+    from trellis.plans import validate
+
+    found = found.cache()
+    rules = {r["rule"]: {k: r[k] for k in ("checks", "errors", "warnings")} for r in validate.rule_summary(found).collect()}  # one row a rule
+    errors, warnings = (sum(r[k] for r in rules.values()) for k in ("errors", "warnings"))
+    listed = found.where("failed").orderBy("variant", "rule", "object_id", "message").limit(MAX_DIAGNOSTICS).select("severity", "variant", "object_id", "rule", "message").collect()
+    text = {"valid": errors == 0, "errorCount": errors, "warningCount": warnings, "diagnostics": [r.asDict() for r in listed], "limitations": LIMITATIONS, "ruleSummary": rules}
+    if out:
+        with open(f"{out}.validation.json", "w", encoding="utf-8") as f:
+            json.dump(text, f, ensure_ascii=False, indent=1)
+    print(json.dumps({"valid": errors == 0, "errorCount": errors, "warningCount": warnings}))
+    found.unpersist()
+    return 2 if errors else 0
 
 
 if __name__ == "__main__":

@@ -13,6 +13,18 @@ def tile(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
+def along(ax: Column, ay: Column, bx: Column, by: Column, size: float, margin: float = 0.0) -> Column:
+    """Tiles (tx, ty) within margin of a segment, from the boxes of its pieces of one tile side, so they grow with its length alone."""
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(bx - ax, by - ay) / size))
+
+    def box(a: Column, b: Column, i: Column) -> Column:
+        p, q = a + (b - a) * i / n, a + (b - a) * (i + 1) / n
+        return F.sequence(tile(F.least(p, q) - margin, size), tile(F.greatest(p, q) + margin, size))
+
+    tiles = lambda i: F.flatten(F.transform(box(ax, bx, i), lambda x: F.transform(box(ay, by, i), lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), tiles)))
+
+
 def around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Rows once for each of the nine tiles around their own, as tx and ty."""
     near = F.array(*[F.struct((tile(x, size) + i).alias("tx"), (tile(y, size) + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -39,6 +39,8 @@ def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, .
         out = []
         for r in made:
             row = dict.fromkeys(_COLUMNS) | {k: v for k, v in r.items() if k in _COLUMNS} | {"district": pdf["district"].iloc[0], "variant": pdf["variant"].iloc[0]}
+            if row["kind"] == "pipe":  # sums are taken over what is written
+                row |= {c: float(np.floor(row[c] * 100 + 0.5) / 100) for c in ("length", "cost")}
             line = np.array(r.get("line") or np.empty((0, 2)))
             row["line"] = [{"x": float(x), "y": float(y)} for x, y in line]
             row["lonlat"] = [{"lon": float(x), "lat": float(y)} for x, y in crs.to_wgs(line[:, 0], line[:, 1])] if len(line) else []

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import tables as T
-from trellis.operators import checks
+from trellis.operators import checks, spatial
 from trellis.operators.geometry import Shape, crossings
-from trellis.sources import geojson
+from trellis.sources import geojson, results
 
 KEY = ["district", "variant"]
 EPS = 0.02
+TILE = 50.0
 CHECK = "district string, variant string, object_id string, rule string, severity string, failed boolean, message string"
 
 
@@ -26,8 +27,11 @@ def _rows(df: DataFrame, rule: str, message: str, ok: Column, object_id: str = "
     return df.select(*KEY, F.col(object_id).alias("object_id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (~F.coalesce(ok, F.lit(False))).alias("failed"), F.lit(message).alias("message"))
 
 
-def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFrame:
-    """Checks of identity, topology, flow, diameters, chambers and sums."""
+def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str | None = None, slack: float = 0.0) -> DataFrame:
+    """Checks of identity, topology, flow, diameters, chambers and sums; with a mode, of its depths too.
+
+    slack is what each position may be off in metres, as it was written with few digits.
+    """
     t = geojson.typed(features)
     variants = sums.select(*KEY)
     point = lambda name: t[name].select("district", F.col("id_key").alias("key"), F.from_json("coords", "array<double>").alias("c"), *(["flow"] if name == "points" else [])).select("district", "key", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), *(["flow"] if name == "points" else [])).join(variants, "district")
@@ -40,7 +44,7 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     chambers_old = point("chambers").select(*KEY, "key", "x", "y")
     points = point("points")
     nodes = new_nodes.unionByName(chambers_old).unionByName(points.select(*KEY, "key", "x", "y"))
-    ends = pipes.select(*KEY, F.col("key").alias("pipe"), F.explode(F.array(F.struct(F.col("start").alias("key"), F.col("line")[0].alias("p")), F.struct(F.col("end").alias("key"), F.element_at("line", -1).alias("p")))).alias("e"), "diameter", "laying", "depth_start", "depth_end", "k_special", F.col("flow").alias("pipe_flow")).select("*", "e.key", "e.p").drop("e")
+    ends = pipes.select(*KEY, F.col("key").alias("pipe"), F.explode(F.array(F.struct(F.col("start").alias("key"), F.col("line")[0].alias("p")), F.struct(F.col("end").alias("key"), F.element_at("line", -1).alias("p")))).alias("e"), F.col("line")[0].alias("first"), "diameter", "laying", "depth_start", "depth_end", "k_special", F.col("flow").alias("pipe_flow")).select("*", "e.key", "e.p").drop("e")
     at = ends.join(nodes, [*KEY, "key"], "left")
     out.append(_rows(at, "§7.2", "end of a pipe isn't at its node", F.hypot(F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")) <= EPS, "pipe"))
 
@@ -56,7 +60,10 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     xy = t["pipes"].select("district", F.col("id_key").alias("old"), F.col("diameter").alias("old_dn"), F.from_json("coords", "array<array<double>>").alias("c"))
     segs = xy.select("district", "old", "old_dn", F.col("c")[0].alias("f"), F.element_at("c", -1).alias("l"), F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))).alias("s"))
     every = new_nodes.join(net.where("kind = 'chamber'").select(*KEY, "key"), [*KEY, "key"], "left_semi").unionByName(chambers_old)
-    j = every.join(segs, "district")
+    place = lambda c: F.sequence(spatial.tile(F.col(c) - EPS, TILE), spatial.tile(F.col(c) + EPS, TILE))
+    spread = every.withColumn("tx", F.explode(place("x"))).withColumn("ty", F.explode(place("y")))
+    cut = segs.select("*", F.inline(spatial.along(F.col("s.a")[0], F.col("s.a")[1], F.col("s.b")[0], F.col("s.b")[1], TILE)))
+    j = spread.join(cut, ["district", "tx", "ty"])
     ax, ay, dx, dy = F.col("s.a")[0], F.col("s.a")[1], F.col("s.b")[0] - F.col("s.a")[0], F.col("s.b")[1] - F.col("s.a")[1]
     share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - ax) * dx + (F.col("y") - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
     near = j.withColumn("gap", F.hypot(ax + share * dx - F.col("x"), ay + share * dy - F.col("y"))).where(F.col("gap") <= EPS)
@@ -71,7 +78,8 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     tied = new.where("tie_in_pipe IS NOT NULL").join(old.select(*KEY, "key", F.col("old").alias("tie_in_pipe"), F.lit(True).alias("_on")), [*KEY, "key", "tie_in_pipe"], "left")
     out.append(_rows(tied, "§2.4", "tie-in chamber isn't on its pipe", F.col("_on").isNotNull()))
     spots = new_nodes.join(new.where("old_degree > 0").select(*KEY, "key", F.col("degree").alias("own")), [*KEY, "key"])
-    close = spots.join(chambers_old.select(*KEY, F.col("key").alias("c_key"), F.col("x").alias("cx"), F.col("y").alias("cy")), KEY).where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= T.SNAP)
+    known = chambers_old.select(*KEY, F.col("key").alias("c_key"), F.col("x").alias("cx"), F.col("y").alias("cy"), spatial.tile("x", T.SNAP).alias("tx"), spatial.tile("y", T.SNAP).alias("ty"))
+    close = spatial.around(spots, "x", "y", T.SNAP).join(known, [*KEY, "tx", "ty"]).where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= T.SNAP)
     full = close.join(old_sum.select(*KEY, F.col("key").alias("c_key"), F.col("old_degree").alias("_o")), [*KEY, "c_key"], "left").join(degree.select(*KEY, F.col("key").alias("c_key"), F.col("degree").alias("_d")), [*KEY, "c_key"], "left")
     out.append(_rows(full, "§2.4", "new chamber within 10 m of a usable one", F.coalesce("_o", F.lit(0)) + F.coalesce("_d", F.lit(0)) + F.col("own") > T.MAX_LINKS))
 
@@ -81,14 +89,16 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     reached, front = None, roots.select(*KEY, "key", F.col("key").alias("root"), F.lit(0).alias("level"), F.array().cast("array<struct<pipe:string,dn:int,length:double,flow:double>>").alias("path"))
     levels = []
     step_edges = edges.select(*KEY, F.col("parent").alias("key"), "child", "pipe", "diameter", "length", "flow")
-    for _ in range(256):
-        front = front.join(step_edges, [*KEY, "key"]).select(*KEY, F.col("child").alias("key"), "root", (F.col("level") + 1).alias("level"), F.concat(F.array(F.struct("pipe", F.col("diameter").alias("dn"), "length", "flow")), "path").alias("path")).persist()
-        if front.limit(1).count() == 0:
+    while True:  # a pipe already on the path ends it and each node goes on once a level, so this ends for any graph
+        new = front.join(step_edges, [*KEY, "key"]).where(~F.array_contains(F.col("path.pipe"), F.col("pipe")))
+        new = new.select(*KEY, F.col("child").alias("key"), "root", (F.col("level") + 1).alias("level"), F.concat(F.array(F.struct("pipe", F.col("diameter").alias("dn"), "length", "flow")), "path").alias("path")).persist()
+        if new.limit(1).count() == 0:
             break
-        levels.append(front)
+        levels.append(new)
+        front = new.dropDuplicates([*KEY, "key"])
     for df in levels:
         reached = df if reached is None else reached.unionByName(df)
-    reached = front if reached is None else reached
+    reached = new if reached is None else reached
     times = reached.groupBy(*KEY, "key").agg(F.count("*").alias("n"))
     below = edges.select(*KEY, "pipe", F.col("child").alias("key")).join(times, [*KEY, "key"], "left")
     out.append(_rows(below, "§2.1/§2.4", "a pipe must hang on exactly one root, without a cycle", F.col("n") == 1, "pipe"))
@@ -116,10 +126,23 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     state = points.select(*KEY, "key", "flow").join(times, [*KEY, "key"], "left").join(missed, [*KEY, "key"], "full_outer")
     out.append(_rows(state, "§2.5/§7", "a point is either connected or listed once", F.when(F.col("flow").isNull(), False).otherwise(F.col("n").isNotNull() != (F.coalesce("listed", F.lit(0)) == 1))))
 
-    out.append(_rows(pipes, "§6", "cost of a pipe", F.abs(F.col("cost") - F.col("length") * T.diameter_value("diameter", "cost_m") * F.col("k_special") * F.col("k_depth")) <= 0.01))
     ln = F.aggregate(F.sequence(F.lit(1), F.size("line") - 1), F.lit(0.0), lambda a, i: a + F.hypot(F.get("line", i)["x"] - F.get("line", i - 1)["x"], F.get("line", i)["y"] - F.get("line", i - 1)["y"]))
+    per_metre = T.diameter_value("diameter", "cost_m") * F.coalesce("k_special", F.lit(1.0)) * F.coalesce("k_depth", F.lit(1.0))
+    out.append(_rows(pipes, "§6", "cost of a pipe", F.abs(F.col("cost") - ln * per_metre) <= 0.01 + per_metre * F.size("line") * slack))
     out.append(_rows(pipes, "§7", "length of a pipe", F.abs(F.col("length") - ln) <= 0.0051 + F.size("line") * 0.0002))
-    out.append(_rows(pipes, "§5", "depths", F.when(F.col("depth_start").isNull() & F.col("depth_end").isNull(), True).otherwise((F.least("depth_start", "depth_end") >= T.MIN_DEPTH) & (F.abs(F.col("depth_start") - F.col("depth_end")) <= (T.SLOPE + 0.011) * F.col("length")))))
+    d1, d2 = F.col("depth_start"), F.col("depth_end")
+    if mode == "PLAN_2D":
+        out.append(_rows(pipes, "§5/§7", "depths in a plan", d1.isNull() & d2.isNull()))
+    else:
+        deep = (F.least(d1, d2) >= T.MIN_DEPTH) & (F.abs(d1 - d2) <= T.SLOPE * ln + 0.011)
+        none = d1.isNull() & d2.isNull() & F.lit(mode is None)
+        out.append(_rows(pipes, "§5", "depths", none | (d1.isNotNull() & d2.isNotNull() & deep)))
+        out.append(_rows(pipes, "§5", "a node is needed at the usual depth", none | ((d1 - T.DEPTH) * (d2 - T.DEPTH) >= -1e-8)))
+        factor = (T.depth_factor(d1) + T.depth_factor(d2)) / 2
+        out.append(_rows(pipes.where("k_depth IS NOT NULL"), "§5", "k_depth", none | (F.abs(F.col("k_depth") - factor) <= 1e-8)))
+        at_node = ends.select(*KEY, "key", F.when(F.col("p") == F.col("first"), F.col("depth_start")).otherwise(F.col("depth_end")).alias("depth"))
+        joint = at_node.groupBy(*KEY, "key").agg((F.max("depth") - F.min("depth")).alias("step"))
+        out.append(_rows(joint, "§5", "depth changes at a node", F.col("step").isNull() | (F.col("step") <= 0.001)))
 
     own = net.groupBy(*KEY).agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(n) for k, c, n in (("pipe", "cost", "_p"), ("chamber", "cost", "_c"), ("pipe", "length", "_l"))],
@@ -128,7 +151,7 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame) -> DataFr
     fines = missed.join(points.select(*KEY, "key", "flow"), [*KEY, "key"]).groupBy(*KEY).agg(F.sum(T.penalty("flow")).alias("_f"))
     s = sums.join(own, KEY, "left").join(tie, KEY, "left").join(fines, KEY, "left").na.fill(0, ["_p", "_c", "_l", "_t", "_f"])
     built = F.col("_p") + F.col("_c") + F.col("_t") * T.TIE_IN_COST
-    for name, want, eps in (("chamber_cost", F.col("_c"), 0.01), ("tie_ins", F.col("_t"), 0), ("construction", built, 0.01), ("penalty", F.col("_f"), 0.01), ("calculated", built + F.col("_f"), 0.01), ("length", F.col("_l"), 0.01), ("score", T.score(built + F.col("_f"), F.col("_l")), 0.000051)):
+    for name, want, eps in (("chamber_cost", F.col("_c"), 0.01), ("tie_ins", F.col("_t"), 0), ("tie_in_cost", F.col("_t") * T.TIE_IN_COST, 0.01), ("construction", built, 0.01), ("penalty", F.col("_f"), 0.01), ("calculated", built + F.col("_f"), 0.01), ("length", F.col("_l"), 0.01), ("score", T.score(built + F.col("_f"), F.col("_l")), 0.000051)):
         out.append(_rows(s, "§6", f"summary: {name}", F.abs(F.col(name) - want) <= eps, "variant"))
     from functools import reduce
 
@@ -194,6 +217,23 @@ def rank_checks(chosen: DataFrame) -> DataFrame:
     return _rows(r, "§6", "rank", F.col("rank") == F.col("_n"), "variant").unionByName(_rows(r, "§6", "order of scores", F.col("_s").isNull() | (F.col("score") >= F.col("_s")), "variant"))
 
 
+def refusals(read: DataFrame) -> DataFrame:
+    """One failed check for each result file that can't be read."""
+    f = results.faults(read)
+    return f.select("district", F.lit(None).cast("string").alias("variant"), F.lit(None).cast("string").alias("object_id"), F.lit("§7").alias("rule"), F.lit("error").alias("severity"), F.lit(True).alias("failed"), "message")
+
+
+def result_checks(features: DataFrame, read: DataFrame, mode: str | None = None, profile: str = "heat") -> DataFrame:
+    """All checks of result files (as ``results.scan`` reads them) against the districts they answer.
+
+    A refused file has one row alone. Positions have nine decimals of a degree, 0.0002 m.
+    """
+    net, sums = results.tables(read)
+    net, sums = net.persist(), sums.persist()
+    found = graph_checks(features, net, sums, mode, slack=0.0002).unionByName(spatial_checks(features, net, profile)).unionByName(rank_checks(sums))
+    return found.unionByName(refusals(read))
+
+
 def report(found: DataFrame) -> DataFrame:
     """Per district: validity, errors and warnings."""
     bad = F.col("failed").cast("int")
