@@ -191,7 +191,6 @@ FILE_CHANGES = {
 }
 
 
-@pytest.mark.skip(reason="not seen to finish yet: over 90 s each, cause not found")
 def test_result_file_is_read_and_checked(solved, spark, tmp_path):
     """The written file passes as it is; every change of one of its properties is found; broken files are refused whole."""
     features, net, _, chosen = solved["PLAN_2D"]
@@ -230,7 +229,6 @@ def test_depths_read_back(solved, spark, tmp_path):
     assert "depth changes at a node" in {r.message for r in validate.result_checks(features.where("district = 'gas'"), results.scan_text(text), "DEPTH_3D").where("failed").collect()}
 
 
-@pytest.mark.skip(reason="not seen to finish yet: over 90 s each, cause not found")
 def test_command_line_reads_the_result(spark, tmp_path):
     from trellis.__main__ import main
 

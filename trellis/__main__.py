@@ -52,21 +52,23 @@ def main(args: list[str]) -> int:
         solve.stub_network(features).show(truncate=False)
         return 0
     district = features.select("district").first()[0]
+    held = [features]
     if o.command == "validate":
-        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile), o.out)
+        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile, held), o.out, held)
     net = solve.network(features, o.mode, profile=o.profile).cache()
     chosen = solve.select(solve.summaries(net), net=net).cache()
+    held += [net, chosen]
     kept = net.join(chosen.select("district", "variant"), ["district", "variant"], "left_semi")
     print(json.dumps([r.asDict() for r in chosen.select("rank", "variant", "score", "calculated", "length", F.size("unconnected").alias("unconnected")).orderBy("rank").collect()]))  # three at most
     if o.out:
         geojson.publish(solve.result_features(kept, chosen, district), o.out)
-        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile), o.out)
-    own = validate.graph_checks(features, kept, chosen, o.mode).unionByName(validate.spatial_checks(features, kept, o.profile)).unionByName(validate.rank_checks(chosen))
-    return _report(own, None)
+        return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile, held), o.out, held)
+    own = validate.graph_checks(features, kept, chosen, o.mode, held=held).unionByName(validate.spatial_checks(features, kept, o.profile)).unionByName(validate.rank_checks(chosen))
+    return _report(own, None, held)
 
 
-def _report(found, out: str | None) -> int:
-    """Count the checks, leave the report beside the result, and give the exit code."""
+def _report(found, out: str | None, held: list) -> int:
+    """Count the checks, leave the report beside the result, let go of the tables held, and give the exit code."""
     from trellis.plans import validate
 
     found = found.cache()
@@ -78,7 +80,8 @@ def _report(found, out: str | None) -> int:
         with open(f"{out}.validation.json", "w", encoding="utf-8") as f:
             json.dump(text, f, ensure_ascii=False, indent=1)
     print(json.dumps({"valid": errors == 0, "errorCount": errors, "warningCount": warnings}))
-    found.unpersist()
+    for df in [found, *held]:
+        df.unpersist()
     return 2 if errors else 0
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _turns(line: str) -> Column:
+def turns(line: str) -> Column:
     """Turn in degrees at every inner vertex of array<struct<x,y>>."""
     p = lambda i: F.get(F.col(line), i)
     step = lambda i: (p(i + 1)["x"] - p(i)["x"], p(i + 1)["y"] - p(i)["y"])
@@ -20,7 +20,7 @@ def _turns(line: str) -> Column:
 
 def route_metrics(net: DataFrame) -> DataFrame:
     """Per variant: turns (all, near 45 and near 90 degrees), segments, mean and least segment, specials, chambers and tie-ins."""
-    pipes = net.where("kind = 'pipe'").select("district", "variant", "laying", _turns("line").alias("t"), F.size("line").alias("n"), "length")
+    pipes = net.where("kind = 'pipe'").select("district", "variant", "laying", turns("line").alias("t"), F.size("line").alias("n"), "length")
     p = pipes.groupBy("district", "variant").agg(
         F.sum(F.size("t")).alias("turns"),
         F.sum(F.size(F.filter("t", lambda a: F.abs(a - 45) <= 5))).alias("turns_45"),

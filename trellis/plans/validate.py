@@ -1,11 +1,13 @@
 """Independent checks of networks: every rule is a query over the rows, and a report counts them.
 
-Nothing of the search is used here; only the reference tables are shared. All tables carry district and variant.
+Nothing of the search is used here; only the reference tables are shared. All tables carry district and variant. Rules
+over one table share one pass over it; what several of them need is kept in one table by node, summed in one shuffle.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import tables as T
-from trellis.operators import checks, spatial
-from trellis.operators.geometry import Shape, crossings
+from trellis.operators import checks, measures, spatial
+from trellis.operators.geometry import Shape
 from trellis.sources import geojson, results
 
 KEY = ["district", "variant"]
@@ -23,189 +25,249 @@ TILE = 50.0
 CHECK = "district string, variant string, object_id string, rule string, severity string, failed boolean, message string"
 
 
-def _rows(df: DataFrame, rule: str, message: str, ok: Column, object_id: str = "key", severity: str = "error") -> DataFrame:
-    return df.select(*KEY, F.col(object_id).alias("object_id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (~F.coalesce(ok, F.lit(False))).alias("failed"), F.lit(message).alias("message"))
+def _rows(df: DataFrame, object_id: str, *rules: tuple) -> DataFrame:
+    """Findings of rules (rule, message, condition that must hold, where it applies) over one table, in one pass."""
+    each = []
+    for rule, message, ok, *where in rules:
+        row = F.struct(F.col(object_id).alias("object_id"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), (~F.coalesce(ok, F.lit(False))).alias("failed"), F.lit(message).alias("message"))
+        each.append(F.when(where[0], row) if where else row)
+    return df.select(*KEY, F.inline(F.array_compact(F.array(*each))))
 
 
-def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str | None = None, slack: float = 0.0) -> DataFrame:
+def _segments(df: DataFrame, line: str, *cols: str) -> DataFrame:
+    """Rows of df once for each segment of an array of points: its number n (from 1), its ends a and b as struct<x,y>."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: F.struct(i.alias("n"), F.get(line, i - 1).alias("a"), F.get(line, i).alias("b")))
+    return df.where(F.size(line) > 1).select(*cols, F.inline(pairs))
+
+
+def _tiled(segments: DataFrame, size: float, margin: float) -> DataFrame:
+    """Segments once for each tile within margin of them."""
+    return segments.select("*", F.inline(spatial.along(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), size, margin)))
+
+
+def _places(t: DataFrame, *cols: str) -> DataFrame:
+    """district, key, x and y of point features."""
+    return t.select("district", F.col("id_key").alias("key"), F.from_json("coords", "array<double>").alias("c"), *cols).select("district", "key", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), *cols)
+
+
+def _keep(df: DataFrame, held: list | None) -> DataFrame:
+    """df persisted, and noted for whoever lets go of it."""
+    df = df.persist()
+    if held is not None:
+        held.append(df)
+    return df
+
+
+def hung(pipes: DataFrame, held: list | None = None) -> DataFrame:
+    """By pipe: top, where the chain of pipes above it starts (null on a cycle), run, the length of its diameter up to its end, and above.
+
+    Pointers jump: each round joins a pipe to the topmost it has met and doubles the reach, so a chain of n pipes takes log2 n
+    joins over rows of one size, and a cycle ends with them. A run grows while all that was met has one diameter.
+    A pipe below several keeps the one with the smallest key (the pipes above are told apart by their count at the node).
+    """
+    edges = pipes.select(*KEY, F.col("key").alias("pipe"), "start", "end", "diameter", "flow", "length")
+    into = edges.groupBy(*KEY, F.col("end").alias("start")).agg(F.min(F.struct("pipe", "diameter", "flow")).alias("above"))
+    at = edges.join(into, [*KEY, "start"], "left").dropDuplicates([*KEY, "pipe"])
+    at = at.select(*KEY, "pipe", "above", F.col("above.pipe").alias("next"), F.col("start").alias("top"), F.col("length").alias("run"), F.coalesce(F.col("above.diameter") == F.col("diameter"), F.lit(False)).alias("whole")).persist()
+    most = at.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        if at.where("next IS NOT NULL").isEmpty():
+            break
+        up = at.select(*KEY, F.col("pipe").alias("next"), F.col("next").alias("_next"), F.col("top").alias("_top"), F.col("run").alias("_run"), F.col("whole").alias("_whole"))
+        step = at.join(up, [*KEY, "next"], "left").select(*KEY, "pipe", "above", F.col("_next").alias("next"), F.coalesce("_top", "top").alias("top"), (F.col("run") + F.when(F.col("whole"), F.coalesce("_run", F.lit(0.0))).otherwise(0.0)).alias("run"), (F.col("whole") & F.coalesce("_whole", F.lit(False))).alias("whole")).persist()
+        step.count()
+        at.unpersist()
+        at = step
+    _keep(at, held)
+    return at.select(*KEY, "pipe", "above", F.when(F.col("next").isNull(), F.col("top")).alias("top"), "run")
+
+
+def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str | None = None, slack: float = 0.0, held: list | None = None) -> DataFrame:
     """Checks of identity, topology, flow, diameters, chambers and sums; with a mode, of its depths too.
 
-    slack is what each position may be off in metres, as it was written with few digits.
+    slack is what each position may be off in metres, as it was written with few digits. Tables that several rules read are
+    persisted and added to held, so that the caller can let go of them once the findings are used.
     """
     t = geojson.typed(features)
     variants = sums.select(*KEY)
-    point = lambda name: t[name].select("district", F.col("id_key").alias("key"), F.from_json("coords", "array<double>").alias("c"), *(["flow"] if name == "points" else [])).select("district", "key", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), *(["flow"] if name == "points" else [])).join(variants, "district")
+    here = lambda df: df.join(variants, "district")
+    chambers_old, points = here(_places(t["chambers"])), here(_places(t["points"], "flow"))
     pipes = net.where("kind = 'pipe'")
-    made = net.where("kind IN ('pipe', 'chamber', 'technical_node')").select(*KEY, "key")
+    own = net.where("kind IN ('chamber', 'technical_node')").select(*KEY, "key", "kind", F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y"), "diameter", "cost", "tie_in_pipe")
+    d1, d2 = F.col("depth_start"), F.col("depth_end")
+    first, last = F.col("line")[0], F.element_at("line", -1)
+    ends = pipes.select(*KEY, F.col("key").alias("pipe"), "diameter", F.inline(F.array(
+        F.struct(F.col("start").alias("key"), first.alias("p"), d1.alias("depth"), F.col("flow").alias("flow_out")),
+        F.struct(F.col("end").alias("key"), last.alias("p"), d2.alias("depth"), F.lit(None).cast("double").alias("flow_out")))))
+
+    # Links of the existing network with every chamber: its segments, cut once, meet the chambers in their tiles.
+    xy = t["pipes"].select("district", F.col("id_key").alias("old"), F.col("diameter").alias("old_dn"), F.transform(F.from_json("coords", "array<array<double>>"), lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))).alias("c"))
+    cut = _tiled(_segments(xy.select("*", F.col("c")[0].alias("f"), F.element_at("c", -1).alias("l")), "c", "district", "old", "old_dn", "f", "l"), TILE, EPS)
+    spots = own.where("kind = 'chamber'").select(*KEY, "key", "x", "y").unionByName(chambers_old)
+    j = spots.select("*", spatial.tile("x", TILE).alias("tx"), spatial.tile("y", TILE).alias("ty")).join(cut, ["district", "tx", "ty"])
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("a.x")) * dx + (F.col("y") - F.col("a.y")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    near = j.where(F.hypot(F.col("a.x") + share * dx - F.col("x"), F.col("a.y") + share * dy - F.col("y")) <= EPS)
+    tip = (F.hypot(F.col("f.x") - F.col("x"), F.col("f.y") - F.col("y")) <= EPS) | (F.hypot(F.col("l.x") - F.col("x"), F.col("l.y") - F.col("y")) <= EPS)
+    old = _keep(near.groupBy(*KEY, "key", "old").agg(F.max("old_dn").alias("old_dn"), F.min(F.when(tip, 1).otherwise(2)).alias("old_degree")), held)
+
+    # One row for each node, from all that is said about it.
+    said = [
+        ends.select(*KEY, "key", F.lit(1).alias("degree"), F.col("diameter").alias("dn"), "depth", "flow_out"),
+        old.select(*KEY, "key", "old_degree", "old_dn"),
+        own.select(*KEY, "key", "x", "y", F.when(F.col("kind") == "chamber", 1).alias("made"), F.when(F.col("kind") == "technical_node", 1).alias("tech"), F.when(F.col("kind") == "chamber", F.col("diameter")).alias("own_dn"), F.when(F.col("kind") == "chamber", F.col("cost")).alias("cost"), "tie_in_pipe"),
+        chambers_old.select(*KEY, "key", "x", "y", F.lit(1).alias("stood")),
+        points.select(*KEY, "key", "x", "y", F.lit(1).alias("point"), "flow"),
+        net.where("kind = 'unconnected'").select(*KEY, "key", F.lit(1).alias("listed")),
+    ]
+    many = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    node = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said).groupBy(*KEY, "key").agg(
+        *map(many, ("degree", "old_degree", "listed", "made", "stood", "tech", "point")),
+        *[F.max(c).alias(c) for c in ("dn", "old_dn", "own_dn", "cost", "tie_in_pipe", "flow")],
+        *[F.min(c).alias(c) for c in ("x", "y")],
+        (F.max("depth") - F.min("depth")).alias("step"),
+        F.coalesce(F.sum("flow_out"), F.lit(0.0)).alias("flow_out"),
+    )
+    node = _keep(node, held)
+    used, chamber = F.col("degree") > 0, (F.col("made") > 0) | (F.col("stood") > 0)
+    largest = F.greatest(F.coalesce("dn", F.lit(0)), F.coalesce("old_dn", F.lit(0)))
+    rules = [
+        ("§2.1", "branch outside a chamber", (F.col("degree") <= 2) | chamber, used),
+        ("§2.1", "a point must be a leaf", F.col("degree") == 1, used & (F.col("point") > 0)),
+        ("§2.1", "a technical node joins two pipes", F.col("degree") == 2, F.col("tech") > 0),
+        ("§2.1", "more than four links with the existing network", F.col("degree") + F.col("old_degree") <= T.MAX_LINKS, used & chamber),
+        ("§3.2", "chamber's diameter isn't the largest at it", (F.col("own_dn") == largest) & (largest > 0), F.col("made") > 0),
+        ("§3.2", "chamber's cost", F.abs(F.col("cost") - T.chamber_cost(largest)) <= 0.01, F.col("made") > 0),
+    ]
+    if mode != "PLAN_2D":
+        rules.append(("§5", "depth changes at a node", F.col("step").isNull() | (F.col("step") <= 0.001), used))
+    out = [_rows(node, "key", *rules)]
+
+    made = net.where("kind IN ('pipe', 'chamber', 'technical_node')").groupBy(*KEY, "key").agg(F.count("*").alias("n"))
     old_ids = features.where("message IS NULL AND id_key IS NOT NULL").select("district", F.col("id_key").alias("key")).distinct().withColumn("_old", F.lit(True))
-    out = [_rows(made.join(old_ids, ["district", "key"], "left"), "§7", "new id equals an input id", F.col("_old").isNull())]
-
-    new_nodes = net.where("kind IN ('chamber', 'technical_node')").select(*KEY, "key", F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y"))
-    chambers_old = point("chambers").select(*KEY, "key", "x", "y")
-    points = point("points")
-    nodes = new_nodes.unionByName(chambers_old).unionByName(points.select(*KEY, "key", "x", "y"))
-    ends = pipes.select(*KEY, F.col("key").alias("pipe"), F.explode(F.array(F.struct(F.col("start").alias("key"), F.col("line")[0].alias("p")), F.struct(F.col("end").alias("key"), F.element_at("line", -1).alias("p")))).alias("e"), F.col("line")[0].alias("first"), "diameter", "laying", "depth_start", "depth_end", "k_special", F.col("flow").alias("pipe_flow")).select("*", "e.key", "e.p").drop("e")
-    at = ends.join(nodes, [*KEY, "key"], "left")
-    out.append(_rows(at, "§7.2", "end of a pipe isn't at its node", F.hypot(F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")) <= EPS, "pipe"))
-
-    degree = ends.groupBy(*KEY, "key").agg(F.count("*").alias("degree"), F.max("diameter").alias("dn"))
-    is_chamber = net.where("kind = 'chamber'").select(*KEY, "key").unionByName(chambers_old.select(*KEY, "key")).distinct().withColumn("_c", F.lit(True))
-    d = degree.join(is_chamber, [*KEY, "key"], "left")
-    out.append(_rows(d, "§2.1", "branch outside a chamber", (F.col("degree") <= 2) | F.col("_c").isNotNull()))
-    out.append(_rows(d.join(points.select(*KEY, "key"), [*KEY, "key"]), "§2.1", "a point must be a leaf", F.col("degree") == 1))
-    tech = net.where("kind = 'technical_node'").select(*KEY, "key").join(degree, [*KEY, "key"], "left")
-    out.append(_rows(tech, "§2.1", "a technical node joins two pipes", F.col("degree") == 2))
-
-    # Existing pipes at a chamber: their segments, cut once, meet the chambers of their district.
-    xy = t["pipes"].select("district", F.col("id_key").alias("old"), F.col("diameter").alias("old_dn"), F.from_json("coords", "array<array<double>>").alias("c"))
-    segs = xy.select("district", "old", "old_dn", F.col("c")[0].alias("f"), F.element_at("c", -1).alias("l"), F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))).alias("s"))
-    every = new_nodes.join(net.where("kind = 'chamber'").select(*KEY, "key"), [*KEY, "key"], "left_semi").unionByName(chambers_old)
-    place = lambda c: F.sequence(spatial.tile(F.col(c) - EPS, TILE), spatial.tile(F.col(c) + EPS, TILE))
-    spread = every.withColumn("tx", F.explode(place("x"))).withColumn("ty", F.explode(place("y")))
-    cut = segs.select("*", F.inline(spatial.along(F.col("s.a")[0], F.col("s.a")[1], F.col("s.b")[0], F.col("s.b")[1], TILE)))
-    j = spread.join(cut, ["district", "tx", "ty"])
-    ax, ay, dx, dy = F.col("s.a")[0], F.col("s.a")[1], F.col("s.b")[0] - F.col("s.a")[0], F.col("s.b")[1] - F.col("s.a")[1]
-    share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - ax) * dx + (F.col("y") - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
-    near = j.withColumn("gap", F.hypot(ax + share * dx - F.col("x"), ay + share * dy - F.col("y"))).where(F.col("gap") <= EPS)
-    tip = (F.hypot(F.col("f")[0] - F.col("x"), F.col("f")[1] - F.col("y")) <= EPS) | (F.hypot(F.col("l")[0] - F.col("x"), F.col("l")[1] - F.col("y")) <= EPS)
-    old = near.groupBy(*KEY, "key", "old").agg(F.max("old_dn").alias("old_dn"), F.min(F.when(tip, 1).otherwise(2)).alias("n"))
-    old_sum = old.groupBy(*KEY, "key").agg(F.sum("n").alias("old_degree"), F.max("old_dn").alias("old_dn"))
-    used = degree.join(old_sum, [*KEY, "key"], "left").join(is_chamber, [*KEY, "key"], "left_semi")
-    out.append(_rows(used, "§2.1", "more than four links with the existing network", F.col("degree") + F.coalesce("old_degree", F.lit(0)) <= T.MAX_LINKS))
-    new = net.where("kind = 'chamber'").select(*KEY, "key", F.col("diameter").alias("own_dn"), "cost", "tie_in_pipe").join(degree, [*KEY, "key"], "left").join(old_sum, [*KEY, "key"], "left").withColumn("largest", F.greatest(F.coalesce("dn", F.lit(0)), F.coalesce("old_dn", F.lit(0))))
-    out.append(_rows(new, "§3.2", "chamber's diameter isn't the largest at it", (F.col("own_dn") == F.col("largest")) & (F.col("largest") > 0)))
-    out.append(_rows(new, "§3.2", "chamber's cost", F.abs(F.col("cost") - T.chamber_cost("largest")) <= 0.01))
-    tied = new.where("tie_in_pipe IS NOT NULL").join(old.select(*KEY, "key", F.col("old").alias("tie_in_pipe"), F.lit(True).alias("_on")), [*KEY, "key", "tie_in_pipe"], "left")
-    out.append(_rows(tied, "§2.4", "tie-in chamber isn't on its pipe", F.col("_on").isNotNull()))
-    spots = new_nodes.join(new.where("old_degree > 0").select(*KEY, "key", F.col("degree").alias("own")), [*KEY, "key"])
-    known = chambers_old.select(*KEY, F.col("key").alias("c_key"), F.col("x").alias("cx"), F.col("y").alias("cy"), spatial.tile("x", T.SNAP).alias("tx"), spatial.tile("y", T.SNAP).alias("ty"))
-    close = spatial.around(spots, "x", "y", T.SNAP).join(known, [*KEY, "tx", "ty"]).where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= T.SNAP)
-    full = close.join(old_sum.select(*KEY, F.col("key").alias("c_key"), F.col("old_degree").alias("_o")), [*KEY, "c_key"], "left").join(degree.select(*KEY, F.col("key").alias("c_key"), F.col("degree").alias("_d")), [*KEY, "c_key"], "left")
-    out.append(_rows(full, "§2.4", "new chamber within 10 m of a usable one", F.coalesce("_o", F.lit(0)) + F.coalesce("_d", F.lit(0)) + F.col("own") > T.MAX_LINKS))
-
-    # The forest, from its roots (chambers on the existing network) down: each level is one join.
-    edges = pipes.select(*KEY, F.col("key").alias("pipe"), F.col("start").alias("parent"), F.col("end").alias("child"), "flow", "diameter", "length")
-    roots = old_sum.join(degree.select(*KEY, "key"), [*KEY, "key"], "left_semi").select(*KEY, "key")
-    reached, front = None, roots.select(*KEY, "key", F.col("key").alias("root"), F.lit(0).alias("level"), F.array().cast("array<struct<pipe:string,dn:int,length:double,flow:double>>").alias("path"))
-    levels = []
-    step_edges = edges.select(*KEY, F.col("parent").alias("key"), "child", "pipe", "diameter", "length", "flow")
-    while True:  # a pipe already on the path ends it and each node goes on once a level, so this ends for any graph
-        new = front.join(step_edges, [*KEY, "key"]).where(~F.array_contains(F.col("path.pipe"), F.col("pipe")))
-        new = new.select(*KEY, F.col("child").alias("key"), "root", (F.col("level") + 1).alias("level"), F.concat(F.array(F.struct("pipe", F.col("diameter").alias("dn"), "length", "flow")), "path").alias("path")).persist()
-        if new.limit(1).count() == 0:
-            break
-        levels.append(new)
-        front = new.dropDuplicates([*KEY, "key"])
-    for df in levels:
-        reached = df if reached is None else reached.unionByName(df)
-    reached = new if reached is None else reached
-    times = reached.groupBy(*KEY, "key").agg(F.count("*").alias("n"))
-    below = edges.select(*KEY, "pipe", F.col("child").alias("key")).join(times, [*KEY, "key"], "left")
-    out.append(_rows(below, "§2.1/§2.4", "a pipe must hang on exactly one root, without a cycle", F.col("n") == 1, "pipe"))
-
-    leaves = reached.join(points.select(*KEY, "key", F.col("flow").alias("own")), [*KEY, "key"])
-    carried = leaves.select(*KEY, "own", F.explode("path").alias("e")).groupBy(*KEY, F.col("e.pipe").alias("pipe")).agg(F.sum("own").alias("total"))
-    out.append(_rows(edges.join(carried, [*KEY, "pipe"], "left"), "§2.3", "flow", F.abs(F.col("flow") - F.coalesce("total", F.lit(0.0))) <= 0.0051, "pipe"))
-    # Along each path from its leaf: (diameter, length of the run so far) folded in order, keeping the worst.
-    run = F.aggregate(
-        "path",
-        F.struct(F.lit(0).alias("dn"), F.lit(0.0).alias("run"), F.lit(True).alias("ok"), F.lit(True).alias("same"), F.lit(-1.0).alias("flow")),
-        lambda a, e: F.struct(
-            e["dn"].alias("dn"),
-            (F.when(e["dn"] == a["dn"], a["run"]).otherwise(0.0) + e["length"]).alias("run"),
-            (a["ok"] & (e["dn"] >= a["dn"]) & (F.when(e["dn"] == a["dn"], a["run"]).otherwise(0.0) + e["length"] <= T.diameter_value(e["dn"], "max_run") + EPS)).alias("ok"),
-            (a["same"] & ((a["flow"] < 0) | (F.abs(a["flow"] - e["flow"]) > 1e-6) | (a["dn"] == e["dn"]))).alias("same"),
-            e["flow"].alias("flow"),
-        ),
-    )
-    out.append(_rows(leaves, "§2.3", "diameter falls toward the root, or a run is too long", run["ok"]))
-    out.append(_rows(leaves, "§2.3", "diameter changes without a change of flow", run["same"]))
-    out.append(_rows(pipes, "§2.3", "diameter below the smallest for its flow", F.col("diameter") >= T.smallest_diameter("flow")))
-
-    missed = net.where("kind = 'unconnected'").groupBy(*KEY, "key").agg(F.count("*").alias("listed"))
-    state = points.select(*KEY, "key", "flow").join(times, [*KEY, "key"], "left").join(missed, [*KEY, "key"], "full_outer")
-    out.append(_rows(state, "§2.5/§7", "a point is either connected or listed once", F.when(F.col("flow").isNull(), False).otherwise(F.col("n").isNotNull() != (F.coalesce("listed", F.lit(0)) == 1))))
-
+    out.append(_rows(made.join(old_ids, ["district", "key"], "left"), "key", ("§7", "new id equals an input id", F.col("_old").isNull()), ("§7", "new id repeated", F.col("n") == 1)))
+    at = ends.join(node.select(*KEY, "key", "x", "y"), [*KEY, "key"], "left")
+    out.append(_rows(at, "pipe", ("§7.2", "end of a pipe isn't at its node", F.hypot(F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")) <= EPS)))
+
+    tied = node.where("made > 0 AND tie_in_pipe IS NOT NULL").join(old.select(*KEY, "key", F.col("old").alias("tie_in_pipe"), F.lit(True).alias("_on")), [*KEY, "key", "tie_in_pipe"], "left")
+    out.append(_rows(tied, "key", ("§2.4", "tie-in chamber isn't on its pipe", F.col("_on").isNotNull())))
+    known = node.where("stood > 0").select(*KEY, F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("degree") + F.col("old_degree")).alias("_links"), spatial.tile("x", T.SNAP).alias("tx"), spatial.tile("y", T.SNAP).alias("ty"))
+    new = node.where("made > 0 AND old_degree > 0").select(*KEY, "key", "x", "y", "degree")
+    close = spatial.around(new, "x", "y", T.SNAP).join(known, [*KEY, "tx", "ty"]).where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= T.SNAP)
+    out.append(_rows(close, "key", ("§2.4", "new chamber within 10 m of a usable one", F.col("_links") + F.col("degree") > T.MAX_LINKS)))
+
+    # What a pipe hangs on, and what hangs on it.
+    roots = node.where("old_degree > 0 AND degree > 0").select(*KEY, F.col("key").alias("top"), F.lit(True).alias("_root"))
+    arrivals = pipes.groupBy(*KEY, "end").agg(F.count("*").alias("arrivals"))
+    below = node.select(*KEY, F.col("key").alias("end"), (F.coalesce("flow", F.lit(0.0)) + F.col("flow_out")).alias("flow_below"), ((F.col("old_degree") > 0)).alias("end_is_root"))
+    hang = hung(pipes, held).join(roots, [*KEY, "top"], "left").withColumnRenamed("pipe", "key")
+    p = _keep(pipes.join(hang, [*KEY, "key"], "left").join(arrivals, [*KEY, "end"], "left").join(below, [*KEY, "end"], "left"), held)
     ln = F.aggregate(F.sequence(F.lit(1), F.size("line") - 1), F.lit(0.0), lambda a, i: a + F.hypot(F.get("line", i)["x"] - F.get("line", i - 1)["x"], F.get("line", i)["y"] - F.get("line", i - 1)["y"]))
     per_metre = T.diameter_value("diameter", "cost_m") * F.coalesce("k_special", F.lit(1.0)) * F.coalesce("k_depth", F.lit(1.0))
-    out.append(_rows(pipes, "§6", "cost of a pipe", F.abs(F.col("cost") - ln * per_metre) <= 0.01 + per_metre * F.size("line") * slack))
-    out.append(_rows(pipes, "§7", "length of a pipe", F.abs(F.col("length") - ln) <= 0.0051 + F.size("line") * 0.0002))
-    d1, d2 = F.col("depth_start"), F.col("depth_end")
+    up = F.col("above")
+    rules = [
+        ("§2.1/§2.4", "a pipe must hang on exactly one root, without a cycle", F.col("_root") & (F.col("arrivals") == 1) & ~F.col("end_is_root")),
+        ("§2.3", "flow", F.abs(F.col("flow") - F.col("flow_below")) <= 0.0051),
+        ("§2.3", "diameter falls toward the root", up.isNull() | (up["diameter"] >= F.col("diameter"))),
+        ("§2.3", "a run of one diameter is too long", F.col("run") <= T.diameter_value("diameter", "max_run") + EPS),
+        ("§2.3", "diameter changes without a change of flow", up.isNull() | (F.abs(up["flow"] - F.col("flow")) > 1e-6) | (up["diameter"] == F.col("diameter"))),
+        ("§2.3", "diameter below the smallest for its flow", F.col("diameter") >= T.smallest_diameter("flow")),
+        ("§6", "cost of a pipe", F.abs(F.col("cost") - ln * per_metre) <= 0.01 + per_metre * F.size("line") * slack),
+        ("§7", "length of a pipe", F.abs(F.col("length") - ln) <= 0.0051 + F.size("line") * 0.0002),
+    ]
     if mode == "PLAN_2D":
-        out.append(_rows(pipes, "§5/§7", "depths in a plan", d1.isNull() & d2.isNull()))
+        rules.append(("§5/§7", "depths in a plan", d1.isNull() & d2.isNull()))
     else:
-        deep = (F.least(d1, d2) >= T.MIN_DEPTH) & (F.abs(d1 - d2) <= T.SLOPE * ln + 0.011)
         none = d1.isNull() & d2.isNull() & F.lit(mode is None)
-        out.append(_rows(pipes, "§5", "depths", none | (d1.isNotNull() & d2.isNotNull() & deep)))
-        out.append(_rows(pipes, "§5", "a node is needed at the usual depth", none | ((d1 - T.DEPTH) * (d2 - T.DEPTH) >= -1e-8)))
+        deep = (F.least(d1, d2) >= T.MIN_DEPTH) & (F.abs(d1 - d2) <= T.SLOPE * ln + 0.011)
         factor = (T.depth_factor(d1) + T.depth_factor(d2)) / 2
-        out.append(_rows(pipes.where("k_depth IS NOT NULL"), "§5", "k_depth", none | (F.abs(F.col("k_depth") - factor) <= 1e-8)))
-        at_node = ends.select(*KEY, "key", F.when(F.col("p") == F.col("first"), F.col("depth_start")).otherwise(F.col("depth_end")).alias("depth"))
-        joint = at_node.groupBy(*KEY, "key").agg((F.max("depth") - F.min("depth")).alias("step"))
-        out.append(_rows(joint, "§5", "depth changes at a node", F.col("step").isNull() | (F.col("step") <= 0.001)))
-
-    own = net.groupBy(*KEY).agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(n) for k, c, n in (("pipe", "cost", "_p"), ("chamber", "cost", "_c"), ("pipe", "length", "_l"))],
-    )
-    tie = degree.join(chambers_old.select(*KEY, "key"), [*KEY, "key"], "left_semi").groupBy(*KEY).agg(F.sum("degree").alias("_t"))
-    fines = missed.join(points.select(*KEY, "key", "flow"), [*KEY, "key"]).groupBy(*KEY).agg(F.sum(T.penalty("flow")).alias("_f"))
-    s = sums.join(own, KEY, "left").join(tie, KEY, "left").join(fines, KEY, "left").na.fill(0, ["_p", "_c", "_l", "_t", "_f"])
-    built = F.col("_p") + F.col("_c") + F.col("_t") * T.TIE_IN_COST
-    for name, want, eps in (("chamber_cost", F.col("_c"), 0.01), ("tie_ins", F.col("_t"), 0), ("tie_in_cost", F.col("_t") * T.TIE_IN_COST, 0.01), ("construction", built, 0.01), ("penalty", F.col("_f"), 0.01), ("calculated", built + F.col("_f"), 0.01), ("length", F.col("_l"), 0.01), ("score", T.score(built + F.col("_f"), F.col("_l")), 0.000051)):
-        out.append(_rows(s, "§6", f"summary: {name}", F.abs(F.col(name) - want) <= eps, "variant"))
-    from functools import reduce
-
+        rules.append(("§5", "depths", none | (d1.isNotNull() & d2.isNotNull() & deep)))
+        rules.append(("§5", "a node is needed at the usual depth", none | ((d1 - T.DEPTH) * (d2 - T.DEPTH) >= -1e-8)))
+        rules.append(("§5", "k_depth", none | (F.abs(F.col("k_depth") - factor) <= 1e-8), F.col("k_depth").isNotNull()))
+    out.append(_rows(p, "key", *rules))
+
+    reached = p.where("_root").select(*KEY, F.col("end").alias("key"), F.lit(True).alias("_on")).distinct()
+    state = node.where("point > 0 OR listed > 0").join(reached, [*KEY, "key"], "left")
+    out.append(_rows(state, "key", ("§2.5/§7", "a point is either connected or listed once", (F.col("point") > 0) & (F.col("_on").isNotNull() != (F.col("listed") == 1)) & (F.col("listed") <= 1))))
+
+    built = net.groupBy(*KEY).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(n) for k, c, n in (("pipe", "cost", "_p"), ("chamber", "cost", "_c"), ("pipe", "length", "_l"))])
+    extra = node.groupBy(*KEY).agg(F.sum(F.when(F.col("stood") > 0, F.col("degree"))).alias("_t"), F.sum(F.when((F.col("listed") > 0) & (F.col("point") > 0), T.penalty("flow"))).alias("_f"))
+    s = sums.join(built, KEY, "left").join(extra, KEY, "left").na.fill(0, ["_p", "_c", "_l", "_t", "_f"])
+    cost = F.col("_p") + F.col("_c") + F.col("_t") * T.TIE_IN_COST
+    want = [("chamber_cost", F.col("_c"), 0.01), ("tie_ins", F.col("_t"), 0), ("tie_in_cost", F.col("_t") * T.TIE_IN_COST, 0.01), ("construction", cost, 0.01), ("penalty", F.col("_f"), 0.01), ("calculated", cost + F.col("_f"), 0.01), ("length", F.col("_l"), 0.01), ("score", T.score(cost + F.col("_f"), F.col("_l")), 0.000051)]
+    out.append(_rows(s, "variant", *[("§6", f"summary: {name}", F.abs(F.col(name) - w) <= eps) for name, w, eps in want]))
     return reduce(DataFrame.unionByName, out)
 
 
+def pipe_crossings(pipes: DataFrame) -> DataFrame:
+    """KEY, key and other of new pipes that meet anywhere but at a node they share. Segments meet in their tiles."""
+    seg = _segments(pipes.select("*", F.col("line")[0].alias("first"), F.element_at("line", -1).alias("last")), "line", *KEY, "key", "start", "end", "first", "last")
+    cut = _tiled(seg, TILE, EPS)
+    names = ["key", "start", "end", "first", "last", "a", "b"]
+    left, right = (cut.select(*KEY, "tx", "ty", F.struct(*names).alias(n)) for n in "lr")
+    met = left.join(right, [*KEY, "tx", "ty"]).where("l.key < r.key")
+    c = lambda path: F.col(path)
+    rx, ry, sx, sy = c("l.b.x") - c("l.a.x"), c("l.b.y") - c("l.a.y"), c("r.b.x") - c("r.a.x"), c("r.b.y") - c("r.a.y")
+    wx, wy, cross = c("r.a.x") - c("l.a.x"), c("r.a.y") - c("l.a.y"), rx * sy - ry * sx
+    met = met.where(F.abs(cross) > 1e-9).withColumns({"t": (wx * sy - wy * sx) / cross, "u": (wx * ry - wy * rx) / cross}).where("t BETWEEN -1e-9 AND 1 + 1e-9 AND u BETWEEN -1e-9 AND 1 + 1e-9")
+    hx, hy = c("l.a.x") + rx * c("t"), c("l.a.y") + ry * c("t")
+    at = lambda name, p: c(f"l.{name}").isin(c("r.start"), c("r.end")) & (F.hypot(hx - c(f"l.{p}.x"), hy - c(f"l.{p}.y")) <= EPS)
+    shared = F.coalesce(at("start", "first"), F.lit(False)) | F.coalesce(at("end", "last"), F.lit(False))
+    return met.where(~shared).select(*KEY, c("l.key").alias("key"), c("r.key").alias("other")).distinct()
+
+
+def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat") -> DataFrame:
+    """KEY, key, obstacle, kind and bad of each new pipe and each forbidden obstacle in whose tiles it runs; bad where it comes too near.
+
+    An obstacle's tiles are those of its box, widened by the largest clearance. Pairs are found by keys alone; coordinates of an
+    obstacle join them once, and each batch of pairs is measured by the kernel. The last segment may enter what covers its point.
+    """
+    rules = T.RULES[profile]
+    known, allowed = [r[0] for r in rules], [r[0] for r in rules if r[1] != "forbidden"]
+    kind = T.canonical_type("restriction_type")
+    lost = T.unknown_rule(profile)
+    default = F.lit(lost[2])
+    base = reduce(lambda c, r: c.when(kind == r[0], F.lit(r[2])), rules[1:], F.when(kind == rules[0][0], F.lit(rules[0][2]))).otherwise(default)
+    forbidden = ~kind.isin(allowed) if lost[1] == "forbidden" else kind.isin([k for k in known if k not in allowed])
+    areas = features.where("message IS NULL AND object_type = 'restriction'").where(F.coalesce(forbidden, F.lit(True))).select("district", F.col("id_key").alias("obstacle"), F.coalesce(kind, F.lit("unknown")).alias("kind"), base.alias("base"), "geometry_type", "coords")
+    numbers = F.transform(F.regexp_extract_all("coords", F.lit(r"\[\s*(-?[0-9][^\[\]]*)\]"), F.lit(1)), lambda c: F.struct(F.split(c, ",")[0].cast("double").alias("x"), F.split(c, ",")[1].cast("double").alias("y")))
+    size = 4 * TILE
+    reach = max([r[2] for r in rules] + [9.0]) + max(r[4] for r in T.DIAMETERS) / 2
+    span = lambda c: F.sequence(spatial.tile(F.array_min(F.transform("_c", lambda p: p[c])) - reach, size), spatial.tile(F.array_max(F.transform("_c", lambda p: p[c])) + reach, size))
+    boxes = areas.select("district", "obstacle", numbers.alias("_c")).select("district", "obstacle", span("x").alias("xs"), span("y").alias("ys")).select("district", "obstacle", F.explode("xs").alias("tx"), "ys").select("district", "obstacle", "tx", F.explode("ys").alias("ty"))
+    points = _places(geojson.typed(features)["points"]).select("district", F.col("key").alias("end"), F.struct("x", "y").alias("point")).dropDuplicates(["district", "end"])
+    cut = _tiled(_segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size"), size, 0.0)
+    pairs = cut.join(boxes, ["district", "tx", "ty"]).groupBy(*KEY, "key", "obstacle", "n").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("end").alias("end"), F.first("diameter").alias("diameter"), F.first("_size").alias("_size"))
+    pairs = pairs.join(points, ["district", "end"], "left").join(areas, ["district", "obstacle"])
+    need = T.clearance("kind", "diameter", "base") + F.coalesce(T.diameter_value("diameter", "width"), F.lit(0.0)) / 2
+    flat = pairs.select(*KEY, "key", "obstacle", "kind", need.alias("need"), "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), F.when(F.col("n") == F.col("_size") - 1, F.col("point.x")).alias("px"), F.when(F.col("n") == F.col("_size") - 1, F.col("point.y")).alias("py"), "geometry_type", "coords")
+
+    def measure(batches):
+        for pdf in batches:
+            shapes, bad = {}, []
+            for r in pdf.itertuples():
+                name = (r.geometry_type, r.coords)
+                if name not in shapes:
+                    c, g = json.loads(r.coords), r.geometry_type
+                    parts = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c, "LineString": lambda c: [[c]], "MultiLineString": lambda c: [[x] for x in c]}[g](c)
+                    shapes[name] = Shape([[np.array(x) for x in p] for p in parts], "Polygon" in g)
+                shape, a, b = shapes[name], np.array([r.x, r.y]), np.array([r.x2, r.y2])
+                inside = r.px == r.px and r.px is not None and shape.covers(np.array([r.px, r.py]))
+                bad.append(bool(not inside and shape.box_distance(a, b) < r.need and shape.segment_distance(a, b) < r.need - EPS))
+            yield pdf[["district", "variant", "key", "obstacle", "kind"]].assign(bad=pd.Series(bad, index=pdf.index, dtype=bool))
+
+    found = flat.mapInPandas(measure, "district string, variant string, key string, obstacle string, kind string, bad boolean")
+    return found.groupBy(*KEY, "key", "obstacle", "kind").agg(F.max("bad").alias("bad"))
+
+
 def spatial_checks(features: DataFrame, net: DataFrame, profile: str = "heat") -> DataFrame:
-    """Checks of crossings between new pipes and of clearances to forbidden obstacles, one group for each variant of a district."""
-    obstacles = features.where("message IS NULL AND object_type = 'restriction'").select("district", F.to_json(F.struct("id_key", "restriction_type", "geometry_type", "coords")).alias("o")).groupBy("district").agg(F.collect_list("o").alias("obstacles"))
-    rows = net.where("kind = 'pipe'").select(*KEY, "key", "start", "end", F.col("line").cast("array<struct<x:double,y:double>>").alias("line"), "diameter").join(obstacles, "district", "left")
-    points = features.where("message IS NULL AND object_type = 'oks_connection_point'").groupBy("district").agg(F.collect_list(F.struct("id_key", "coords")).alias("points"))
-    rows = rows.join(points, "district", "left")
-    width = {r[0]: r[4] for r in T.DIAMETERS}
-    rules = {r[0]: r for r in T.RULES[profile]}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        areas = []
-        first = pdf.iloc[0]
-        for o in map(json.loads, first["obstacles"] if first["obstacles"] is not None else []):
-            kind = o["restriction_type"].strip().lower()
-            kind = T.ALIASES.get(kind, kind)
-            rule = rules.get(kind, T.unknown_rule(profile))
-            if rule[1] == "forbidden":
-                c, g = json.loads(o["coords"]), o["geometry_type"]
-                parts = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c, "LineString": lambda c: [[c]], "MultiLineString": lambda c: [[x] for x in c]}[g](c)
-                areas.append((kind, rule[2], Shape([[np.array(x) for x in p] for p in parts], "Polygon" in g)))
-        places = {p["id_key"]: np.array(json.loads(p["coords"])) for p in (first["points"] if first["points"] is not None else [])}
-        lines = [(r.key, r.start, r.end, np.array([(p["x"], p["y"]) for p in r.line]), int(r.diameter)) for r in pdf.itertuples()]
-        out = []
-
-        def say(key, rule, failed, message):
-            out.append((first["district"], first["variant"], key, rule, "error", bool(failed), message))
-
-        for i, (key, s, e, line, dn) in enumerate(lines):
-            turns = [np.degrees(np.arctan2(abs(u[0] * v[1] - u[1] * v[0]), u @ v)) for u, v in zip(np.diff(line, axis=0), np.diff(line, axis=0)[1:])]
-            say(key, "§2.1", any(t > T.MAX_TURN + 0.01 for t in turns), "turn over a right angle")
-            for other, s2, e2, line2, _ in lines[:i]:
-                shared = [line[0] if x == s else line[-1] for x in (s, e) if x in (s2, e2)]
-                for a, b in zip(line, line[1:]):
-                    for t, _k in crossings(a, b, line2[:-1], line2[1:]):
-                        if not any(np.hypot(*(a + (b - a) * t - p)) <= EPS for p in shared):
-                            say(key, "§2.1", True, f"crosses {other} outside a common node")
-            for kind, base, shape in areas:
-                need = ((5.0 if dn < 500 else 7.0 if dn <= 800 else 9.0) if kind == "oks" else base) + width[dn] / 2
-                bad = False
-                for n, (a, b) in enumerate(zip(line, line[1:])):
-                    final = n == len(line) - 2 and e in places
-                    if final and shape.covers(places[e]):
-                        continue
-                    bad |= shape.box_distance(a, b) < need and shape.segment_distance(a, b) < need - EPS
-                say(key, "§3.1/§4", bad, f"too near to {kind}")
-        return pd.DataFrame(out, columns=["district", "variant", "object_id", "rule", "severity", "failed", "message"])
-
-    return rows.groupBy(*KEY).applyInPandas(run, CHECK)
+    """Checks of turns, of crossings between new pipes and of clearances to forbidden obstacles: joins by tiles, no district in one task."""
+    pipes = net.where("kind = 'pipe'").select(*KEY, "key", "start", "end", "line", "diameter")
+    straight = F.forall(measures.turns("line"), lambda a: a <= T.MAX_TURN + 0.01)
+    out = _rows(pipes, "key", ("§2.1", "turn over a right angle", straight))
+    told = lambda df, rule, failed, message: df.select(*KEY, F.col("key").alias("object_id"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), failed.alias("failed"), message.alias("message"))
+    out = out.unionByName(told(pipe_crossings(pipes), "§2.1", F.lit(True), F.concat(F.lit("crosses "), "other", F.lit(" outside a common node"))))
+    return out.unionByName(told(near_obstacles(features, pipes, profile), "§3.1/§4", F.col("bad"), F.concat(F.lit("too near to "), "kind")))
 
 
 def rank_checks(chosen: DataFrame) -> DataFrame:
@@ -214,7 +276,7 @@ def rank_checks(chosen: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("district").orderBy("rank", "variant")
     r = chosen.select(*KEY, "rank", "score", F.row_number().over(w).alias("_n"), F.lag("score").over(w).alias("_s"))
-    return _rows(r, "§6", "rank", F.col("rank") == F.col("_n"), "variant").unionByName(_rows(r, "§6", "order of scores", F.col("_s").isNull() | (F.col("score") >= F.col("_s")), "variant"))
+    return _rows(r, "variant", ("§6", "rank", F.col("rank") == F.col("_n")), ("§6", "order of scores", F.col("_s").isNull() | (F.col("score") >= F.col("_s"))))
 
 
 def refusals(read: DataFrame) -> DataFrame:
@@ -223,14 +285,14 @@ def refusals(read: DataFrame) -> DataFrame:
     return f.select("district", F.lit(None).cast("string").alias("variant"), F.lit(None).cast("string").alias("object_id"), F.lit("§7").alias("rule"), F.lit("error").alias("severity"), F.lit(True).alias("failed"), "message")
 
 
-def result_checks(features: DataFrame, read: DataFrame, mode: str | None = None, profile: str = "heat") -> DataFrame:
+def result_checks(features: DataFrame, read: DataFrame, mode: str | None = None, profile: str = "heat", held: list | None = None) -> DataFrame:
     """All checks of result files (as ``results.scan`` reads them) against the districts they answer.
 
-    A refused file has one row alone. Positions have nine decimals of a degree, 0.0002 m.
+    A refused file has one row alone. Positions have nine decimals of a degree, 0.0002 m. held: as in ``graph_checks``.
     """
-    net, sums = results.tables(read)
-    net, sums = net.persist(), sums.persist()
-    found = graph_checks(features, net, sums, mode, slack=0.0002).unionByName(spatial_checks(features, net, profile)).unionByName(rank_checks(sums))
+    read = _keep(read, held)
+    net, sums = (_keep(df, held) for df in results.tables(read))
+    found = graph_checks(features, net, sums, mode, slack=0.0002, held=held).unionByName(spatial_checks(features, net, profile)).unionByName(rank_checks(sums))
     return found.unionByName(refusals(read))
 
 

@@ -117,7 +117,8 @@ def scan_text(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, district: str) -> DataFrame:
-    """Features of one result file, under the district whose input it answers."""
+    """Features of one result file, under the district whose input it answers, as it is now: what was kept of it before is dropped."""
+    spark.catalog.refreshByPath(path)
     return scan_text(spark.read.text(path, wholetext=True).select(F.lit(district).alias("district"), F.col("value").alias("text")))
 
 
