@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, decontam, html, langid, linededup, packing, quality, sharding, simhash, tokencount
+from trellis.llm import bpe, chat, decontam, fim, html, langid, linededup, packing, quality, search, sharding, simhash, tokencount
 from trellis.llm.common import table
 
 
@@ -65,6 +65,19 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
+
+
+def op12_blocked_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 _WORDS6 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP6_SQL = rf"""
@@ -214,8 +227,43 @@ FROM x LEFT JOIN asg USING (g_lang, g_source) LEFT JOIN {now} USING ({key})"""
 
 OP5_SQL = _op5_sql()
 
+_TERMS12 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_TERMS12}, []) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, coalesce({_TERMS12}, []) AS w FROM benchmark),
+q AS (SELECT i, item_id, t, count(*)::BIGINT AS times FROM (SELECT i, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+s AS (SELECT count(*)::HUGEINT AS n_docs, sum(len(w))::HUGEINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t),
+v AS (SELECT r, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)::BIGINT)) AS impact FROM p JOIN f USING (t), s),
+c AS (SELECT i, item_id, r, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN v USING (t) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0) WHERE rank <= {search.TOP}
+"""
+
+_JOINED13 = r"CASE WHEN {1} = 0 THEN '' ELSE array_to_string(w[1:{1}], chr(10)) || CASE WHEN {1} < len(w) THEN chr(10) ELSE '' END END"
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS w, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (
+  SELECT *, CASE WHEN t = '' THEN 0 WHEN w[-1] = '' THEN len(w) - 1 ELSE len(w) END AS n,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+p AS (
+  SELECT doc_id, t, n, a, b, h3, h4, {_JOINED13.replace("{1}", "a")} AS prefix, {_JOINED13.replace("{1}", "b")} AS upto FROM c
+),
+s AS (SELECT *, substr(upto, length(prefix) + 1) AS middle, substr(t, length(upto) + 1) AS suffix FROM p),
+f AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM s
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256
+FROM f
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_windows, op2_cost_balanced_packing, op3_family_svm, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op7_extendible_sharding, op8_block_rules, op9_line_templates, op10_simhash_bktree)
+    for f in (op1_chat_windows, op2_cost_balanced_packing, op3_family_svm, op4_prefix_token_counts, op5_robust_outliers, op6_winnowing_decontamination, op7_extendible_sharding, op8_block_rules, op9_line_templates, op10_simhash_bktree, op11_rank_array_bpe, op12_blocked_product_search, op13_fill_in_middle)
 }
-ORACLE_SQL = {"op1_chat_windows": OP1_SQL, "op5_robust_outliers": OP5_SQL, "op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL}
+ORACLE_SQL = {"op1_chat_windows": OP1_SQL, "op5_robust_outliers": OP5_SQL, "op6_winnowing_decontamination": OP6_SQL, "op7_extendible_sharding": OP7_SQL, "op9_line_templates": OP9_SQL, "op12_blocked_product_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
