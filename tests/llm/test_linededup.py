@@ -117,3 +117,43 @@ def test_stage_drops_long_passages_of_two_unlike_documents(spark):
     docs += [(10 + i, "\n".join([*copied, f"Added later by {chr(97 + i)} to it"])) for i in range(3)]
     got = staged(spark, docs)
     assert all(got[d] == t.replace("\n" + long, "") for d, t in docs) and all(long not in t for t in got.values())
+
+
+def test_copies_between_unlike_texts_of_lowest_and_highest_hash(spark):
+    """Three near copies between two unlike texts (by hash): every pair counts, so the shared line isn't one of five."""
+    shared = words("shared", 12)
+    body = [words("body" + chr(97 + i), 20) for i in range(4)]
+    texts = ["\n".join([*body, f"tail {chr(97 + k)} of it", shared]) for k in range(3)] + [words("other" + chr(97 + k), 80) + "\n" + shared for k in range(40)]
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    copies = sorted(hashes[t] for t in texts[:3])
+    low = next(t for t in texts[3:] if hashes[t] < copies[0])
+    high = next(t for t in texts[3:] if hashes[t] > copies[-1])
+    docs = list(enumerate([*texts[:3], low, high]))
+    got = sorted(map(tuple, linededup.cleaned(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()), key=str)
+    assert got == brute(docs, linededup.MIN_DOCS)
+    assert all(r[4] == 0 for r in got)
+
+
+def test_crowded_copies_equal_brute_force(spark):
+    """Groups of near copies of more texts than are paired, with chains and strangers among them, at every crowd."""
+    rng = random.Random(12)
+    stock = [words("stock" + chr(97 + i), rng.randint(3, 25)) for i in range(14)]
+    own = lambda: words("own" + "".join(rng.choices("abcdefgh", k=4)), rng.randint(4, 30))
+    docs = []
+    for family in range(3):
+        base = rng.sample(stock, 9)
+        for _ in range(22):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = own() if rng.random() < 0.7 else rng.choice(stock)
+            docs.append((len(docs), "\n".join(text)))
+    docs += [(len(docs) + i, "\n".join([*rng.sample(stock, 3), *(own() for _ in range(rng.randint(0, 5)))])) for i in range(25)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    old = linededup.CROWD
+    for n in (4, 9, 14):
+        want = brute(docs, n)
+        assert sorted(map(tuple, linededup.cleaned(frame, min_docs=n).collect()), key=str) == want
+    lines = linededup.parsed(frame)
+    held = lines.select("text_hash", linededup.F.explode("lines").alias("x")).where("x.node IS NOT NULL").select("text_hash", "x.node.n_tokens", "x.node.lead", linededup.F.col("x.node.leaf").alias("template")).distinct()
+    groups = [sorted(map(tuple, linededup._groups(lines, held, crowd).collect())) for crowd in (1, 5, old, 1000)]
+    assert all(g == groups[0] for g in groups) and groups[0]

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,26 @@ from pyspark.sql import functions as F
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
-_written: list[DataFrame] = []
+
+
+class _Open(threading.local):
+    def __init__(self):
+        self.scopes: list[Scratch] = []
+
+
+class Scratch:
+    """The tables written while one scope is open; those it doesn't keep are deleted when it ends."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These tables are still read when the scope has ended; the scope around it, if any, has them then."""
+        self.kept += tables
+
+
+_open = _Open()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,33 +87,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._trellis_path = path
-    _written.append(out)
+    if _open.scopes:
+        _open.scopes[-1].tables.append(out)
     return out
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Materialize the result of an operator and delete the tables that were written for it since the last settling."""
-    mine, _written[:] = list(_written), []
-    out = materialize(df, name)
-    _written.clear()
-    for done in mine:
-        discard(done)
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """A scope that owns the tables materialized inside it. Tables of other calls are never touched."""
+    own = Scratch()
+    _open.scopes.append(own)
+    try:
+        yield own
+    finally:
+        _open.scopes.pop()
+        for t in own.tables:
+            if not any(t is k for k in own.kept):
+                discard(t)
+            elif _open.scopes:
+                _open.scopes[-1].tables.append(t)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns, materialized; the tables that make itself has left behind are deleted."""
+    with scratch() as own:
+        out = materialize(make(), name)
+        own.keep(out)
     return out
 
 
-def written() -> int:
-    """How many tables have been materialized and not settled so far, for tidy()."""
-    return len(_written)
-
-
-def tidy(since: int, *keep: DataFrame) -> None:
-    """Delete the tables materialized since written() gave that number, except those that are still read."""
-    mine, _written[since:] = _written[since:], list(keep)
-    for done in mine:
-        if not any(done is k for k in keep):
-            discard(done)
-
-
 def discard(df: DataFrame | None) -> None:
     """Delete a materialized table that nothing reads any more."""
     path = getattr(df, "_trellis_path", None)

@@ -7,23 +7,29 @@ and three at least, are left. Else, and for lines of LONG tokens or more (passag
 masked is the template. Two lines are of one template if token count, leading tokens (32-bit hash) and the rest (64-bit hash) agree.
 
 A template recurs, and all its lines go, if MIN_DOCS documents that aren't copies of each other hold it; LONG_DOCS for lines of LONG
-tokens or more. Lines of fewer than MIN_TOKENS tokens (none or one word) stay. Copies count once: equal texts, and texts that are linked. Each
-text with a candidate template is compared with the lowest and the highest text (by hash) that hold it, so a template of n texts costs
-2 n comparisons. They are linked if the ends of lines (leading and last tokens, with the rough length of the line as weight) that are
-found in both make up three quarters of those found in either: an edit inside a line leaves its ends, other lines around a shared
-passage don't have them in common.
+tokens or more. Lines of fewer than MIN_TOKENS tokens (none or one word) stay. Copies count once: equal texts, and texts that are linked, also over
+others. Two texts that hold a candidate template in common are linked if the ends of lines (leading and last tokens, with the rough length of the line as
+weight) that are found in both make up three quarters of those found in either: an edit inside a line leaves its ends, other lines around a
+shared passage don't have them in common.
+
+No link is lost, and no template's texts are paired with each other: ends are ranked by how many texts have them, and two linked texts share one among
+the rarest ends that make up a quarter of each one's weight. Pairs are looked for there only. Where more than CROWD texts
+have such an end, all are compared with one of them first; then only those still in different groups, and of these only pairs whose distances from
+that one differ by a quarter at most (the share not in common is a metric).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import components, materialize, tidy, written
+from trellis.llm.common import components, materialize, scratch
 
 MIN_DOCS, MIN_TOKENS, LEADING = 5, 2, 2
 #: Lines of LONG tokens or more have no fields but tokens with a digit, and recur from LONG_DOCS documents on.
 LONG, LONG_DOCS = 50, 2
+#: Texts with one rare end up to which all pairs are compared.
+CROWD = 24
 #: The low bits of a line's end hold the length of the line, as half powers of two.
 _SIZE = 255
 #: A token with a digit, from the token's first character on.
@@ -56,9 +62,13 @@ def line_ends(lines: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(lines, lambda x: x != ""), ends)))
 
 
+def _end_weight(end: Column) -> Column:
+    return F.floor(16 * F.pow(F.lit(2.0), end.bitwiseAND(F.lit(_SIZE)) / 2))
+
+
 def weight(ends: Column) -> Column:
     """Sum of the line lengths that go with ends, in sixteenths of a token."""
-    return F.aggregate(ends, F.lit(0).cast("bigint"), lambda s, x: s + F.floor(16 * F.pow(F.lit(2.0), x.bitwiseAND(F.lit(_SIZE)) / 2)))
+    return F.aggregate(ends, F.lit(0).cast("bigint"), lambda s, x: s + _end_weight(x))
 
 
 def parsed(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -104,17 +114,59 @@ def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
     return materialize(plain.unionByName(fields.join(broad, _TEMPLATE).select(*_NODE, "template")), "templates")
 
 
-def _groups(lines: DataFrame, held: DataFrame) -> DataFrame:
-    """(text_hash, root) of texts that are linked as copies. held: the texts to compare, with the lowest and highest of each template."""
-    # What both hold is no more than the lighter one, what either holds no less than the heavier one.
-    pairs = held.select(F.col("text_hash").alias("a"), "weight", F.explode(F.array("low", "high")).alias("b")).where("a <> b.text_hash AND 4 * least(weight, b.weight) >= 3 * greatest(weight, b.weight)")
-    pairs = materialize(pairs.select("a", F.col("b.text_hash").alias("b")).distinct(), "pairs")
-    parts = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("parts").alias("parts"))
-    parts = materialize(parts, "parts")
-    both = pairs.join(parts.select(F.col("text_hash").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("text_hash").alias("b"), F.col("parts").alias("pb")), "b")
+def _sizes_fit(a: str, b: str) -> str:
+    """What two texts share is no more than the lighter one, what either has no less than the heavier one."""
+    return f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})"
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b), each once, with apart, the share of what either has that isn't in both, and alike, whether they are linked."""
+    side = lambda c: nodes.select(F.col("h").alias(c), F.col("parts").alias(f"p{c}"), F.col("held").alias(f"t{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared, all_ = weight(F.array_intersect("pa", "pb")), weight(F.col("pa")) + weight(F.col("pb"))
-    links = both.select("a", "b", shared.alias("_s"), all_.alias("_t")).where("4 * _s >= 3 * (_t - _s)").select("a", "b")
-    return components(links).select(F.col("node").alias("text_hash"), "root")
+    told = both.select("a", "b", shared.alias("_s"), all_.alias("_t"), F.arrays_overlap("ta", "tb").alias("_o"))
+    return materialize(told.select("a", "b", (1 - F.col("_s") / (F.col("_t") - F.col("_s"))).alias("apart"), (F.col("_o") & (4 * F.col("_s") >= 3 * (F.col("_t") - F.col("_s")))).alias("alike")), "compared")
+
+
+def _rarest(nodes: DataFrame) -> DataFrame:
+    """(h, weight, own, e) for the rarest ends of each text that make up a quarter of its weight and that other texts have too; own: weight of ends that no other text has."""
+    ends = nodes.select("h", "weight", F.explode("parts").alias("e"))
+    often = materialize(ends.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "ends")
+    w = Window.partitionBy("h")
+    shared = ends.join(often, "e").withColumn("_w", _end_weight(F.col("e")))
+    shared = shared.withColumn("own", F.col("weight") - F.sum("_w").over(w)).withColumn("_before", F.col("own") - F.col("_w") + F.sum("_w").over(w.orderBy("n", "e")))
+    return shared.where("4 * _before <= weight").select("h", "weight", "own", "e")
+
+
+def _groups(lines: DataFrame, held: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(text_hash, root) of texts that are linked as copies. held: texts with the candidate templates they hold."""
+    templates = held.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.xxhash64(*_TEMPLATE))).alias("held"))
+    texts = lines.join(templates, "text_hash").groupBy("text_hash").agg(F.first(F.struct(F.sort_array("parts").alias("parts"), "held", "weight")).alias("x")).select("text_hash", "x.*")
+    # Texts of the same ends and templates are one node.
+    texts = materialize(texts.withColumn("shape", F.xxhash64("parts", "held")), "texts")
+    nodes = texts.groupBy("shape").agg(F.min("text_hash").alias("h"), F.first(F.struct("parts", "held", "weight")).alias("x"))
+    nodes = materialize(nodes.select("shape", "h", "x.*"), "nodes")
+    same = texts.select("text_hash", "shape").join(nodes.select("shape", "h"), "shape").where("text_hash <> h").select(F.col("text_hash").alias("a"), F.col("h").alias("b"))
+    rare = materialize(_rarest(nodes), "rarest-ends")
+    sets = materialize(rare.groupBy("e").agg(F.count("*").alias("m"), F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), "h", "weight")).alias("first")).where("m > 1"), "sets")
+    placed = materialize(rare.join(sets, "e").select("e", "m", "h", "weight", F.col("first.h").alias("first"), F.col("first.weight").alias("first_weight")), "placed")
+    few, many = placed.where(f"m <= {crowd}"), placed.where(f"m > {crowd}")
+    side = lambda df, c, *more: df.select("e", F.col("h").alias(c), F.col("weight").alias(f"w{c}"), *[F.col(x).alias(f"{x}{c}") for x in more])
+    pairs = side(few, "a").join(side(few, "b"), "e").where("a < b AND " + _sizes_fit("wa", "wb")).select("a", "b")
+    to_first = many.where("h <> first").select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b"))
+    compared = _compared(pairs.unionByName(to_first).distinct(), nodes)
+    links = same.unionByName(compared.where("alike").select("a", "b"))
+    roots = components(links).select(F.col("node").alias("h"), "root")
+    # Crowded ends whose texts aren't all of one group yet.
+    many = many.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = many.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e")
+    apart = compared.select("a", "b", "apart")
+    many = many.join(mixed, "e").withColumn("a", F.least("h", "first")).withColumn("b", F.greatest("h", "first")).join(apart, ["a", "b"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))).drop("a", "b")
+    many = materialize(many, "crowded")
+    x, y = side(many, "a", "root", "apart", "first"), side(many, "b", "root", "apart")
+    more = x.join(y, "e").where(f"a < b AND roota <> rootb AND firsta <> a AND firsta <> b AND abs(aparta - apartb) <= 0.2500001 AND {_sizes_fit('wa', 'wb')}").select("a", "b").distinct()
+    links = links.unionByName(_compared(more.join(compared.select("a", "b"), ["a", "b"], "left_anti"), nodes).where("alike").select("a", "b"))
+    return materialize(components(links).select(F.col("node").alias("text_hash"), "root"), "copies")
 
 
 def cleaned(docs: DataFrame, carry: bool = False, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -124,20 +176,20 @@ def cleaned(docs: DataFrame, carry: bool = False, min_docs: int = MIN_DOCS) -> D
     count once. A null text stays null with 0 lines; an empty one has one line, which is kept. Rows of equal text are one
     document, whatever their ids; null ids count like others. Repeated rows each come back. An empty table gives no rows.
     """
-    since = written()
-    lines = materialize(parsed(docs, carry), "lines")
+    with scratch() as own:
+        lines = materialize(parsed(docs, carry), "lines")
+        nodes = _templates(lines, min_docs)
+        placed = lines.select("uid", "text_hash", F.posexplode("lines").alias("at", "line")).where("line.node IS NOT NULL").select("uid", "text_hash", "at", "line.node.*")
+        # Written first: sizes are then known to the joins, and a template of a third of the lines can be split there.
+        found = materialize(placed.join(nodes, _NODE).drop("leaf"), "recurring-lines")
+        held = found.select("text_hash", *_TEMPLATE).distinct()
+        many = materialize(held.groupBy(*_TEMPLATE).agg(F.count("*").alias("n")).where(F.col("n") >= _enough(min_docs)).select(*_TEMPLATE), "candidates")
+        held = materialize(held.join(many, _TEMPLATE), "held")
+        roots = _groups(lines.select("text_hash", "parts", "weight"), held)
+        apart = held.join(roots, "text_hash", "left").select(*_TEMPLATE, F.coalesce("root", "text_hash").alias("root")).distinct()
+        recurring = materialize(apart.groupBy(*_TEMPLATE).agg(F.count("*").alias("n")).where(F.col("n") >= _enough(min_docs)).select(*_TEMPLATE, F.lit(True).alias("hit")), "recurring")
+        own.keep(lines, found, recurring)
     text = F.col("row.text") if carry else F.col("text")
-    nodes = _templates(lines, min_docs)
-    placed = lines.select("uid", "text_hash", "weight", F.posexplode("lines").alias("at", "line")).where("line.node IS NOT NULL").select("uid", "text_hash", "weight", "at", "line.node.*")
-    # Written first: sizes are then known to the joins, and a template of a third of the lines can be split there.
-    found = materialize(placed.join(nodes, _NODE).drop("leaf"), "recurring-lines")
-    held = found.select("text_hash", "weight", *_TEMPLATE).distinct()
-    many = held.groupBy(*_TEMPLATE).agg(F.count("*").alias("n"), *[f(F.struct("text_hash", "weight")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]).where(F.col("n") >= _enough(min_docs))
-    held = materialize(held.join(materialize(many.drop("n"), "candidates"), _TEMPLATE), "held")
-    roots = _groups(lines.select("text_hash", "parts"), held)
-    apart = held.join(roots, "text_hash", "left").select(*_TEMPLATE, F.coalesce("root", "text_hash").alias("root")).distinct()
-    recurring = materialize(apart.groupBy(*_TEMPLATE).agg(F.count("*").alias("n")).where(F.col("n") >= _enough(min_docs)).select(*_TEMPLATE, F.lit(True).alias("hit")), "recurring")
-    tidy(since, lines, found, recurring)
     hits = found.join(recurring, _TEMPLATE, "left").groupBy("uid").agg(F.collect_list(F.when(F.col("hit"), F.col("at"))).alias("_hits"), F.count("*").alias("_n"))
     own = ["row"] if carry else ["doc_id"]
     part = lines.select("uid", *own, text.alias("_text"), F.size("lines").alias("_lines")).join(hits, "uid", "left")

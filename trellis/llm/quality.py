@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import materialize, tidy, written
+from trellis.llm.common import materialize, scratch
 
 #: Base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -196,13 +196,13 @@ def judged(docs: DataFrame, carry: bool = False, tail: float = TAIL) -> DataFram
     rows, or none that differ, the ridge alone decides. Rows with null language or source form groups of their own.
     Repeated rows each come back; an empty table gives no rows.
     """
-    since = written()
-    stats = materialize(statistics(docs, carry), "statistics")
-    passed = stats.where("NOT base_failed").select(*_GROUP, *transformed(stats))
-    assigned = materialize(_assigned(passed), "groups")
-    v = materialize(passed.join(assigned, _GROUP).select(*_KEY, *_X), "vectors")
-    estimate = _estimates(v)
-    tidy(since, stats, assigned, estimate)
+    with scratch() as own:
+        stats = materialize(statistics(docs, carry), "statistics")
+        passed = stats.where("NOT base_failed").select(*_GROUP, *transformed(stats))
+        assigned = materialize(_assigned(passed), "groups")
+        v = materialize(passed.join(assigned, _GROUP).select(*_KEY, *_X), "vectors")
+        estimate = _estimates(v)
+        own.keep(stats, assigned, estimate)
     estimate = estimate.drop("start", "before", "det")
     limit = chi_square_quantile(1 - tail, len(_X))
     joined = stats.select("*", *transformed(stats)).join(assigned.join(estimate, _KEY).drop(*_KEY), _GROUP, "left").withColumn("distance", _distance())
