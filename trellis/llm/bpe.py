@@ -27,14 +27,14 @@ from trellis.llm.tokens import path
 FILE = "byte_bpe_50k.json"
 #: Words of more bytes than this are merged over a heap.
 SHORT = 96
-_BOUND = 400_000
+_BOUND = 300_000
 _NEVER = 1 << 40
 
 # The pattern that splits text into words, as the public vocabulary publishes it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters on whose class two releases of Unicode differ lie outside these ranges; texts with others are split by the library's splitter.
-_UNSURE = re.compile("[^\u0000-՗֍-ࢎ࢐-౛ౝ-೛ೝ-₎₠-ꟍ꭮-\U000107ba\U0001e700-\U0002b739]")
+_UNSURE = re.compile("[^\x00-\u0557\u058d-\u088e\u0890-\u0c5b\u0c5d-\u0cdb\u0cdd-\u208e\u20a0-\ua7cd\uab6e-\U000107ba\U0001e700-\U0002b739]")
 
 
 def byte_letters() -> list[str]:
@@ -43,27 +43,46 @@ def byte_letters() -> list[str]:
     return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(spare)) for b in range(256)]
 
 
+def _token_bytes(made: dict) -> dict[int, bytes]:
+    """Bytes of each token id of a vocabulary file, special tokens included."""
+    byte_of = {x: b for b, x in enumerate(byte_letters())}
+    out = {i: bytes(byte_of[x] for x in t) for t, i in made["model"]["vocab"].items()}
+    return out | {t["id"]: t["content"].encode() for t in made["added_tokens"]}
+
+
+class Decoder:
+    """Texts of packed ids of one vocabulary file."""
+
+    def __init__(self, file: str = FILE):
+        self.bytes_of = _token_bytes(_read(file))
+
+    def decode(self, ids: bytes | None) -> str:
+        """Text of packed ids, special ones included; bytes that are no UTF-8 become replacement characters."""
+        return b"".join(map(self.bytes_of.__getitem__, _unpacked(ids or b""))).decode("utf-8", "replace")
+
+
+def _read(file: str) -> dict:
+    with open(path(file), encoding="utf-8") as f:
+        return json.load(f)
+
+
 class ByteLevelBPE:
-    """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE without prefix space)."""
+    """Encoder of one vocabulary file of the tokenizers library (byte-level BPE without prefix space)."""
 
     def __init__(self, file: str = FILE, short: int = SHORT):
-        with open(path(file), encoding="utf-8") as f:
-            made = json.load(f)
+        made = _read(file)
         model, split = made["model"], made["pre_tokenizer"]
         if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or made["normalizer"]:
             raise ValueError(f"{file} is no plain byte-level BPE vocabulary")
         self.file, self.short = file, short
-        vocab, letters = model["vocab"], byte_letters()
-        byte_of = {x: b for b, x in enumerate(letters)}
-        self.byte_id = [vocab[x] for x in letters]
+        vocab = model["vocab"]
+        self.byte_id = [vocab[x] for x in byte_letters()]
         #: (left id, right id) as one number -> rank and id of the merge as one number.
         self.merges = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
-        self.bytes_of = {i: bytes(byte_of[x] for x in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         cuts = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._cut = re.compile(f"({cuts})") if cuts else None
         self._words = regex.compile(PATTERN).findall
@@ -144,10 +163,6 @@ class ByteLevelBPE:
                 out.extend(map(self.known.__getitem__, self.words(part)))
         return b"".join(out)
 
-    def decode(self, ids: bytes | None) -> str:
-        """Text of packed ids, special ones included; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, _unpacked(ids or b""))).decode("utf-8", "replace")
-
 
 def _packed(ids: list[int]) -> bytes:
     out = array("I", ids)
@@ -164,13 +179,14 @@ def _unpacked(ids: bytes) -> array:
     return out
 
 
-_coders: dict[str, ByteLevelBPE] = {}
+_coders: dict[tuple[type, str], ByteLevelBPE | Decoder] = {}
 
 
-def coder(file: str = FILE) -> ByteLevelBPE:
-    if file not in _coders:
-        _coders[file] = ByteLevelBPE(file)
-    return _coders[file]
+def coder(file: str = FILE, kind: type = ByteLevelBPE) -> ByteLevelBPE | Decoder:
+    """One coder of each kind and file in a process."""
+    if (kind, file) not in _coders:
+        _coders[kind, file] = kind(file)
+    return _coders[kind, file]
 
 
 def encoded(docs: DataFrame, file: str = FILE) -> DataFrame:
@@ -190,7 +206,7 @@ def decoded(tokens: DataFrame, file: str = FILE) -> DataFrame:
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        bpe = coder(file)
+        bpe = coder(file, Decoder)
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([bpe.decode(x.as_py()) for x in b.column(1)], pa.string())], names=["doc_id", "ids", "text"])
 
