@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm import decontam, linededup, packing, quality, simhash
-from trellis.llm.common import discard, settle, table
+from trellis.llm.common import discard, settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's output is written once to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        done = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
         discard(docs)
         docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
