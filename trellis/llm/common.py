@@ -92,6 +92,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a materialized table of a few numbers a row up to which it is broadcast (some 20 MB).
+FEW = 500_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """A materialized table of narrow rows, marked for broadcast if it has no more than so many rows; else it is joined through a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @contextmanager
 def scratch() -> Iterator[Scratch]:
     """A scope that owns the tables materialized inside it. Tables of other calls are never touched."""

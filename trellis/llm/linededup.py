@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import components, materialize, scratch
+from trellis.llm.common import components, few, materialize, scratch
 
 MIN_DOCS, MIN_TOKENS, LEADING = 5, 2, 2
 #: Lines of LONG tokens or more have no fields but tokens with a digit, and recur from LONG_DOCS documents on.
@@ -102,7 +102,7 @@ def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
     varied = counts.where((F.col("n_tokens") > LEADING) & (F.col("n_tokens") < LONG)).groupBy(*_LEAF).agg(F.sum("n").alias("rows"), F.count("*").alias("forms")).where((F.col("rows") >= min_docs) & (F.col("forms") > 1))
     some = materialize(counts.join(varied.select(*_LEAF), _LEAF), "varied")
     every = lines.select(F.explode("lines").alias("x")).where("x.rest IS NOT NULL").select("x.node.*", "x.rest")
-    forms = materialize(every.join(some, _NODE).groupBy(*_NODE, "n").agg(F.first("rest").alias("rest")), "forms")
+    forms = materialize(every.join(few(some), _NODE).groupBy(*_NODE, "n").agg(F.first("rest").alias("rest")), "forms")
     placed = forms.select(*_NODE, "n", F.posexplode("rest").alias("at", "token"))
     steady = placed.groupBy(*_LEAF, "at", "token").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_docs).select(*_LEAF, "at", "token", F.lit(True).alias("steady"))
     told = placed.join(steady, [*_LEAF, "at", "token"], "left").groupBy(*_NODE, "n").agg(F.array_sort(F.collect_list(F.when(F.col("steady"), F.struct("at", "token")))).alias("_k"))
@@ -133,7 +133,7 @@ def _rarest(nodes: DataFrame) -> DataFrame:
     ends = nodes.select("h", "weight", F.explode("parts").alias("e"))
     often = materialize(ends.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "ends")
     w = Window.partitionBy("h")
-    shared = ends.join(often, "e").withColumn("_w", _end_weight(F.col("e")))
+    shared = ends.join(few(often), "e").withColumn("_w", _end_weight(F.col("e")))
     shared = shared.withColumn("own", F.col("weight") - F.sum("_w").over(w)).withColumn("_before", F.col("own") - F.col("_w") + F.sum("_w").over(w.orderBy("n", "e")))
     return shared.where("4 * _before <= weight").select("h", "weight", "own", "e")
 
@@ -149,10 +149,10 @@ def _groups(lines: DataFrame, held: DataFrame, crowd: int = CROWD) -> DataFrame:
     same = texts.select("text_hash", "shape").join(nodes.select("shape", "h"), "shape").where("text_hash <> h").select(F.col("text_hash").alias("a"), F.col("h").alias("b"))
     rare = materialize(_rarest(nodes), "rarest-ends")
     sets = materialize(rare.groupBy("e").agg(F.count("*").alias("m"), F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), "h", "weight")).alias("first")).where("m > 1"), "sets")
-    placed = materialize(rare.join(sets, "e").select("e", "m", "h", "weight", F.col("first.h").alias("first"), F.col("first.weight").alias("first_weight")), "placed")
-    few, many = placed.where(f"m <= {crowd}"), placed.where(f"m > {crowd}")
+    placed = materialize(rare.join(few(sets), "e").select("e", "m", "h", "weight", F.col("first.h").alias("first"), F.col("first.weight").alias("first_weight")), "placed")
+    paired, many = placed.where(f"m <= {crowd}"), placed.where(f"m > {crowd}")
     side = lambda df, c, *more: df.select("e", F.col("h").alias(c), F.col("weight").alias(f"w{c}"), *[F.col(x).alias(f"{x}{c}") for x in more])
-    pairs = side(few, "a").join(side(few, "b"), "e").where("a < b AND " + _sizes_fit("wa", "wb")).select("a", "b")
+    pairs = side(paired, "a").join(side(paired, "b"), "e").where("a < b AND " + _sizes_fit("wa", "wb")).select("a", "b")
     to_first = many.where("h <> first").select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b"))
     compared = _compared(pairs.unionByName(to_first).distinct(), nodes)
     links = same.unionByName(compared.where("alike").select("a", "b"))
@@ -181,16 +181,16 @@ def cleaned(docs: DataFrame, carry: bool = False, min_docs: int = MIN_DOCS) -> D
         nodes = _templates(lines, min_docs)
         placed = lines.select("uid", "text_hash", F.posexplode("lines").alias("at", "line")).where("line.node IS NOT NULL").select("uid", "text_hash", "at", "line.node.*")
         # Written first: sizes are then known to the joins, and a template of a third of the lines can be split there.
-        found = materialize(placed.join(nodes, _NODE).drop("leaf"), "recurring-lines")
+        found = materialize(placed.join(few(nodes), _NODE).drop("leaf"), "recurring-lines")
         held = found.select("text_hash", *_TEMPLATE).distinct()
         many = materialize(held.groupBy(*_TEMPLATE).agg(F.count("*").alias("n")).where(F.col("n") >= _enough(min_docs)).select(*_TEMPLATE), "candidates")
-        held = materialize(held.join(many, _TEMPLATE), "held")
+        held = materialize(held.join(few(many), _TEMPLATE), "held")
         roots = _groups(lines.select("text_hash", "parts", "weight"), held)
         apart = held.join(roots, "text_hash", "left").select(*_TEMPLATE, F.coalesce("root", "text_hash").alias("root")).distinct()
         recurring = materialize(apart.groupBy(*_TEMPLATE).agg(F.count("*").alias("n")).where(F.col("n") >= _enough(min_docs)).select(*_TEMPLATE, F.lit(True).alias("hit")), "recurring")
         own.keep(lines, found, recurring)
     text = F.col("row.text") if carry else F.col("text")
-    hits = found.join(recurring, _TEMPLATE, "left").groupBy("uid").agg(F.collect_list(F.when(F.col("hit"), F.col("at"))).alias("_hits"), F.count("*").alias("_n"))
+    hits = found.join(few(recurring), _TEMPLATE, "left").groupBy("uid").agg(F.collect_list(F.when(F.col("hit"), F.col("at"))).alias("_hits"), F.count("*").alias("_n"))
     own = ["row"] if carry else ["doc_id"]
     part = lines.select("uid", *own, text.alias("_text"), F.size("lines").alias("_lines")).join(hits, "uid", "left")
     part = part.select(*own, "_text", "_lines", "_hits", "_n", F.array_except(F.sequence(F.lit(0), F.col("_lines") - 1), F.col("_hits")).alias("_keep"))
