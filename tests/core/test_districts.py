@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis.functions import crs
-from trellis.plans import solve, validate
+from trellis.plans import solve, special, validate
 from trellis.sources import geojson, results
 
 MAIN = [("src", "source", [180, 0], {}), ("net_1", "heat_network", [[-150, 0], [0, 0]], {"diameter": 300}), ("net_2", "heat_network", [[0, 0], [180, 0]], {"diameter": 300}), ("ch_1", "heat_chamber", [0, 0], {})]
@@ -103,7 +103,7 @@ def test_known_answers(solved):
 
 def test_own_results_pass_the_checks(solved):
     for mode, (features, net, sums, chosen) in solved.items():
-        found = validate.graph_checks(features, net, sums).unionByName(validate.spatial_checks(features, net)).unionByName(validate.rank_checks(chosen)).cache()
+        found = validate.graph_checks(features, net, sums).unionByName(validate.spatial_checks(features, net)).unionByName(validate.rank_checks(chosen)).unionByName(special.special_checks(features, net, mode)).cache()
         assert found.where("failed").collect() == [] and found.count() > (500 if mode == "PLAN_2D" else 50)
         assert validate.report(found).where("NOT valid").count() == 0
 
@@ -174,6 +174,7 @@ FILE_CHANGES = {
     "diameter": ("heat_network", lambda p: p.update(diameter=50)),
     "end": ("heat_network", lambda p: p.update(end_node_id="elsewhere")),
     "factor": ("heat_network", lambda p: p.update(k_special=p["k_special"] + 0.1)),
+    "special without a crossing": ("heat_network", lambda p: p.update(laying_method="special")),
     "depth in a plan": ("heat_network", lambda p: p.update(depth_start=3.0, depth_end=3.0)),
     "laying": ("heat_network", lambda p: p.update(laying_method="other")),
     "no depth": ("heat_network", lambda p: p.pop("depth_start")),

@@ -3,9 +3,12 @@ import random
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trellis.operators import intervals, measures, network, selection, spatial
+from trellis.functions import tables as T
+from trellis.operators import intervals, measures, network, routing, selection, spatial
 from trellis.operators.routing import Lcg
 from trellis.plans import queries
 from trellis.streaming import jobs
@@ -103,3 +106,37 @@ def test_drop_folder(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert abs(spark.read.parquet(f"{tmp_path}/out/variants").first().score - 0.6913) < 1e-4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-1, 30), st.floats(1, 900), st.integers(0, 6)), min_size=1, max_size=14))
+def test_sized_forest(nodes):
+    """Edges only go up; none is smaller than one below it, no run is too long unless at the table's end, and no single step can be taken back."""
+    above = [None if p < 0 or p >= i else p for i, (p, _, _) in enumerate(nodes)]
+    length, start = [n for _, n, _ in nodes], [s for *_, s in nodes]
+    got = routing.sized(length, above, start)
+    assert routing.sized(length, above, got) == got
+
+    def fits(step):
+        for i in range(len(step)):
+            run, e = 0.0, i
+            while e is not None:
+                below = [j for j in range(len(step)) if above[j] == e]
+                if any(step[j] > step[e] for j in below):
+                    return False
+                run = run + length[e] if e == i or step[e] == last else length[e]
+                last = step[e]
+                if run > T.DIAMETERS[last][2] + 1e-9 and last + 1 < len(T.DIAMETERS):
+                    return False
+                e = above[e]
+        return True
+
+    assert fits(got) and all(a >= b for a, b in zip(got, start))
+    if fits(start):
+        assert got == start
+
+
+def test_sized_path_goes_up_run_by_run():
+    # 181 m is the longest run of the first row, 245 m of the second.
+    assert routing.sized([100, 100, 100], [None, 0, 1], [0, 0, 0]) == [2, 2, 2]
+    assert routing.sized([100, 100, 50], [None, 0, 0], [0, 0, 0]) == [1, 1, 0]

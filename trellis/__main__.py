@@ -24,7 +24,7 @@ def main(args: list[str]) -> int:
     from pyspark.sql import functions as F
 
     from trellis.functions import tables as T
-    from trellis.plans import solve, validate
+    from trellis.plans import solve, special, validate
     from trellis.sources import geojson, results
 
     p = argparse.ArgumentParser(prog="trellis")
@@ -64,11 +64,13 @@ def main(args: list[str]) -> int:
         geojson.publish(solve.result_features(kept, chosen, district), o.out)
         return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile, held), o.out, held)
     own = validate.graph_checks(features, kept, chosen, o.mode, held=held).unionByName(validate.spatial_checks(features, kept, o.profile)).unionByName(validate.rank_checks(chosen))
+    own = own.unionByName(special.special_checks(features, kept, o.mode, o.profile, held))
     return _report(own, None, held)
 
 
 def _report(found, out: str | None, held: list) -> int:
     """Count the checks, leave the report beside the result, let go of the tables held, and give the exit code."""
+    from trellis.operators import shared
     from trellis.plans import validate
 
     found = found.cache()
@@ -80,8 +82,7 @@ def _report(found, out: str | None, held: list) -> int:
         with open(f"{out}.validation.json", "w", encoding="utf-8") as f:
             json.dump(text, f, ensure_ascii=False, indent=1)
     print(json.dumps({"valid": errors == 0, "errorCount": errors, "warningCount": warnings}))
-    for df in [found, *held]:
-        df.unpersist()
+    shared.release([found, *held])
     return 2 if errors else 0
 
 

@@ -17,7 +17,9 @@ import numpy as np
 from trellis.functions import tables as T
 from trellis.operators.geometry import Shape, angle, crossings, project, zone
 
-SLACK, MAX_APPROACHES, MAX_EXPANSIONS = 0.05, 12, 20_000
+SLACK, MAX_APPROACHES, MAX_EXPANSIONS = 0.05, 12, 200_000
+#: Distance of the places tried along an existing pipe, beside its vertices and the nearest place.
+SAMPLE = 50.0
 _DN = [row[0] for row in T.DIAMETERS]
 _ROW = {row[0]: row for row in T.DIAMETERS}
 
@@ -249,7 +251,7 @@ class Builder:
             for a, b in zip(line, line[1:]):
                 at, _ = project(start, a, b)
                 length = float(np.hypot(*(b - a)))
-                for place in [at, *(a + (b - a) * t for t in np.arange(25.0, length, 50.0) / (length or 1))][:40]:
+                for place in [at, a, *(a + (b - a) * t for t in np.arange(SAMPLE, length, SAMPLE) / (length or 1))]:
                     if all(np.hypot(*(place - c)) > T.SNAP + 0.5 for c in usable) and all(np.hypot(*(place - n.at)) > T.SNAP for n in self.nodes.values() if n.kind == "tie-in") and all(np.hypot(*(place - e)) > 0.5 for e in (line[0], line[-1])):
                         out.append((place, "tie-in", key, chamber_price(max(dn, self.dn)), touching(place)))
         above = {e.down: e for e in self.edges}
@@ -295,7 +297,7 @@ class Builder:
             if last is None:
                 continue
             goals = self.goals(start, flow)
-            corners = self.corners([start, *(g[0] for g in goals[:8])])
+            corners = self.corners([start, *(g[0] for g in goals)])
             vertices = [start, *corners, *(g[0] for g in goals)]
             first_goal = 1 + len(corners)
             place = np.array(vertices)
@@ -403,36 +405,48 @@ class Builder:
 
     # ---- sizes
 
-    def size(self, rounds: int = 20) -> None:
+    def size(self) -> None:
         """Diameters: smallest by flow, no smaller toward the root, next one up where a run of one diameter is too long."""
-        above = {e.down: e for e in self.edges}
-        for e in self.edges:
-            e.dn = smallest(e.flow) or _DN[-1]
-        length = {id(e): sum(float(np.hypot(*(b - a))) for a, b in zip(e.line, e.line[1:])) for e in self.edges}
-        for _ in range(rounds):
-            changed = False
-            for key in [n.key for n in self.nodes.values() if n.kind == "point"]:
-                path = []
-                while key in above:
-                    path.append(above[key])
-                    key = above[key].up
-                for low, high in zip(path, path[1:]):
-                    if high.dn < low.dn:
-                        high.dn, changed = low.dn, True
-                i = 0
-                while i < len(path):
-                    j = i
-                    while j < len(path) and path[j].dn == path[i].dn:
-                        j += 1
-                    row = _ROW[path[i].dn]
-                    if sum(length[id(e)] for e in path[i:j]) > row[2] + 1e-9 and row[0] != _DN[-1]:
-                        up = _DN[_DN.index(row[0]) + 1]
-                        for e in path[i:j]:
-                            e.dn = up
-                        changed = True
-                    i = j
-            if not changed:
-                return
+        place = {e.down: i for i, e in enumerate(self.edges)}
+        length = [float(np.hypot(*np.diff(np.array(e.line), axis=0).T).sum()) for e in self.edges]
+        start = [_DN.index(smallest(e.flow) or _DN[-1]) for e in self.edges]
+        for e, step in zip(self.edges, sized(length, [place.get(e.up) for e in self.edges], start)):
+            e.dn = _DN[step]
+
+
+def sized(length: list[float], above: list[int | None], step: list[int]) -> list[int]:
+    """Rows of the diameter table for the edges of a forest, raised from ``step`` as far as needed. above: the edge toward the root.
+
+    The longest run of one diameter through an edge is the deepest that hangs on it plus what is above it, by two sweeps over
+    the forest. Every edge with too long a run goes up by one row, until none has; the result depends on no order of edges.
+    """
+    depth: dict[int, int] = {}
+    for i in range(len(above)):
+        trail = []
+        while i is not None and i not in depth:
+            trail.append(i)
+            i = above[i]
+        base = -1 if i is None else depth[i]
+        depth |= {e: base + n + 1 for n, e in enumerate(reversed(trail))}
+    down = sorted(depth, key=depth.get)
+    step, limit = list(step), [row[2] + 1e-9 for row in T.DIAMETERS]
+    while True:
+        for i in reversed(down):
+            if above[i] is not None:
+                step[above[i]] = max(step[above[i]], step[i])
+        alike = [above[i] is not None and step[above[i]] == step[i] for i in range(len(above))]
+        hanging, over = list(length), [0.0] * len(above)
+        for i in reversed(down):
+            if alike[i]:
+                hanging[above[i]] = max(hanging[above[i]], length[above[i]] + hanging[i])
+        for i in down:
+            if alike[i]:
+                over[i] = over[above[i]] + length[above[i]]
+        long = [i for i in down if step[i] + 1 < len(limit) and hanging[i] + over[i] > limit[step[i]]]
+        if not long:
+            return step
+        for i in long:
+            step[i] += 1
 
 
 def _straightened(line: list[np.ndarray]) -> list[np.ndarray]:

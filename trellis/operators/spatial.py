@@ -25,6 +25,17 @@ def along(ax: Column, ay: Column, bx: Column, by: Column, size: float, margin: f
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), tiles)))
 
 
+def segments(df: DataFrame, line: str, *cols: str) -> DataFrame:
+    """Rows of df once for each segment of an array of points: its number n (from 1), its ends a and b as struct<x,y>."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: F.struct(i.alias("n"), F.get(line, i - 1).alias("a"), F.get(line, i).alias("b")))
+    return df.where(F.size(line) > 1).select(*cols, F.inline(pairs))
+
+
+def tiled(cut: DataFrame, size: float, margin: float) -> DataFrame:
+    """Segments a-b once for each tile within margin of them."""
+    return cut.select("*", F.inline(along(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), size, margin)))
+
+
 def around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Rows once for each of the nine tiles around their own, as tx and ty."""
     near = F.array(*[F.struct((tile(x, size) + i).alias("tx"), (tile(y, size) + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from trellis.functions import tables as T
 from trellis.operators import checks, measures, spatial
 from trellis.operators.geometry import Shape
+from trellis.plans import special
 from trellis.sources import geojson, results
 
 KEY = ["district", "variant"]
@@ -34,17 +35,6 @@ def _rows(df: DataFrame, object_id: str, *rules: tuple) -> DataFrame:
     return df.select(*KEY, F.inline(F.array_compact(F.array(*each))))
 
 
-def _segments(df: DataFrame, line: str, *cols: str) -> DataFrame:
-    """Rows of df once for each segment of an array of points: its number n (from 1), its ends a and b as struct<x,y>."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: F.struct(i.alias("n"), F.get(line, i - 1).alias("a"), F.get(line, i).alias("b")))
-    return df.where(F.size(line) > 1).select(*cols, F.inline(pairs))
-
-
-def _tiled(segments: DataFrame, size: float, margin: float) -> DataFrame:
-    """Segments once for each tile within margin of them."""
-    return segments.select("*", F.inline(spatial.along(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), size, margin)))
-
-
 def _places(t: DataFrame, *cols: str) -> DataFrame:
     """district, key, x and y of point features."""
     return t.select("district", F.col("id_key").alias("key"), F.from_json("coords", "array<double>").alias("c"), *cols).select("district", "key", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), *cols)
@@ -102,7 +92,7 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str
 
     # Links of the existing network with every chamber: its segments, cut once, meet the chambers in their tiles.
     xy = t["pipes"].select("district", F.col("id_key").alias("old"), F.col("diameter").alias("old_dn"), F.transform(F.from_json("coords", "array<array<double>>"), lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))).alias("c"))
-    cut = _tiled(_segments(xy.select("*", F.col("c")[0].alias("f"), F.element_at("c", -1).alias("l")), "c", "district", "old", "old_dn", "f", "l"), TILE, EPS)
+    cut = spatial.tiled(spatial.segments(xy.select("*", F.col("c")[0].alias("f"), F.element_at("c", -1).alias("l")), "c", "district", "old", "old_dn", "f", "l"), TILE, EPS)
     spots = own.where("kind = 'chamber'").select(*KEY, "key", "x", "y").unionByName(chambers_old)
     j = spots.select("*", spatial.tile("x", TILE).alias("tx"), spatial.tile("y", TILE).alias("ty")).join(cut, ["district", "tx", "ty"])
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
@@ -201,8 +191,8 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str
 
 def pipe_crossings(pipes: DataFrame) -> DataFrame:
     """KEY, key and other of new pipes that meet anywhere but at a node they share. Segments meet in their tiles."""
-    seg = _segments(pipes.select("*", F.col("line")[0].alias("first"), F.element_at("line", -1).alias("last")), "line", *KEY, "key", "start", "end", "first", "last")
-    cut = _tiled(seg, TILE, EPS)
+    seg = spatial.segments(pipes.select("*", F.col("line")[0].alias("first"), F.element_at("line", -1).alias("last")), "line", *KEY, "key", "start", "end", "first", "last")
+    cut = spatial.tiled(seg, TILE, EPS)
     names = ["key", "start", "end", "first", "last", "a", "b"]
     left, right = (cut.select(*KEY, "tx", "ty", F.struct(*names).alias(n)) for n in "lr")
     met = left.join(right, [*KEY, "tx", "ty"]).where("l.key < r.key")
@@ -236,7 +226,7 @@ def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat")
     span = lambda c: F.sequence(spatial.tile(F.array_min(F.transform("_c", lambda p: p[c])) - reach, size), spatial.tile(F.array_max(F.transform("_c", lambda p: p[c])) + reach, size))
     boxes = areas.select("district", "obstacle", numbers.alias("_c")).select("district", "obstacle", span("x").alias("xs"), span("y").alias("ys")).select("district", "obstacle", F.explode("xs").alias("tx"), "ys").select("district", "obstacle", "tx", F.explode("ys").alias("ty"))
     points = _places(geojson.typed(features)["points"]).select("district", F.col("key").alias("end"), F.struct("x", "y").alias("point")).dropDuplicates(["district", "end"])
-    cut = _tiled(_segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size"), size, 0.0)
+    cut = spatial.tiled(spatial.segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size"), size, 0.0)
     pairs = cut.join(boxes, ["district", "tx", "ty"]).groupBy(*KEY, "key", "obstacle", "n").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("end").alias("end"), F.first("diameter").alias("diameter"), F.first("_size").alias("_size"))
     pairs = pairs.join(points, ["district", "end"], "left").join(areas, ["district", "obstacle"])
     need = T.clearance("kind", "diameter", "base") + F.coalesce(T.diameter_value("diameter", "width"), F.lit(0.0)) / 2
@@ -293,6 +283,7 @@ def result_checks(features: DataFrame, read: DataFrame, mode: str | None = None,
     read = _keep(read, held)
     net, sums = (_keep(df, held) for df in results.tables(read))
     found = graph_checks(features, net, sums, mode, slack=0.0002, held=held).unionByName(spatial_checks(features, net, profile)).unionByName(rank_checks(sums))
+    found = found.unionByName(special.special_checks(features, net, mode, profile, held=held))
     return found.unionByName(refusals(read))
 
 
