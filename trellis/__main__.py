@@ -24,7 +24,7 @@ def main(args: list[str]) -> int:
     from pyspark.sql import functions as F
 
     from trellis.functions import tables as T
-    from trellis.plans import solve, special, validate
+    from trellis.plans import solve, special, validate, walls
     from trellis.sources import geojson, results
 
     p = argparse.ArgumentParser(prog="trellis")
@@ -63,8 +63,8 @@ def main(args: list[str]) -> int:
     if o.out:
         geojson.publish(solve.result_features(kept, chosen, district), o.out)
         return _report(validate.result_checks(features, results.scan(spark, o.out, district), o.mode, o.profile, held), o.out, held)
-    own = validate.graph_checks(features, kept, chosen, o.mode, held=held).unionByName(validate.spatial_checks(features, kept, o.profile)).unionByName(validate.rank_checks(chosen))
-    own = own.unionByName(special.special_checks(features, kept, o.mode, o.profile, held))
+    own = validate.graph_checks(features, kept, chosen, o.mode, held=held).unionByName(validate.spatial_checks(features, kept, o.profile, walls.spared(features, o.profile, held))).unionByName(validate.rank_checks(chosen))
+    own = own.unionByName(special.special_checks(features, kept, o.mode, o.profile, held)).unionByName(walls.wall_checks(features, kept, o.profile, held))
     return _report(own, None, held)
 
 

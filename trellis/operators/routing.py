@@ -20,6 +20,8 @@ from trellis.operators.geometry import Shape, angle, crossings, project, zone
 SLACK, MAX_APPROACHES, MAX_EXPANSIONS = 0.05, 12, 200_000
 #: Distance of the places tried along an existing pipe, beside its vertices and the nearest place.
 SAMPLE = 50.0
+#: How much farther than the nearest a wall may be without a reason given.
+FARTHER = 0.05
 _DN = [row[0] for row in T.DIAMETERS]
 _ROW = {row[0]: row for row in T.DIAMETERS}
 
@@ -122,6 +124,7 @@ class Builder:
     nodes: dict[str, Node] = field(default_factory=dict)
     edges: list[Edge] = field(default_factory=list)
     missed: list[str] = field(default_factory=list)
+    reasons: dict[str, str] = field(default_factory=dict)
     made: int = 0
 
     # ---- legality
@@ -289,8 +292,9 @@ class Builder:
     def route(self, at: np.ndarray, flow: float):
         """Cheapest legal line from a goal to the point, or None: (cost, line from goal to point, goal)."""
         self.dn = smallest(flow) or _DN[-1]
-        chosen = None
+        chosen, nearest = None, None
         for gap, start, free in self.approaches(at):
+            nearest = gap if nearest is None else nearest
             if chosen and gap > chosen[0] + 0.5:  # a farther wall only if no nearer one can be reached
                 break
             last = self.crossed(at, start, free)
@@ -347,6 +351,8 @@ class Builder:
                 cost = best[0] + self.price(at, start, last, flow)
                 if chosen is None or cost < chosen[1]:
                     chosen = (gap, cost, _straightened(line), best[2])
+        #: Whether a farther wall than the nearest had to be taken.
+        self.farther = chosen is not None and chosen[0] > nearest + FARTHER
         return chosen and chosen[1:]
 
     def connect(self, key: str, at: np.ndarray, flow: float) -> None:
@@ -354,6 +360,8 @@ class Builder:
         if found is None or smallest(flow) is None:
             self.missed.append(key)
             return
+        if self.farther:
+            self.reasons[key] = "no route through the nearest wall"
         _, line, (place, what, which, _, _) = found
         if what == "chamber":
             root = which
@@ -573,7 +581,7 @@ def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D", profile: str =
             out.append({"kind": "technical_node", "key": ends[-1], "line": [p["line"][0]]})
         ends.append(e.down)
         for i, p in enumerate(parts):
-            out.append({"kind": "pipe", "key": f"s:pipe_{len(out) + 1}", "start": ends[i], "end": ends[i + 1]} | p)
+            out.append({"kind": "pipe", "key": f"s:pipe_{len(out) + 1}", "start": ends[i], "end": ends[i + 1], "approach": b.reasons.get(ends[i + 1])} | p)
     for node in b.nodes.values():
         if node.kind in ("tie-in", "branch"):
             dn = max([node.old_dn, *(e.dn for e in b.edges if node.key in (e.up, e.down))])

@@ -21,7 +21,7 @@ from trellis.sources import geojson
 STRATEGIES = ("flow", "nearest", "farthest", "shuffle-1", "shuffle-2")
 NETWORK = (
     "district string, variant string, kind string, key string, start string, end string, line array<struct<x:double,y:double>>, lonlat array<struct<lon:double,lat:double>>, flow double, diameter int, length double, "
-    "laying string, k_special double, k_depth double, depth_start double, depth_end double, crossed string, cost double, tie_in_pipe string"
+    "laying string, k_special double, k_depth double, depth_start double, depth_end double, crossed string, cost double, tie_in_pipe string, approach string"
 )
 _COLUMNS = [c.split()[0] for c in NETWORK.replace("array<struct<x:double,y:double>>", "a").replace("array<struct<lon:double,lat:double>>", "a").split(", ")]
 
@@ -152,7 +152,7 @@ def result_features(net: DataFrame, chosen: DataFrame, district: str) -> DataFra
     """Output features (seq, json) of one district: pipes, chambers, nodes and summary of each variant by rank."""
     one = net.where(F.col("district") == district).join(chosen.where(F.col("district") == district).select("variant", "rank"), "variant")
     strip = lambda c: own_id(F.col(c))
-    own = F.when(F.col("kind") == "pipe", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_network").alias("object_type"), F.col("variant").alias("variant_id"), strip("start").alias("start_node_id"), strip("end").alias("end_node_id"), F.col("flow").alias("flow_tph"), "diameter", T.round_half_up("length", 2).alias("length"), F.col("laying").alias("laying_method"), "depth_start", "depth_end", T.round_half_up("cost", 2).alias("cost"), "k_special", "k_depth", "crossed"), {"ignoreNullFields": "false"}))
+    own = F.when(F.col("kind") == "pipe", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_network").alias("object_type"), F.col("variant").alias("variant_id"), strip("start").alias("start_node_id"), strip("end").alias("end_node_id"), F.col("flow").alias("flow_tph"), "diameter", T.round_half_up("length", 2).alias("length"), F.col("laying").alias("laying_method"), "depth_start", "depth_end", T.round_half_up("cost", 2).alias("cost"), "k_special", "k_depth", "crossed", "approach"), {"ignoreNullFields": "false"}))
     own = own.when(F.col("kind") == "chamber", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_chamber").alias("object_type"), F.col("variant").alias("variant_id"), "diameter", "cost", strip("tie_in_pipe").alias("tie_in_pipe_id")), {"ignoreNullFields": "false"}))
     own = own.when(F.col("kind") == "technical_node", F.to_json(F.struct(strip("key").alias("id"), F.lit("technical_node").alias("object_type"), F.col("variant").alias("variant_id"), F.lit("change of laying").alias("reason"))))
     place = F.create_map(*[F.lit(x) for k in enumerate(("pipe", "chamber", "technical_node")) for x in reversed(k)])

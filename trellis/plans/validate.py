@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trellis.functions import tables as T
 from trellis.operators import checks, measures, spatial
 from trellis.operators.geometry import Shape
-from trellis.plans import special
+from trellis.plans import special, walls
 from trellis.sources import geojson, results
 
 KEY = ["district", "variant"]
@@ -206,11 +206,12 @@ def pipe_crossings(pipes: DataFrame) -> DataFrame:
     return met.where(~shared).select(*KEY, c("l.key").alias("key"), c("r.key").alias("other")).distinct()
 
 
-def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat") -> DataFrame:
+def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat", spared: DataFrame | None = None) -> DataFrame:
     """KEY, key, obstacle, kind and bad of each new pipe and each forbidden obstacle in whose tiles it runs; bad where it comes too near.
 
     An obstacle's tiles are those of its box, widened by the largest clearance. Pairs are found by keys alone; coordinates of an
-    obstacle join them once, and each batch of pairs is measured by the kernel. The last segment may enter what covers its point.
+    obstacle join them once, and each batch of pairs is measured by the kernel. The last segment may enter what covers its point, and
+    what spared (district, point, obstacle) lists for it.
     """
     rules = T.RULES[profile]
     known, allowed = [r[0] for r in rules], [r[0] for r in rules if r[1] != "forbidden"]
@@ -229,6 +230,9 @@ def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat")
     cut = spatial.tiled(spatial.segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size"), size, 0.0)
     pairs = cut.join(boxes, ["district", "tx", "ty"]).groupBy(*KEY, "key", "obstacle", "n").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("end").alias("end"), F.first("diameter").alias("diameter"), F.first("_size").alias("_size"))
     pairs = pairs.join(points, ["district", "end"], "left").join(areas, ["district", "obstacle"])
+    if spared is not None:
+        free = spared.select("district", F.col("point").alias("end"), "obstacle", F.lit(True).alias("_free"))
+        pairs = pairs.join(free, ["district", "end", "obstacle"], "left").where(~F.coalesce(F.col("_free") & (F.col("n") == F.col("_size") - 1), F.lit(False)))
     need = T.clearance("kind", "diameter", "base") + F.coalesce(T.diameter_value("diameter", "width"), F.lit(0.0)) / 2
     flat = pairs.select(*KEY, "key", "obstacle", "kind", need.alias("need"), "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), F.when(F.col("n") == F.col("_size") - 1, F.col("point.x")).alias("px"), F.when(F.col("n") == F.col("_size") - 1, F.col("point.y")).alias("py"), "geometry_type", "coords")
 
@@ -250,14 +254,14 @@ def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat")
     return found.groupBy(*KEY, "key", "obstacle", "kind").agg(F.max("bad").alias("bad"))
 
 
-def spatial_checks(features: DataFrame, net: DataFrame, profile: str = "heat") -> DataFrame:
+def spatial_checks(features: DataFrame, net: DataFrame, profile: str = "heat", spared: DataFrame | None = None) -> DataFrame:
     """Checks of turns, of crossings between new pipes and of clearances to forbidden obstacles: joins by tiles, no district in one task."""
     pipes = net.where("kind = 'pipe'").select(*KEY, "key", "start", "end", "line", "diameter")
     straight = F.forall(measures.turns("line"), lambda a: a <= T.MAX_TURN + 0.01)
     out = _rows(pipes, "key", ("§2.1", "turn over a right angle", straight))
     told = lambda df, rule, failed, message: df.select(*KEY, F.col("key").alias("object_id"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), failed.alias("failed"), message.alias("message"))
     out = out.unionByName(told(pipe_crossings(pipes), "§2.1", F.lit(True), F.concat(F.lit("crosses "), "other", F.lit(" outside a common node"))))
-    return out.unionByName(told(near_obstacles(features, pipes, profile), "§3.1/§4", F.col("bad"), F.concat(F.lit("too near to "), "kind")))
+    return out.unionByName(told(near_obstacles(features, pipes, profile, spared), "§3.1/§4", F.col("bad"), F.concat(F.lit("too near to "), "kind")))
 
 
 def rank_checks(chosen: DataFrame) -> DataFrame:
@@ -282,8 +286,8 @@ def result_checks(features: DataFrame, read: DataFrame, mode: str | None = None,
     """
     read = _keep(read, held)
     net, sums = (_keep(df, held) for df in results.tables(read))
-    found = graph_checks(features, net, sums, mode, slack=0.0002, held=held).unionByName(spatial_checks(features, net, profile)).unionByName(rank_checks(sums))
-    found = found.unionByName(special.special_checks(features, net, mode, profile, held=held))
+    found = graph_checks(features, net, sums, mode, slack=0.0002, held=held).unionByName(spatial_checks(features, net, profile, walls.spared(features, profile, held))).unionByName(rank_checks(sums))
+    found = found.unionByName(special.special_checks(features, net, mode, profile, held=held)).unionByName(walls.wall_checks(features, net, profile, held))
     return found.unionByName(refusals(read))
 
 
