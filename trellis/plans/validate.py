@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import tables as T
-from trellis.operators import checks, measures, spatial
+from trellis.operators import checks, measures, shared, spatial
 from trellis.operators.geometry import Shape
 from trellis.plans import special, walls
 from trellis.sources import geojson, results
@@ -41,11 +41,8 @@ def _places(t: DataFrame, *cols: str) -> DataFrame:
 
 
 def _keep(df: DataFrame, held: list | None) -> DataFrame:
-    """df persisted, and noted for whoever lets go of it."""
-    df = df.persist()
-    if held is not None:
-        held.append(df)
-    return df
+    """df written to the shared folder, so that plans stay short and lost executors cost nothing, and noted for whoever lets go of it."""
+    return shared.written(df, "checked", held)
 
 
 def hung(pipes: DataFrame, held: list | None = None) -> DataFrame:
@@ -58,17 +55,15 @@ def hung(pipes: DataFrame, held: list | None = None) -> DataFrame:
     edges = pipes.select(*KEY, F.col("key").alias("pipe"), "start", "end", "diameter", "flow", "length")
     into = edges.groupBy(*KEY, F.col("end").alias("start")).agg(F.min(F.struct("pipe", "diameter", "flow")).alias("above"))
     at = edges.join(into, [*KEY, "start"], "left").dropDuplicates([*KEY, "pipe"])
-    at = at.select(*KEY, "pipe", "above", F.col("above.pipe").alias("next"), F.col("start").alias("top"), F.col("length").alias("run"), F.coalesce(F.col("above.diameter") == F.col("diameter"), F.lit(False)).alias("whole")).persist()
+    at = at.select(*KEY, "pipe", "above", F.col("above.pipe").alias("next"), F.col("start").alias("top"), F.col("length").alias("run"), F.coalesce(F.col("above.diameter") == F.col("diameter"), F.lit(False)).alias("whole"))
+    at = _keep(at, held)
     most = at.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(most.bit_length()):
         if at.where("next IS NOT NULL").isEmpty():
             break
         up = at.select(*KEY, F.col("pipe").alias("next"), F.col("next").alias("_next"), F.col("top").alias("_top"), F.col("run").alias("_run"), F.col("whole").alias("_whole"))
-        step = at.join(up, [*KEY, "next"], "left").select(*KEY, "pipe", "above", F.col("_next").alias("next"), F.coalesce("_top", "top").alias("top"), (F.col("run") + F.when(F.col("whole"), F.coalesce("_run", F.lit(0.0))).otherwise(0.0)).alias("run"), (F.col("whole") & F.coalesce("_whole", F.lit(False))).alias("whole")).persist()
-        step.count()
-        at.unpersist()
-        at = step
-    _keep(at, held)
+        step = at.join(up, [*KEY, "next"], "left").select(*KEY, "pipe", "above", F.col("_next").alias("next"), F.coalesce("_top", "top").alias("top"), (F.col("run") + F.when(F.col("whole"), F.coalesce("_run", F.lit(0.0))).otherwise(0.0)).alias("run"), (F.col("whole") & F.coalesce("_whole", F.lit(False))).alias("whole"))
+        at = _keep(step, held)
     return at.select(*KEY, "pipe", "above", F.when(F.col("next").isNull(), F.col("top")).alias("top"), "run")
 
 
@@ -76,7 +71,7 @@ def graph_checks(features: DataFrame, net: DataFrame, sums: DataFrame, mode: str
     """Checks of identity, topology, flow, diameters, chambers and sums; with a mode, of its depths too.
 
     slack is what each position may be off in metres, as it was written with few digits. Tables that several rules read are
-    persisted and added to held, so that the caller can let go of them once the findings are used.
+    written and added to held, so that the caller can let go of them once the findings are used.
     """
     t = geojson.typed(features)
     variants = sums.select(*KEY)
