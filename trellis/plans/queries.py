@@ -146,19 +146,22 @@ def downstream_points(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(_node("r", "n_regionkey").alias("node")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: F.concat(F.lit("c"), k.cast("string"))), ",").alias("downstream"))
 
 
-@query("""WITH e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)
-SELECT a.child, b.parent AS ancestor, 2 AS hops FROM e a JOIN e b ON a.parent = b.child UNION ALL SELECT child, parent, 1 FROM e""")
+@query(f"""WITH {_EDGES}
+SELECT a.child, c.parent AS ancestor, 3 AS hops FROM edges a JOIN edges b ON a.parent = b.child JOIN edges c ON b.parent = c.child
+UNION ALL SELECT a.child, b.parent, 2 FROM edges a JOIN edges b ON a.parent = b.child UNION ALL SELECT child, parent, 1 FROM edges""")
 def ancestor_closure(spark: SparkSession, d: str) -> DataFrame:
     """Every node with all nodes above it."""
-    return network.ancestors(_edges(spark, d, orders=False), 2)
+    return network.ancestors(_edges(spark, d), 3)
 
 
-@query("""WITH e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
-k AS (SELECT n_regionkey, count(DISTINCT n_nationkey) + count(*) AS edges FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+@query("""WITH k AS (
+  SELECT n_regionkey, count(DISTINCT n_nationkey) + count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) AS edges
+  FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1
+)
 SELECT 'r' || n_regionkey AS root, edges + 1 AS n_nodes, edges AS n_edges, true AS is_tree FROM k""")
 def forest_check(spark: SparkSession, d: str) -> DataFrame:
     """Components with their root, and whether each is a tree."""
-    return network.forest(_edges(spark, d, orders=False), rounds=2)
+    return network.forest(_edges(spark, d), rounds=2)
 
 
 @query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT child AS node FROM edges UNION ALL SELECT parent FROM edges) GROUP BY 1")
