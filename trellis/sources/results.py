@@ -36,63 +36,80 @@ SUMS = {
 }
 
 
+class _Missing:
+    """Stands for a property that isn't there."""
+
+
 def _is_number(v) -> bool:
     return not isinstance(v, bool) and isinstance(v, (int, Decimal)) and abs(float(v)) < float("inf")
 
 
-def _number(props: dict, name: str, null: bool = False) -> float | None:
-    if null and name in props and props[name] is None:
+def _is_id(v) -> bool:
+    try:
+        return v is not _Missing and id_key(v) is not None
+    except Refused:
+        return False
+
+
+def _or_null(v, make):
+    return None if v is None or v is _Missing else make(v)
+
+
+#: What a property holds: the values that will do, and what the column gets from them.
+_HOLDS = {
+    "id": (_is_id, id_key),
+    "id or nothing": (lambda v: v in (None, _Missing) or _is_id(v), lambda v: _or_null(v, id_key)),
+    "array of ids": (lambda v: isinstance(v, list) and all(map(_is_id, v)), lambda v: [id_key(x) for x in v]),
+    "finite number": (_is_number, float),
+    "finite number or null": (lambda v: v is None or _is_number(v), lambda v: _or_null(v, float)),
+    "number if any": (lambda v: True, lambda v: float(v) if _is_number(v) else None),
+    "integer of 32 bits": (lambda v: type(v) is int and -(2**31) <= v < 2**31, int),
+    "laying method": (lambda v: v in ("base", "special"), str),
+    "text if any": (lambda v: True, lambda v: v if isinstance(v, str) else None),
+}
+_ALL = {"id": ("key", "id"), "variant_id": ("variant", "id")}
+#: Fixed values of the output format: for each object type its kind, its geometry, and the column and content of each property.
+_TYPES = {
+    PIPE: ("pipe", "LineString", {
+        "start_node_id": ("start", "id"), "end_node_id": ("end", "id"), "flow_tph": ("flow", "finite number"), "diameter": ("diameter", "integer of 32 bits"), "length": ("length", "finite number"),
+        "laying_method": ("laying", "laying method"), "depth_start": ("depth_start", "finite number or null"), "depth_end": ("depth_end", "finite number or null"), "cost": ("cost", "finite number"),
+        "k_special": ("k_special", "number if any"), "k_depth": ("k_depth", "number if any"), "approach": ("approach", "text if any"),
+    }),
+    CHAMBER: ("chamber", "Point", {"diameter": ("diameter", "integer of 32 bits"), "cost": ("cost", "finite number"), "tie_in_pipe_id": ("tie_in_pipe", "id or nothing")}),
+    NODE: ("technical_node", "Point", {}),
+    SUMMARY: ("summary", None, {"rank": ("rank", "integer of 32 bits"), "existing_chamber_tie_in_count": ("tie_ins", "integer of 32 bits"), "unconnected_oks_ids": ("unconnected", "array of ids")} | {name: (c, "finite number") for name, c in SUMS.items()}),
+}
+
+
+def _places(geometry, shape: str | None) -> list[dict] | None:
+    """Positions in metres of a geometry of the given type; None for a feature that has none."""
+    if shape is None:
+        if geometry is not None:
+            raise Refused("geometry", "null expected")
         return None
-    if not _is_number(props.get(name)):
-        raise Refused(f"properties.{name}", f"a finite number {name} is required")
-    return float(props[name])
-
-
-def _integer(props: dict, name: str) -> int:
-    v = props.get(name)
-    if isinstance(v, bool) or not isinstance(v, int) or not -(2**31) <= v < 2**31:
-        raise Refused(f"properties.{name}", f"an integer {name} is required")
-    return v
+    found, degrees = geojson._coordinates(None if geometry is _Missing else geometry)
+    if found != shape:
+        raise Refused("geometry", f"{shape} expected")
+    metres = geojson._metres(degrees, geojson._DEPTH[shape])
+    geojson._check(shape, metres)
+    return [{"x": x, "y": y} for x, y in (metres if shape == "LineString" else [metres])]
 
 
 def result_row(district: str, pos: int, f: dict) -> dict:
-    """A typed feature of a result, or the first rule it breaks."""
+    """A typed feature of a result, or what it breaks first: its type, a property of the table, its geometry."""
     row = dict.fromkeys(_COLUMNS) | {"district": district, "pos": pos}
+    props = f.get("properties") if f.get("type") == "Feature" else None
+    known = _TYPES.get(props.get("object_type") if isinstance(props, dict) and isinstance(props.get("object_type"), str) else None)
+    if known is None:
+        return row | {"message": "properties.object_type: a Feature of a known type expected"}
+    row["kind"], shape, columns = known
+    told = [(name, column, holds, props.get(name, _Missing)) for name, (column, holds) in (_ALL | columns).items()]
+    wrong = next((f"properties.{name}: {holds} expected" for name, _, holds, v in told if not _HOLDS[holds][0](v)), None)
     try:
-        p = f.get("properties")
-        if f.get("type") != "Feature" or not isinstance(p, dict):
-            raise Refused("feature", "a Feature with properties is expected")
-        row["key"], row["variant"] = id_key(p.get("id")), id_key(p.get("variant_id"))
-        kind = p.get("object_type")
-        if kind == SUMMARY:
-            if "geometry" not in f or f["geometry"] is not None:
-                raise Refused("geometry", "a summary has geometry null")
-            if not isinstance(p.get("unconnected_oks_ids"), list):
-                raise Refused("properties.unconnected_oks_ids", "unconnected_oks_ids must be an array")
-            row |= {c: _number(p, name) for name, c in SUMS.items()}
-            row |= {"kind": "summary", "rank": _integer(p, "rank"), "tie_ins": _integer(p, "existing_chamber_tie_in_count"), "unconnected": [id_key(v) for v in p["unconnected_oks_ids"]]}
-            return row
-        shape, degrees = geojson._coordinates(f.get("geometry"))
-        metres = geojson._metres(degrees, geojson._DEPTH[shape])
-        geojson._check(shape, metres)
-        if kind not in (PIPE, CHAMBER, NODE):
-            raise Refused("properties.object_type", f"unknown object_type {kind}")
-        if shape != ("LineString" if kind == PIPE else "Point"):
-            raise Refused("geometry", f"{kind} can't be a {shape}")
-        row["line"] = [{"x": x, "y": y} for x, y in (metres if kind == PIPE else [metres])]
-        if kind == PIPE:
-            if p.get("laying_method") not in ("base", "special"):
-                raise Refused("properties.laying_method", "unknown laying_method")
-            row |= {"kind": "pipe", "start": id_key(p.get("start_node_id")), "end": id_key(p.get("end_node_id")), "flow": _number(p, "flow_tph"), "diameter": _integer(p, "diameter")}
-            row |= {"laying": p["laying_method"], "approach": p["approach"] if isinstance(p.get("approach"), str) else None} | {c: _number(p, c) for c in ("length", "cost")}
-            row |= {c: _number(p, c, null=True) for c in ("depth_start", "depth_end")} | {c: float(p[c]) if _is_number(p.get(c)) else None for c in ("k_special", "k_depth")}
-        elif kind == CHAMBER:
-            row |= {"kind": "chamber", "diameter": _integer(p, "diameter"), "cost": _number(p, "cost"), "tie_in_pipe": None if p.get("tie_in_pipe_id") is None else id_key(p["tie_in_pipe_id"])}
-        else:
-            row["kind"] = "technical_node"
+        row["line"] = _places(f.get("geometry", _Missing), shape)
     except Refused as e:
-        row["message"] = str(e)
-    return row
+        wrong = wrong or str(e)
+    return row | ({"message": wrong} if wrong else {column: _HOLDS[holds][1](v) for _, column, holds, v in told})
 
 
 def scan_text(files: DataFrame) -> DataFrame:
