@@ -190,3 +190,13 @@ def test_local_keeps_what_lies_inside_large_areas(spark):
     got = {r.key: r for r in zones.local(pipes, shapes).collect()}
     inner = {k: zones.clipped(zones.inside(r.passes, r.within, r.size), 0, r.size) for k, r in got.items()}
     assert inner == {"in": [(0, 10)], "hole": [], "edge": [(0, 5)]} and {r.obstacle for r in got.values()} == {"area"}
+
+
+def test_forbidden_areas_far_from_their_edges(spark):
+    """A piece deep inside a forbidden area is found, though no edge is near; a long diagonal area is met only where it runs."""
+    from trellis.plans import validate
+
+    diagonal = [[-2000, -1990], [2000, 2010], [2000, 2000], [-2000, -2000], [-2000, -1990]]
+    features, net = tables(spark, {"inside": ([wall("big", "park", [box(-900, -900, 900, 900)])], straight(40, 60)), "beside": ([wall("long", "park", [diagonal])], straight(40, 60))})
+    found = {(r.district, r.key, r.bad) for r in validate.near_obstacles(features, net.where("kind = 'pipe'")).collect()}
+    assert {f for f in found if f[2]} == {("inside", "n0", True), ("inside", "n1", True), ("beside", "n0", True)}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import tables as T
-from trellis.operators import checks, measures, shared, spatial
+from trellis.operators import checks, measures, shared, spatial, zones
 from trellis.operators.geometry import Shape
 from trellis.plans import special, walls
 from trellis.sources import geojson, results
@@ -204,8 +204,8 @@ def pipe_crossings(pipes: DataFrame) -> DataFrame:
 def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat", spared: DataFrame | None = None) -> DataFrame:
     """KEY, key, obstacle, kind and bad of each new pipe and each forbidden obstacle in whose tiles it runs; bad where it comes too near.
 
-    An obstacle's tiles are those of its box, widened by the largest clearance. Pairs are found by keys alone; coordinates of an
-    obstacle join them once, and each batch of pairs is measured by the kernel. The last segment may enter what covers its point, and
+    An obstacle's tiles are those along its edges, widened by the largest clearance, and for what may lie inside it a few as wide as its box. Pairs are
+    found by keys alone; coordinates of an obstacle join them once, and each batch of pairs is measured by the kernel. The last segment may enter what covers its point, and
     what spared (district, point, obstacle) lists for it.
     """
     rules = T.RULES[profile]
@@ -216,15 +216,17 @@ def near_obstacles(features: DataFrame, pipes: DataFrame, profile: str = "heat",
     base = reduce(lambda c, r: c.when(kind == r[0], F.lit(r[2])), rules[1:], F.when(kind == rules[0][0], F.lit(rules[0][2]))).otherwise(default)
     forbidden = ~kind.isin(allowed) if lost[1] == "forbidden" else kind.isin([k for k in known if k not in allowed])
     areas = features.where("message IS NULL AND object_type = 'restriction'").where(F.coalesce(forbidden, F.lit(True))).select("district", F.col("id_key").alias("obstacle"), F.coalesce(kind, F.lit("unknown")).alias("kind"), base.alias("base"), "geometry_type", "coords")
-    numbers = F.transform(F.regexp_extract_all("coords", F.lit(r"\[\s*(-?[0-9][^\[\]]*)\]"), F.lit(1)), lambda c: F.struct(F.split(c, ",")[0].cast("double").alias("x"), F.split(c, ",")[1].cast("double").alias("y")))
     size = 4 * TILE
     reach = max([r[2] for r in rules] + [9.0]) + max(r[4] for r in T.DIAMETERS) / 2
-    span = lambda c: F.sequence(spatial.tile(F.array_min(F.transform("_c", lambda p: p[c])) - reach, size), spatial.tile(F.array_max(F.transform("_c", lambda p: p[c])) + reach, size))
-    boxes = areas.select("district", "obstacle", numbers.alias("_c")).select("district", "obstacle", span("x").alias("xs"), span("y").alias("ys")).select("district", "obstacle", F.explode("xs").alias("tx"), "ys").select("district", "obstacle", "tx", F.explode("ys").alias("ty"))
+    areas = shared.written(areas.withColumns({"area": F.col("geometry_type").isin("Polygon", "MultiPolygon"), "rings": zones.rings("geometry_type", "coords")}), "forbidden")
     points = _places(geojson.typed(features)["points"]).select("district", F.col("key").alias("end"), F.struct("x", "y").alias("point")).dropDuplicates(["district", "end"])
-    cut = spatial.tiled(spatial.segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size"), size, 0.0)
-    pairs = cut.join(boxes, ["district", "tx", "ty"]).groupBy(*KEY, "key", "obstacle", "n").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("end").alias("end"), F.first("diameter").alias("diameter"), F.first("_size").alias("_size"))
-    pairs = pairs.join(points, ["district", "end"], "left").join(areas, ["district", "obstacle"])
+    cut = spatial.segments(pipes.select("*", F.size("line").alias("_size")), "line", *KEY, "key", "end", "diameter", "_size")
+    at = [*KEY, "key", "n"]
+    border = spatial.tiled(zones.edges(areas), size, reach).select("district", "obstacle", "tx", "ty").distinct()
+    near = spatial.tiled(cut.select(*at, "a", "b"), size, 0.0).join(border, ["district", "tx", "ty"]).select(*at, "obstacle")
+    inner = zones.containing(cut.select(*at, F.col("a.x").alias("x"), F.col("a.y").alias("y")), areas).select(*at, "obstacle")
+    pairs = near.unionByName(inner).distinct().join(cut, at)
+    pairs = pairs.join(points, ["district", "end"], "left").join(areas.drop("rings", "area"), ["district", "obstacle"])
     if spared is not None:
         free = spared.select("district", F.col("point").alias("end"), "obstacle", F.lit(True).alias("_free"))
         pairs = pairs.join(free, ["district", "end", "obstacle"], "left").where(~F.coalesce(F.col("_free") & (F.col("n") == F.col("_size") - 1), F.lit(False)))
