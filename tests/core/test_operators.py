@@ -140,3 +140,30 @@ def test_sized_path_goes_up_run_by_run():
     # 181 m is the longest run of the first row, 245 m of the second.
     assert routing.sized([100, 100, 100], [None, 0, 1], [0, 0, 0]) == [2, 2, 2]
     assert routing.sized([100, 100, 50], [None, 0, 0], [0, 0, 0]) == [1, 1, 0]
+
+
+@settings(max_examples=8, deadline=None)
+@given(parents=st.lists(st.integers(0, 10**6), min_size=1, max_size=25), lengths=st.lists(st.integers(1, 5), min_size=25, max_size=25))
+def test_longest_paths_equal_a_walk_over_all(spark, parents, lengths):
+    """Random trees (node i hangs on one of smaller number): longest way down and longest simple path against walks from every node."""
+    edges = [(i + 1, p % (i + 1), lengths[i]) for i, p in enumerate(parents)]
+    near = {}
+    for c, p, w in edges:
+        near.setdefault(c, []).append((p, w))
+        near.setdefault(p, []).append((c, w))
+
+    def far(at, back):
+        return max((w + far(n, at) for n, w in near[at] if n != back), default=0)
+
+    up = {c: p for c, p, _ in edges}
+    want = {n: max(w + far(c, n) for c, w in near[n] if up.get(c) == n) for n in set(up.values())}
+    got = {r.node: r for r in network.longest(spark.createDataFrame(edges, "child int, parent int, length int")).collect()}
+    assert {n: r.longest for n, r in got.items()} == want
+    assert max(r.through for r in got.values()) == max(far(n, None) for n in near)
+    assert all(r.leaf not in want for r in got.values())
+
+
+def test_longest_paths_of_nothing(spark):
+    assert network.longest(spark.createDataFrame([], "child int, parent int, length int")).collect() == []
+    twice = spark.createDataFrame([(1, 0, 2), (1, 0, 2), (2, 0, 3)], "child int, parent int, length int")
+    assert [tuple(r) for r in network.longest(twice, levels=5).collect()] == [(0, 3, 2, 5)]

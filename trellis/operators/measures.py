@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators import network
+
 
 def turns(line: str) -> Column:
     """Turn in degrees at every inner vertex of array<struct<x,y>>."""
@@ -19,7 +21,10 @@ def turns(line: str) -> Column:
 
 
 def route_metrics(net: DataFrame) -> DataFrame:
-    """Per variant: turns (all, near 45 and near 90 degrees), segments, mean and least segment, specials, chambers and tie-ins."""
+    """Per variant: turns (all, near 45 and near 90 degrees), segments, mean and least segment, specials, chambers and tie-ins, longest path and where it leads.
+
+    The loop over levels of the longest path ends at the leaves; routes have a few dozen levels at most.
+    """
     pipes = net.where("kind = 'pipe'").select("district", "variant", "laying", turns("line").alias("t"), F.size("line").alias("n"), "length")
     p = pipes.groupBy("district", "variant").agg(
         F.sum(F.size("t")).alias("turns"),
@@ -31,7 +36,10 @@ def route_metrics(net: DataFrame) -> DataFrame:
         F.count_if(F.col("laying") == "special").alias("specials"),
     )
     c = net.groupBy("district", "variant").agg(F.count_if((F.col("kind") == "chamber") & F.col("tie_in_pipe").isNotNull()).alias("new_tie_ins"), F.count_if((F.col("kind") == "chamber") & F.col("tie_in_pipe").isNull()).alias("branches"), F.count_if(F.col("kind") == "existing_tie_in").alias("existing_tie_ins"))
-    return c.join(p, ["district", "variant"], "left")
+    node = lambda n: F.struct("district", "variant", F.col(n).alias("key"))
+    down = network.longest(net.where("kind = 'pipe'").select(node("end").alias("child"), node("start").alias("parent"), "length"))
+    best = down.groupBy("node.district", "node.variant").agg(F.max(F.struct(F.round("longest", 2).alias("longest"), F.col("leaf.key").alias("leaf"))).alias("b")).select("district", "variant", F.col("b.longest").alias("longest_path"), F.col("b.leaf").alias("longest_path_to"))
+    return c.join(p, ["district", "variant"], "left").join(best, ["district", "variant"], "left")
 
 
 def overlaps(net: DataFrame, step: float = 5.0) -> DataFrame:

@@ -60,6 +60,32 @@ def forest(edges: DataFrame, rounds: int = 6) -> DataFrame:
     return home.join(degree, "node", "left").groupBy("root").agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("up"), F.lit(0)).alias("n_edges")).withColumn("is_tree", F.col("n_edges") == F.col("n_nodes") - 1)
 
 
+def longest(edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """node, longest, leaf and through of every inner node, from edges(child, parent, length).
+
+    longest leads down to leaf (at ties the largest), through joins the two longest branches, so the largest through of a tree is
+    its longest simple path. Each level moves one row an edge at most; lengths of chains of equal hops are combined before they
+    move on. levels bounds the depth (one lazy plan); without it the loop ends when nothing is left to hand on, so edges must
+    not form a cycle then. Repeated edges count once, at their longest.
+    """
+    e = edges.groupBy("child", "parent").agg(F.max("length").alias("length"))
+    front = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select(F.col("child").alias("node"), F.lit(0).cast(e.schema["length"].dataType).alias("d"), F.col("child").alias("leaf"))
+    branches, n = [], 0
+    while levels is None or n < levels:
+        step = front.join(e, front["node"] == e["child"]).select(F.col("parent").alias("node"), F.col("child").alias("via"), (F.col("d") + F.col("length")).cast(e.schema["length"].dataType).alias("d"), "leaf")
+        if levels is None and step.isEmpty():
+            break
+        branches.append(step)
+        front = step.groupBy("node").agg(F.max(F.struct("d", "leaf")).alias("b")).select("node", "b.*")
+        n += 1
+    if not branches:
+        return front.where("false").select("node", F.col("d").alias("longest"), "leaf", F.col("d").alias("through"))
+    each = reduce(DataFrame.unionByName, branches).groupBy("node", "via").agg(F.max(F.struct("d", "leaf")).alias("b"))
+    first = each.groupBy("node").agg(F.max(F.struct("b", "via")).alias("f")).select("node", "f.b", F.col("f.via").alias("_via"))
+    second = each.select("node", "via", F.col("b.d").alias("_d")).join(first.select("node", "_via"), "node").where("via <> _via").groupBy("node").agg(F.max("_d").alias("_d"))
+    return first.join(second, "node", "left").select("node", F.col("b.d").alias("longest"), F.col("b.leaf").alias("leaf"), (F.col("b.d") + F.coalesce("_d", F.lit(0))).cast(e.schema["length"].dataType).alias("through"))
+
+
 def runs(df: DataFrame, path: str, order: list[str], value: str) -> DataFrame:
     """Rows with the number of their run: consecutive rows of equal value along a path."""
     w = Window.partitionBy(path).orderBy(*order)

@@ -164,6 +164,26 @@ def forest_check(spark: SparkSession, d: str) -> DataFrame:
     return network.forest(_edges(spark, d), rounds=2)
 
 
+_LENGTHS = """lengths AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent, (n_nationkey + 1)::DECIMAL(18,2) AS length FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, (c_custkey % 97 + 1)::DECIMAL(18,2) FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, (o_totalprice / 1000)::DECIMAL(18,2) FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_LENGTHS}, up AS (
+  SELECT child AS node, NULL::VARCHAR AS via, 0::DECIMAL(18,2) AS d, child AS leaf FROM lengths WHERE child NOT IN (SELECT parent FROM lengths)
+  UNION ALL SELECT parent, child, (d + length)::DECIMAL(18,2), leaf FROM up JOIN lengths ON child = node),
+b AS (SELECT node, via, d, leaf, row_number() OVER (PARTITION BY node, via ORDER BY d DESC, leaf DESC) AS k FROM up WHERE via IS NOT NULL),
+r AS (SELECT node, d, leaf, row_number() OVER (PARTITION BY node ORDER BY d DESC, leaf DESC) AS k FROM b WHERE k = 1)
+SELECT node, max(d) FILTER (k = 1)::DOUBLE AS longest, max(leaf) FILTER (k = 1) AS leaf, (max(d) FILTER (k = 1) + coalesce(max(d) FILTER (k = 2), 0))::DOUBLE AS through FROM r GROUP BY 1""")
+def longest_path(spark: SparkSession, d: str) -> DataFrame:
+    """Longest way down from every inner node, the order or customer at its end, and the longest simple path over the node."""
+    length = lambda c: c.cast("decimal(18,2)").alias("length")
+    e = _t(spark, d, "nation").select(_node("n", "n_nationkey").alias("child"), _node("r", "n_regionkey").alias("parent"), length(F.col("n_nationkey") + 1))
+    e = e.union(_t(spark, d, "customer").select(_node("c", "c_custkey"), _node("n", "c_nationkey"), length(F.col("c_custkey") % 97 + 1)))
+    e = e.union(_t(spark, d, "orders").select(_node("o", "o_orderkey"), _node("c", "o_custkey"), length(F.col("o_totalprice") / 1000)))
+    found = network.longest(e, levels=3)
+    return found.select("node", F.col("longest").cast("double").alias("longest"), "leaf", F.col("through").cast("double").alias("through"))
+
+
 @query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT child AS node FROM edges UNION ALL SELECT parent FROM edges) GROUP BY 1")
 def node_degree(spark: SparkSession, d: str) -> DataFrame:
     """Incident edges of every node."""
