@@ -246,3 +246,45 @@ def test_command_line_reads_the_result(spark, tmp_path):
     assert main(["validate", source, out]) == 2 and not json.load(open(out + ".validation.json"))["valid"]
     open(out, "w").write(text[:50])
     assert main(["validate", source, out]) == 2 and json.load(open(out + ".validation.json"))["errorCount"] == 1
+
+
+def test_pinned_excluded_and_left_out(spark):
+    """Ids bound the tie-ins; restrictions left out bar no route; an id can't be pinned and excluded at once."""
+    near = geojson.scan_text(spark.createDataFrame([("near", collection(MAIN + CASES["near"]))], "district string, text string"))
+    made = lambda **options: solve.network(near, strategies=("flow",), **options).collect()
+    ties = lambda rows: [r.kind for r in rows if r.kind in ("chamber", "existing_tie_in", "unconnected")]
+    chambers = [r.id_key[2:] for r in near.where("object_type = 'heat_chamber'").collect()]
+    pipes = [r.id_key[2:] for r in near.where("object_type = 'heat_network'").collect()]
+    assert ties(made()) == ["existing_tie_in"] and ties(made(pin=chambers)) == ["existing_tie_in"]
+    assert "existing_tie_in" not in ties(made(exclude=chambers)) and "existing_tie_in" not in ties(made(pin=pipes))
+    assert ties(made(exclude=chambers + pipes)) == ["unconnected"] and ties(made(pin=["nobody"])) == ["unconnected"]
+    with pytest.raises(ValueError):
+        made(pin=["a", "b"], exclude=["b"])
+    trapped = geojson.scan_text(spark.createDataFrame([("trapped", collection(MAIN + CASES["trapped"]))], "district string, text string"))
+    walls = [r.id_key[2:] for r in trapped.where("object_type = 'restriction'").collect()]
+    open_ = solve.without(trapped, walls)
+    assert open_.count() == trapped.count() - len(walls) and solve.without(trapped, ["src"]).count() == trapped.count()
+    assert not [r for r in solve.network(open_, strategies=("flow",)).collect() if r.kind == "unconnected"]
+    cropped = solve.crop(trapped)
+    assert {r.object_type for r in trapped.exceptAll(cropped).collect()} <= {"restriction", "heat_network", "heat_chamber"}
+
+
+def test_summary_tells_metrics_and_costs(solved, tmp_path):
+    _, net, _, chosen = solved["PLAN_2D"]
+    path = str(tmp_path / "road.geojson")
+    geojson.publish(solve.result_features(net, chosen, "road", details=True), path)
+    own = [f["properties"] for f in json.load(open(path))["features"]]
+    for s in (p for p in own if p["object_type"] == "variant_summary"):
+        pipes = [p for p in own if p["object_type"] == "heat_network" and p["variant_id"] == s["variant_id"]]
+        assert abs(sum(x["cost"] for x in s["cost_breakdown"]["pipes_by_diameter"].values()) - sum(p["cost"] for p in pipes)) < 0.1
+        assert abs(sum(x["length_m"] for x in s["cost_breakdown"]["special_sections"].values()) - sum(p["length"] for p in pipes if p["crossed"])) < 0.1
+        assert s["route_metrics"]["specials"] == sum(p["laying_method"] == "special" for p in pipes)
+        assert abs(s["route_metrics"]["longest_path"] - sum(p["length"] for p in pipes)) < 0.1 and s["route_metrics"]["longest_path_to"] == "a"
+
+
+def test_command_line_refuses_contradictions(tmp_path):
+    from trellis.__main__ import main
+
+    with pytest.raises(SystemExit) as e:
+        main(["solve", str(tmp_path / "x"), "--pin", "a,b", "--exclude", "b"])
+    assert e.value.code == 2

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.operators import shared
+
 
 def accumulate(edges: DataFrame, values: DataFrame, agg: str = "sum", levels: int | None = None) -> DataFrame:
     """node and value over its whole subtree (itself included), from values(node, value).
@@ -60,21 +62,25 @@ def forest(edges: DataFrame, rounds: int = 6) -> DataFrame:
     return home.join(degree, "node", "left").groupBy("root").agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("up"), F.lit(0)).alias("n_edges")).withColumn("is_tree", F.col("n_edges") == F.col("n_nodes") - 1)
 
 
-def longest(edges: DataFrame, levels: int | None = None) -> DataFrame:
+def longest(edges: DataFrame, levels: int | None = None, held: list | None = None) -> DataFrame:
     """node, longest, leaf and through of every inner node, from edges(child, parent, length).
 
     longest leads down to leaf (at ties the largest), through joins the two longest branches, so the largest through of a tree is
     its longest simple path. Each level moves one row an edge at most; lengths of chains of equal hops are combined before they
-    move on. levels bounds the depth (one lazy plan); without it the loop ends when nothing is left to hand on, so edges must
-    not form a cycle then. Repeated edges count once, at their longest.
+    move on. levels bounds the depth (one lazy plan); without it each level is written to the shared folder (noted in held)
+    and the loop ends when nothing is left to hand on, so edges must not form a cycle then. Repeated edges count once, at
+    their longest.
     """
     e = edges.groupBy("child", "parent").agg(F.max("length").alias("length"))
+    e = e if levels is not None else shared.written(e, "edges", held)
     front = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select(F.col("child").alias("node"), F.lit(0).cast(e.schema["length"].dataType).alias("d"), F.col("child").alias("leaf"))
     branches, n = [], 0
     while levels is None or n < levels:
         step = front.join(e, front["node"] == e["child"]).select(F.col("parent").alias("node"), F.col("child").alias("via"), (F.col("d") + F.col("length")).cast(e.schema["length"].dataType).alias("d"), "leaf")
-        if levels is None and step.isEmpty():
-            break
+        if levels is None:
+            step = shared.written(step, "branches", held)
+            if step.isEmpty():
+                break
         branches.append(step)
         front = step.groupBy("node").agg(F.max(F.struct("d", "leaf")).alias("b")).select("node", "b.*")
         n += 1

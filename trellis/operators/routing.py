@@ -126,6 +126,12 @@ class Builder:
     missed: list[str] = field(default_factory=list)
     reasons: dict[str, str] = field(default_factory=dict)
     made: int = 0
+    pinned: frozenset = frozenset()
+    excluded: frozenset = frozenset()
+
+    def allowed(self, key: str) -> bool:
+        """Whether routes may tie in to an existing chamber or pipe; ids are compared as text."""
+        return key[2:] not in self.excluded and (not self.pinned or key[2:] in self.pinned)
 
     # ---- legality
 
@@ -249,8 +255,11 @@ class Builder:
             dn, old = self.district.pipes_at(at)
             if dn and max(old, self.degree(key)) < T.MAX_LINKS:
                 usable.append(at)
-                out.append((at, "chamber", key, T.TIE_IN_COST, touching(at)))
+                if self.allowed(key):
+                    out.append((at, "chamber", key, T.TIE_IN_COST, touching(at)))
         for key, line, dn in self.district.pipes:
+            if not self.allowed(key):
+                continue
             for a, b in zip(line, line[1:]):
                 at, _ = project(start, a, b)
                 length = float(np.hypot(*(b - a)))
@@ -561,12 +570,12 @@ def pieces(builder: Builder, edge: Edge, depths: bool) -> list[dict]:
     return out
 
 
-def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D", profile: str = "heat") -> list[dict]:
-    """Network of one district by one strategy, as rows of pipes, chambers, technical nodes and missed points."""
+def solve(rows: list[dict], strategy: str, mode: str = "PLAN_2D", profile: str = "heat", pinned: frozenset = frozenset(), excluded: frozenset = frozenset()) -> list[dict]:
+    """Network of one district by one strategy, as rows of pipes, chambers, technical nodes and missed points; ties in to pinned objects only, if any, and to none excluded."""
     district = District.load(rows, profile)
     if not district.pipes:
         return []
-    b = Builder(district)
+    b = Builder(district, pinned=pinned, excluded=excluded)
     for key, at, flow in order(district.points, strategy, district.pipes):
         b.connect(key, at, flow)
     b.polish()

@@ -7,6 +7,7 @@ everything after it (prices, sums, selection, ranking, output) is one DataFrame
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import crs
 from trellis.functions import tables as T
-from trellis.operators import measures, routing, selection
+from trellis.operators import measures, routing, selection, shared
 from trellis.sources import geojson
 
 STRATEGIES = ("flow", "nearest", "farthest", "shuffle-1", "shuffle-2")
@@ -26,8 +27,15 @@ NETWORK = (
 _COLUMNS = [c.split()[0] for c in NETWORK.replace("array<struct<x:double,y:double>>", "a").replace("array<struct<lon:double,lat:double>>", "a").split(", ")]
 
 
-def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, ...] = STRATEGIES, profile: str = "heat") -> DataFrame:
-    """Rows of each district's network by each strategy: pipes, chambers, technical nodes, tie-ins and unconnected points."""
+def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, ...] = STRATEGIES, profile: str = "heat", pin: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
+    """Rows of each district's network by each strategy: pipes, chambers, technical nodes, tie-ins and unconnected points.
+
+    pin and exclude are ids, as text, of existing chambers and pipes: routes tie in to pinned ones only, if there are any,
+    and to none that is excluded. An id in both raises ValueError.
+    """
+    pinned, excluded = frozenset(pin), frozenset(exclude)
+    if both := pinned & excluded:
+        raise ValueError(f"pinned and excluded at once: {', '.join(sorted(both))}")
     ok = features.where("message IS NULL AND pos >= 0").select("district", "pos", "id_key", "object_type", "diameter", "flow", "restriction_type", "geometry_type", "coords")
     spread = ok.withColumn("variant", F.explode(F.array(*map(F.lit, strategies))))
 
@@ -35,7 +43,7 @@ def network(features: DataFrame, mode: str = "PLAN_2D", strategies: tuple[str, .
         rows = pdf.sort_values("pos").to_dict("records")
         for r in rows:
             r["coords"] = json.loads(r["coords"])
-        made = routing.solve(rows, pdf["variant"].iloc[0], mode, profile)
+        made = routing.solve(rows, pdf["variant"].iloc[0], mode, profile, pinned, excluded)
         out = []
         for r in made:
             row = dict.fromkeys(_COLUMNS) | {k: v for k, v in r.items() if k in _COLUMNS} | {"district": pdf["district"].iloc[0], "variant": pdf["variant"].iloc[0]}
@@ -130,10 +138,11 @@ def crop(features: DataFrame, margin: float = 500.0) -> DataFrame:
     return j.where(keep).select(*features.columns)
 
 
-def without(features: DataFrame, ids: DataFrame) -> DataFrame:
-    """Features but for the restrictions whose ids(district, id_key) the user left out."""
-    gone = ids.select("district", "id_key").distinct().withColumn("_g", F.lit(True))
-    return features.join(gone, ["district", "id_key"], "left").where("_g IS NULL OR object_type <> 'restriction'").select(*features.columns)
+def without(features: DataFrame, ids: Iterable[str]) -> DataFrame:
+    """Features but for the restrictions of these ids, compared as text; broken rows stay."""
+    gone = list(ids)
+    restriction = F.coalesce(F.col("object_type") == "restriction", F.lit(False))
+    return features.where(~(restriction & F.coalesce(F.substring("id_key", 3, 2**31 - 1).isin(gone), F.lit(False)))) if gone else features
 
 
 def cost_breakdown(net: DataFrame) -> DataFrame:
@@ -148,8 +157,23 @@ def own_id(key: Column) -> Column:
     return F.when(key.startswith("n:"), F.try_parse_json(rest)).otherwise(rest.cast("variant"))
 
 
-def result_features(net: DataFrame, chosen: DataFrame, district: str) -> DataFrame:
-    """Output features (seq, json) of one district: pipes, chambers, nodes and summary of each variant by rank."""
+def _details(net: DataFrame) -> DataFrame:
+    """Per variant of one district: route metrics, and cost by diameter and by crossed types."""
+    metrics = measures.route_metrics(net).drop("district").withColumn("longest_path_to", own_id(F.col("longest_path_to")))
+    metrics = metrics.select("variant", F.struct(*[c for c in metrics.columns if c != "variant"]).alias("route_metrics"))
+    part = F.struct(F.round("length", 2).alias("length_m"), F.round("cost", 2).alias("cost"))
+    by = lambda key: F.map_from_entries(F.sort_array(F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("key"), part.alias("value"))))))
+    costs = cost_breakdown(net).withColumn("crossed", F.nullif(F.col("crossed"), F.lit(""))).groupBy("variant").agg(
+        F.struct(by(F.concat(F.lit("DN"), F.col("diameter").cast("string"))).alias("pipes_by_diameter"), by(F.col("crossed")).alias("special_sections"), F.round(F.sum(F.when(F.col("crossed").isNotNull(), F.col("extra"))), 2).alias("special_extra_cost")).alias("cost_breakdown")
+    )
+    return metrics.join(costs, "variant", "left")
+
+
+def result_features(net: DataFrame, chosen: DataFrame, district: str, details: bool = False) -> DataFrame:
+    """Output features (seq, json) of one district: pipes, chambers, nodes and summary of each variant by rank.
+
+    With details, summaries also carry route metrics and a breakdown of cost, which are worked out once and written first.
+    """
     one = net.where(F.col("district") == district).join(chosen.where(F.col("district") == district).select("variant", "rank"), "variant")
     strip = lambda c: own_id(F.col(c))
     own = F.when(F.col("kind") == "pipe", F.to_json(F.struct(strip("key").alias("id"), F.lit("heat_network").alias("object_type"), F.col("variant").alias("variant_id"), strip("start").alias("start_node_id"), strip("end").alias("end_node_id"), F.col("flow").alias("flow_tph"), "diameter", T.round_half_up("length", 2).alias("length"), F.col("laying").alias("laying_method"), "depth_start", "depth_end", T.round_half_up("cost", 2).alias("cost"), "k_special", "k_depth", "crossed", "approach"), {"ignoreNullFields": "false"}))
@@ -158,6 +182,7 @@ def result_features(net: DataFrame, chosen: DataFrame, district: str) -> DataFra
     place = F.create_map(*[F.lit(x) for k in enumerate(("pipe", "chamber", "technical_node")) for x in reversed(k)])
     parts = one.where(F.col("kind").isin("pipe", "chamber", "technical_node")).select(F.format_string("%03d-%d-%s", "rank", place[F.col("kind")], "key").alias("seq"), geojson.feature_json(F.when(F.col("kind") == "pipe", "LineString").otherwise("Point"), F.col("lonlat"), own).alias("json"))
     s = chosen.where(F.col("district") == district)
-    props = F.to_json(F.struct(F.concat(F.lit("summary_"), "variant").alias("id"), F.lit("variant_summary").alias("object_type"), F.col("variant").alias("variant_id"), "rank", T.round_half_up("construction", 2).alias("construction_cost"), F.col("chamber_cost").alias("chamber_construction_cost"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), F.col("tie_in_cost").alias("existing_chamber_tie_in_cost"), F.col("penalty").alias("unconnected_penalty"), T.round_half_up("calculated", 2).alias("calculated_cost"), T.round_half_up("length", 2).alias("new_network_length"), "score", F.transform("unconnected", own_id).alias("unconnected_oks_ids"), F.col("pareto").alias("pareto_optimal")))
+    s = s.join(shared.written(_details(one), "details"), "variant", "left") if details else s
+    props = F.to_json(F.struct(F.concat(F.lit("summary_"), "variant").alias("id"), F.lit("variant_summary").alias("object_type"), F.col("variant").alias("variant_id"), "rank", T.round_half_up("construction", 2).alias("construction_cost"), F.col("chamber_cost").alias("chamber_construction_cost"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), F.col("tie_in_cost").alias("existing_chamber_tie_in_cost"), F.col("penalty").alias("unconnected_penalty"), T.round_half_up("calculated", 2).alias("calculated_cost"), T.round_half_up("length", 2).alias("new_network_length"), "score", F.transform("unconnected", own_id).alias("unconnected_oks_ids"), F.col("pareto").alias("pareto_optimal"), *(["route_metrics", "cost_breakdown"] if details else [])))
     empty = F.lit(None).cast("array<struct<lon:double,lat:double>>")
     return parts.unionByName(s.select(F.format_string("%03d-9", "rank").alias("seq"), geojson.feature_json(F.lit(None).cast("string"), empty, props).alias("json")))
