@@ -71,3 +71,26 @@ def test_every_prefix_without_encoding_it():
     c.filled.clear()
     assert [c.at(text, p) for p in range(len(text) + 1)] == want
     assert c.truncate(text, want[-1] - 1) == max(p for p, n in enumerate(want) if n < want[-1])
+
+
+def test_counts_are_the_last_entries_of_the_table(monkeypatch):
+    """Counts of whole texts come from the pieces of their prefixes too: every segment is filled, none goes to the library."""
+    sp, filled, fill = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")), [], tokencount.PrefixCounter._fill
+    monkeypatch.setattr(tokencount.PrefixCounter, "_fill", lambda self, segment: filled.append(segment) or fill(self, segment))
+    c = tokencount.PrefixCounter()
+    text = "unquestionable internationalization of words\n  and \0 lines 国际货币 ▁▁ 🙂"
+    assert c.count(text) == len(sp.encode(text)) and set(filled) == set(c.segments(text))
+    assert c.prefixes(text).tolist() == [len(sp.encode(text[:p])) for p in range(len(text) + 1)]
+    assert c.prefixes(None).tolist() == c.prefixes("").tolist() == [0]
+
+
+def test_small_tables_of_segments(monkeypatch):
+    """Bounds that are met all the time change nothing."""
+    monkeypatch.setattr(tokencount, "_BOUND", 6)
+    monkeypatch.setattr(tokencount, "_HELD", 40)
+    monkeypatch.setattr(tokencount, "_LONG", 9)
+    sp, c, rng = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")), tokencount.PrefixCounter(), random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choices("▁ \0\nabehst国é", k=50)) + " " * rng.randrange(40) + "internationalization the"
+        assert c.prefixes(text).tolist() == [len(sp.encode(text[:p])) for p in range(len(text) + 1)]
+        assert len(c.filled) <= 4 and c.filled.held <= 40

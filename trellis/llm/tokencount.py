@@ -4,21 +4,24 @@ No piece of the vocabulary holds a word mark behind another character, and a lin
 own, so no merge crosses into a run of blanks or over one of those; a word mark in a text counts like the blank it stands for.
 The table therefore obeys
 
-    T[end of segment i] = T[end of segment i - 1] + n(segment i)        (n kept in a bounded table)
+    T[end of segment i] = T[end of segment i - 1] + last entry of D(segment i)
     T[inside segment i] = T[end of segment i - 1] + D(segment i)[part]
 
 and each entry is the count the library gives for that prefix encoded alone. D holds the counts at every prefix of a segment, one row
-for all places where the segment stands, and is filled when a prefix inside it is asked for: a sequence of pieces is what the
-library makes of its text exactly if each two neighbours are, so the last piece of a prefix is the one that stands beside the last piece of
-what is before it. Truncation and budget questions read the table; no prefix is encoded again.
+for all places where the segment stands: a sequence of pieces is what the library makes of its text exactly if each two neighbours are, so
+the last piece of a prefix is the one that stands beside the last piece of what is before it, and its count is one more than there. The
+library is asked about pieces and pairs of pieces only. Counts of whole texts, truncation and budget questions read the table; neither a
+text nor a segment nor a prefix is encoded.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
-from itertools import accumulate
+from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ FILE, LIMIT = "piece_bpe_32k.model", 4096
 _MARK = "▁"
 _SEGMENT = re.compile("[\n\0]| *[^ \n\0]+| +")
 _BOUND = 400_000
+#: Code points of the segments whose counts are kept at most; one of more than the second is filled anew at each place.
+_HELD, _LONG = 4_000_000, 4096
 
 
 class PrefixCounter:
@@ -42,47 +47,52 @@ class PrefixCounter:
         probe, made = f"a  b \n c\0{_MARK}d", f"{_MARK}a{_MARK * 2}b{_MARK}<0x0A>{_MARK}c<0x00>{_MARK}d"
         if any(_MARK in p.lstrip(_MARK) or "\n" in p or "\0" in p for p in pieces) or "".join(m.encode(probe, out_type=str)) != made:
             raise ValueError(f"merges of {file} cross blanks or line feeds")
-        count = lambda text: len(m.encode(text))
-        head = count("\n")  # the mark put before a text, and the line feed
+        head = len(m.encode("\n"))  # the mark put before a text, and the line feed
+        normal = lambda i: not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))
+        self.pieces = {p for i, p in enumerate(pieces) if normal(i)}
+        self.longest = max(map(len, self.pieces))
+        made = lambda text: m.encode("\n" + text.replace(_MARK, " "), out_type=str)[head:]
 
         class Known(dict):
-            def __missing__(self, segment):
+            def __missing__(self, piece):
                 if len(self) > _BOUND:
                     self.clear()
-                # A leading blank is the mark that the library itself puts before a text.
-                n = 1 if segment in ("\n", "\0") else count(segment[1:]) if segment[0] == " " and len(segment) > 1 else 1 if segment == " " else count("\n" + segment) - head
-                self[segment] = n
-                return n
+                out = self[piece] = made(piece)
+                return out
 
-        self.known = Known()
-        normal = lambda i: not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))
-        self.pieces = {p for i, p in enumerate(pieces) if normal(i)}
-        self.longest = max(map(len, self.pieces))
-        made = lambda text: m.encode("\n" + text.replace(_MARK, " "), out_type=str)[head:]
+        self.known = known = Known()
 
         class Apart(dict):
             def __missing__(self, pair):
                 if len(self) > _BOUND:
                     self.clear()
                 a, b = pair
-                self[pair] = ok = made(a + b) == made(a) + made(b)
+                self[pair] = ok = made(a + b) == known[a] + known[b]
                 return ok
 
         class Sizes(dict):
             def __missing__(self, piece):
                 if len(self) > _BOUND:
                     self.clear()
-                n = len(made(piece))
+                n = len(known[piece])
                 self[piece] = n if n == 1 or len(piece) == 1 else 0
                 return self[piece]
 
         fill = self._fill
 
         class Filled(dict):
+            """When full, its rows are kept aside until it is full again, so frequent ones aren't filled anew."""
+
+            held, aside = 0, {}
+
             def __missing__(self, segment):
-                if len(self) > _BOUND // 8 or len(segment) > 4096:
-                    self.clear()
-                out = self[segment] = fill(segment)
+                out = self.aside.get(segment) or fill(segment)
+                if len(segment) <= _LONG:
+                    if self.held > _HELD // 2 or len(self) > _BOUND // 2:
+                        self.held, self.aside = 0, dict(self)
+                        self.clear()
+                    self.held += len(segment)
+                    self[segment] = out
                 return out
 
         self.apart, self.sizes, self.filled = Apart(), Sizes(), Filled()
@@ -92,43 +102,59 @@ class PrefixCounter:
         return _SEGMENT.findall(" " + text.replace(_MARK, " "))
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.known.__getitem__, self.segments(text))) if text else 0
+        """The last entry of the table."""
+        return int(self.prefixes(text)[-1])
 
-    def _fill(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, from one code point on."""
+    def _fill(self, segment: str) -> bytes:
+        """Tokens of each prefix of a segment, from one code point on, as int32."""
         s = segment.replace(" ", _MARK)
-        counts, last = [0], [""]
+        pieces, sizes, apart, longest = self.pieces, self.sizes, self.apart, self.longest
+        counts, last = array("i", [0]), deque([""], longest)
         for p in range(1, len(s) + 1):
-            for w in range(1, min(self.longest, p) + 1):
+            w, piece = 1, s[p - 1]
+            while not ((w == 1 or piece in pieces) and (n := sizes[piece]) and (w == p or apart[last[-w], piece])):
+                w += 1
+                if w > p or w > longest:
+                    raise ValueError(f"no pieces for the first {p} characters of a segment")
                 piece = s[p - w : p]
-                if (w == 1 or piece in self.pieces) and (n := self.sizes[piece]) and (w == p or self.apart[last[p - w], piece]):
-                    counts.append(counts[p - w] + n)
-                    last.append(piece)
-                    break
-            else:
-                raise ValueError(f"no pieces for the first {p} characters of a segment")
-        return counts[1:]
+            counts.append(counts[p - w] + n)
+            last.append(piece)
+        return counts[1:].tobytes()
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens at every prefix of a text from its mark on, and code points at the ends of its segments."""
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        counts = np.frombuffer(b"".join(map(self.filled.__getitem__, parts)), np.int32)
+        own = counts[ends - 1]
+        return counts + np.repeat(np.cumsum(own, dtype=np.int32) - own, np.diff(ends, prepend=0)), ends
+
+    def prefixes(self, text: str | None) -> np.ndarray:
+        """The table: tokens of every prefix of a text, from the empty one on."""
+        if not text:
+            return np.zeros(1, np.int32)
+        counts, _ = self._joined(self.segments(text))
+        counts[0] = 0  # the mark alone stands for no text
+        return counts
 
     def _inside(self, segment: str, first: bool) -> list[int]:
         """Tokens of each prefix of a segment of the text; the first one stands behind the mark that the library puts before a text."""
         segment = segment.replace(_MARK, " ")
-        return self.filled[" " + segment][1:] if first else self.filled[segment]
+        counts = np.frombuffer(self.filled[" " + segment if first else segment], np.int32).tolist()
+        return counts[1:] if first else counts
 
     def table(self, text: str | None, budget: int | None = None, every: bool = False) -> tuple[list[int], list[int]]:
-        """Code points and tokens at the end of each segment, from (0, 0), and at every prefix inside the one that crosses the budget; every: at every prefix of the text."""
+        """Extract of the table, code points and tokens: at the end of each segment, from (0, 0), and at every prefix inside the one that crosses the budget; every: at every prefix of the text."""
         if not text:
             return [0], [0]
-        parts = self.segments(text)
-        ends = [0, *(n - 1 for n in accumulate(map(len, parts)))]
-        tokens = [0, *accumulate(map(self.known.__getitem__, parts))]
         if every:
-            return list(range(len(text) + 1)), [0, *(n + k for i, (part, n) in enumerate(zip(parts, tokens)) for k in self.filled[part][i == 0 :])]
+            return list(range(len(text) + 1)), self.prefixes(text).tolist()
+        counts, ends = self._joined(self.segments(text))
+        ends, tokens = [0, *(ends - 1).tolist()], [0, *counts[ends - 1].tolist()]
         if budget is not None and tokens[-1] > budget >= 0:
             i = bisect_right(tokens, budget)
             a, b = ends[i - 1], ends[i]
             if b - a > 1:
-                counts = self._inside(text[a:b], i == 1)[:-1]
-                ends[i:i], tokens[i:i] = range(a + 1, b), [tokens[i - 1] + n for n in counts]
+                ends[i:i], tokens[i:i] = range(a + 1, b), counts[a + 1 : b].tolist()
         return ends, tokens
 
     def at(self, text: str, prefix: int, table: tuple[list[int], list[int]] | None = None) -> int:
@@ -158,10 +184,10 @@ def counter(file: str = FILE) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, file: str = FILE, budget: int | None = None, tables: bool = False) -> DataFrame:
-    """doc_id, n_bytes and n_tokens of every row.
+    """doc_id, n_bytes and n_tokens of every row, from the table of counts at every prefix of its text.
 
     budget adds fits_chars, the code points kept when cut to that many tokens; tables adds prefix_chars and
-    prefix_tokens, the stored tables at every prefix. Null and empty texts: 0 bytes, 0 tokens. Repeated rows each come back.
+    prefix_tokens, those tables. Null and empty texts: 0 bytes, 0 tokens. Repeated rows each come back.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", fits_chars bigint" * (budget is not None) + ", prefix_chars array<int>, prefix_tokens array<int>" * tables
@@ -169,14 +195,21 @@ def token_counts(docs: DataFrame, file: str = FILE, budget: int | None = None, t
     def run(batches):
         c = counter(file)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            made = [c.table(t, budget, tables) for t in texts]
-            cols, names = [b.column(0), b.column(2), pa.array([t[1][-1] for t in made], pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
+            n_tokens, fits, chars, tokens = [], [], [], []
+            for text in b.column(1).to_pylist():
+                made = c.prefixes(text)
+                n_tokens.append(made[-1])
+                if budget is not None:
+                    fits.append(np.flatnonzero(made <= budget)[-1] if budget >= 0 else 0)
+                if tables:
+                    chars.append(np.arange(len(made), dtype=np.int32))
+                    tokens.append(made)
+            cols, names = [b.column(0), b.column(2), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             if budget is not None:
-                cols.append(pa.array([c.truncate(x or "", budget, t) for x, t in zip(texts, made)], pa.int64()))
+                cols.append(pa.array(fits, pa.int64()))
                 names.append("fits_chars")
             if tables:
-                cols += [pa.array([t[i] for t in made], pa.list_(pa.int32())) for i in (0, 1)]
+                cols += [pa.array(t, pa.list_(pa.int32())) for t in (chars, tokens)]
                 names += ["prefix_chars", "prefix_tokens"]
             yield pa.record_batch(cols, names=names)
 
