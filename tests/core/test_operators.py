@@ -50,6 +50,23 @@ def test_nearest_equals_brute_force(spark):
     assert spatial.nearest(spark.createDataFrame(left, "lid bigint, lx double, ly double"), none).count() == 0
 
 
+def test_nearest_by_small_tasks_and_cells(spark, monkeypatch):
+    """Crowded tiles, copies, null places, wide tiles in parts and either side as the smaller one; the number of tasks follows from the rows."""
+    for name, value in (("TASK", 50), ("CELL", 3), ("PART", 8)):
+        monkeypatch.setattr(spatial, name, value)
+    rng = random.Random(9)
+    spots = [(rng.gauss(0, 3), rng.gauss(0, 3)) for _ in range(70)] + [(5.0, 5.0)] * 20 + [(rng.gauss(0, 4000), rng.gauss(0, 4000)) for _ in range(20)]
+    many, few = [(i, *p) for i, p in enumerate(spots)], [(i, *p) for i, p in enumerate(spots[60:95])]
+    near = lambda x, y, of: min(((x - a) * (x - a) + (y - b) * (y - b), k) for k, a, b in of)
+    frame = lambda rows, s: spark.createDataFrame([*rows, (-1, None, 2.0)], f"{s}id bigint, {s}x double, {s}y double")
+    for left, right in ((many, few), (few, many)):
+        got = spatial.nearest(frame(left, "l"), frame(right, "r"))
+        assert sorted((r.lid, (r.d2, r.rid)) for r in got.collect()) == [(i, near(x, y, right)) for i, x, y in left]
+        assert got.rdd.getNumPartitions() == math.ceil(len(left) / 50)
+    got = spatial.nearest(frame(many, "l"), frame(many, "r"), self_join=True)
+    assert sorted((r.lid, (r.d2, r.rid)) for r in got.collect()) == [(i, near(x, y, [p for p in many if p[0] != i])) for i, x, y in many]
+
+
 def test_pareto_equals_brute_force(spark):
     rng = random.Random(4)
     data = [(i, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for i in range(300)]

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points in one row of a tile at most; rows of one task, and points of one part of a tile, where they are spread evenly.
+CELL, TASK, PART = 256, 50_000, 4096
+
 
 def tile(c: Column | str, size: float) -> Column:
     """Tile number of a coordinate."""
@@ -54,32 +58,55 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return around(left, "lx", "ly", radius).join(tiled, ["tx", "ty"]).withColumn("d2", distance2("lx", "ly", "rx", "ry")).where(F.col("d2") <= radius * radius).drop("tx", "ty")
 
 
+def cells(right: DataFrame, keys: list[str]) -> DataFrame:
+    """Points rid, rx, ry by the keys, as an array in rows of at most CELL points."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("rid"))
+    return right.withColumn("cell", F.floor((n - 1) / CELL)).groupBy(*keys, "cell").agg(F.collect_list(F.struct("rid", "rx", "ry")).alias("points"))
+
+
 def nearest(left: DataFrame, right: DataFrame, size: float | None = None, self_join: bool = False, growth: int = 8) -> DataFrame:
     """For each row of left(lid, lx, ly) the nearest of right(rid, rx, ry): lid, rid, d2; ties go to the smallest rid.
 
     The search window widens: what lies within one tile side is final (anything nearer would be in the nine tiles),
     the rest looks again in tiles ``growth`` times as wide, until the tiles span the data. The first side (unless
     given) holds about four rows of right if they are spread evenly. One lazy plan of few levels.
+
+    A row meets the points of a tile as an array, so pairs are never rows to be sorted. In the first level the smaller side is
+    repeated for the tiles around, later what is left over; wide tiles are dealt in parts. The number of
+    tasks follows from the counts of rows, so what one of them holds doesn't grow with the input.
     """
+    left, right = left.where("lx IS NOT NULL AND ly IS NOT NULL"), right.where("rx IS NOT NULL AND ry IS NOT NULL")
     box = [df.agg(F.min(f"{s}x"), F.max(f"{s}x"), F.min(f"{s}y"), F.max(f"{s}y"), F.count("*")).first() for df, s in ((left, "l"), (right, "r"))]
-    if not all(b[4] and b[0] is not None for b in box):
+    if not all(b[4] for b in box):
         return left.select("lid", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("d2")).where("false")
     extent = max(max(b[i + 1] for b in box) - min(b[i] for b in box) for i in (0, 2))
     size = size or max(2 * extent / max(1.0, box[1][4]) ** 0.5, 1e-9)
-    found, rest = [], left
+    n_left, n_right = box[0][4], box[1][4]
+    keys, row = ["tx", "ty", "part"], ["lid", "lx", "ly"]
+    points = F.filter("points", lambda p: p["rid"] != F.col("lid")) if self_join else F.col("points")
+    d2 = lambda p: (F.col("lx") - p["rx"]) * (F.col("lx") - p["rx"]) + (F.col("ly") - p["ry"]) * (F.col("ly") - p["ry"])
+    best = F.array_min(F.transform(points, lambda p: F.struct(d2(p).alias("d2"), p["rid"].alias("rid")))).alias("b")
+    own = lambda df, s: df.withColumns({"tx": tile(f"{s}x", size), "ty": tile(f"{s}y", size)})
+    found, rest, turned = [], left.select(*row), n_right <= n_left
     while True:
         last = size > extent
-        tiled = right.withColumns({"tx": tile("rx", size), "ty": tile("ry", size)})
-        pairs = around(rest, "lx", "ly", size).join(tiled, ["tx", "ty"]).withColumn("d2", distance2("lx", "ly", "rx", "ry"))
-        if self_join:
-            pairs = pairs.where("lid <> rid")
-        best = pairs.groupBy("lid").agg(F.min(F.struct("d2", "rid")).alias("b")).select("lid", "b.rid", "b.d2")
-        done = best if last else best.where(F.col("d2") <= size * size)
-        found.append(done)
+        parts = ceil(n_right / max(1.0, extent / size) ** 2 / PART)
+        tasks = ceil(max(n_left * (1 if turned else 9), n_right * (9 if turned else 1)) / TASK)
+        there = (around(right, "rx", "ry", size) if turned else own(right, "r")).withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(parts)))
+        here = (own(rest, "l") if turned else around(rest, "lx", "ly", size)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        met = here.repartition(tasks, *keys).join(cells(there.repartition(tasks, *keys), keys), keys, "left").select(*keys, *row, best)
+        if turned and parts == 1:
+            met = met.groupBy(*keys, *row)
+        else:
+            met = met.repartition(tasks, "lid").groupBy(*row)
+        met = met.agg(F.min("b").alias("b"))
+        near = F.col("b").isNotNull() & (F.lit(last) | (F.col("b.d2") <= size * size))
+        found.append(met.where(near).select("lid", "b"))
         if last:
-            return reduce(DataFrame.unionByName, found)
-        rest = rest.join(done.select("lid"), "lid", "left_anti")
+            return reduce(DataFrame.unionByName, found).repartition(ceil(n_left / TASK), "lid").groupBy("lid").agg(F.min("b").alias("b")).select("lid", "b.rid", "b.d2")
+        rest = met.where(~F.coalesce(near, F.lit(False))).select(*row)
         size *= growth
+        turned = False
 
 
 def crossings(segments: DataFrame, size: float) -> DataFrame:
