@@ -31,9 +31,9 @@ from trellis.llm.tokens import path
 FILE, LIMIT = "piece_bpe_32k.model", 4096
 _MARK = "▁"
 _SEGMENT = re.compile("[\n\0]| *[^ \n\0]+| +")
-_BOUND = 400_000
+_BOUND = 800_000
 #: Code points of the segments whose counts are kept at most; one of more than the second is filled anew at each place.
-_HELD, _LONG = 4_000_000, 4096
+_HELD, _LONG = 8_000_000, 4096
 
 
 class PrefixCounter:
@@ -78,15 +78,14 @@ class PrefixCounter:
                 self[piece] = n if n == 1 or len(piece) == 1 else 0
                 return self[piece]
 
-        fill = self._fill
-
         class Filled(dict):
             """When full, its rows are kept aside until it is full again, so frequent ones aren't filled anew."""
 
-            held, aside = 0, {}
+            def __init__(self, fill):
+                self.fill, self.held, self.aside = fill, 0, {}
 
             def __missing__(self, segment):
-                out = self.aside.get(segment) or fill(segment)
+                out = self.aside.get(segment) or self.fill(segment)
                 if len(segment) <= _LONG:
                     if self.held > _HELD // 2 or len(self) > _BOUND // 2:
                         self.held, self.aside = 0, dict(self)
@@ -95,7 +94,8 @@ class PrefixCounter:
                     self[segment] = out
                 return out
 
-        self.apart, self.sizes, self.filled = Apart(), Sizes(), Filled()
+        self.apart, self.sizes, self.filled, self.runs = Apart(), Sizes(), Filled(self._fill), Filled(self._run)
+        self.joins = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text behind the mark that the library puts first."""
@@ -106,8 +106,20 @@ class PrefixCounter:
         return int(self.prefixes(text)[-1])
 
     def _fill(self, segment: str) -> bytes:
-        """Tokens of each prefix of a segment, from one code point on, as int32."""
+        """Tokens of each prefix of a segment, from one code point on, as int32; no piece holds two neighbours between which it is cut."""
         s = segment.replace(" ", _MARK)
+        joins = self.joins
+        ends = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in joins]
+        if not ends:
+            return self.runs[s]
+        counts, n, a = array("i"), 0, 0
+        for b in (*ends, len(s)):
+            counts.extend([n + k for k in array("i", self.runs[s[a:b]])])
+            n, a = counts[-1], b
+        return counts.tobytes()
+
+    def _run(self, s: str) -> bytes:
+        """The same of a run, piece by piece."""
         pieces, sizes, apart, longest = self.pieces, self.sizes, self.apart, self.longest
         counts, last = array("i", [0]), deque([""], longest)
         for p in range(1, len(s) + 1):
